@@ -4,24 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistmill.llm.bpe import bpe_round_trip
 from gistmill.llm.decontaminate import decontaminate
 from gistmill.llm.jaccard_join import jaccard_components
+from gistmill.llm.language_id import identify, train
+from gistmill.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; GISTMILL_TOKENIZERS names another folder."""
+    import os
+
+    if folder := os.environ.get("GISTMILL_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return identify(documents, train(documents))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op3_bpe_round_trip, op6_jaccard_join, op7_language_id, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
