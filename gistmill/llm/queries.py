@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gistmill.llm.bpe import bpe_round_trip
 from gistmill.llm.decontaminate import decontaminate
 from gistmill.llm.jaccard_join import jaccard_components
 from gistmill.llm.language_id import identify, train
+from gistmill.llm.line_dedup import dedup_lines
+from gistmill.llm.quality_rules import oracle as quality_oracle
+from gistmill.llm.quality_rules import quality_rules
 from gistmill.llm.token_counts import token_counts
+from gistmill.llm.url_filter import LISTED, url_filter
+from gistmill.llm.url_filter import oracle as url_oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +32,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), spark.createDataFrame([(k,) for k in LISTED], "key string"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: line counts, whether it was emptied, and a digest of what is left."""
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +67,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op6_jaccard_join, op7_language_id, op8_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_url_filter, op5_line_dedup, op6_jaccard_join, op7_language_id, op8_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_oracle(), "op4_url_filter": url_oracle()}
