@@ -7,9 +7,12 @@ link at ``percent`` only if their symmetric difference is at most ``(100 - perce
 bands make that a fixed number D, so with ``m > D`` segments a linked pair has an equal segment (pigeonhole). Segments
 are joined as hashed keys; in no case is the sketch itself shuffled.
 
-Light segments (fewer than three shingles) collide by chance. A band has ``m - D - 1`` segments to spare, so a set with
-no more light segments than that leaves them out; any other set emits all of them. Equal segments are equally light,
-hence a linked pair always keeps a common key.
+Shingles that very many texts share (found by bounded summaries of every task, broadcast as a sorted array of at most
+``MOST_COMMON`` hashes) say little, so segments are first taken of the other, rare shingles alone: their symmetric
+difference is within D too. A band has ``m - D - 1`` segments to spare, so as long as no more of them are empty an equal
+segment with a rare shingle remains, and only such segments are emitted. A set with more empty ones emits these and
+also all segments of its whole set; there, light ones (fewer than three shingles) are left out while the spare ones
+allow it. Which shingles count as common thus never decides a result, and every linked pair keeps a common key.
 
 Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is compared with the least
 node of its group (a star), exactly, by intersecting the sets; links give components. Only keys whose members are still
@@ -34,12 +37,15 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import bits, flat
 from gistmill.llm.components import components
-from gistmill.llm.session import checkpoint, map_blocks, narrow, texts_of
+from gistmill.llm.session import blocks, checkpoint, map_blocks, narrow, texts_of
 
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
 BITS = flat.stream(6, 4096)
 SMALL_GROUP, KERNEL_GROUP = 64, 2048
+#: Of so many shingles at a time a task reports up to LEADERS that LOCAL texts or more have there.
+SUMMARY, LOCAL, LEADERS = 4_000_000, 3, 50_000
+COMMON, MOST_COMMON = 32, 1_000_000
 
 
 class Sets:
@@ -80,54 +86,117 @@ def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
 def plan(band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Largest symmetric difference D in a band, and its number of segments (0 where no two different sets can link)."""
     most = (100 - percent) * 2 * bands(percent)[band] // (100 + percent)
-    spare = np.where(most >= 8, (3 * (most + 1) + 9) // 10, 0)
-    return most, np.where(most > 0, most + 1 + spare, 0)
+    return most, np.where(most > 0, most + 1 + np.maximum(1, 15 * (most + 1) // 100), 0)
 
 
-def segment_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all segments that a set shows in its own band and, as the smaller one of a pair, in the next."""
+def _segments(values: np.ndarray, doc: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch digest and number of shingles of every segment of every set, in order."""
+    base = np.concatenate([[0], np.cumsum(m)])
+    sketch, held = np.zeros(base[-1], dtype=np.uint64), np.zeros(base[-1], dtype=np.int64)
+    if len(values):
+        segment = ((values >> flat.U(32)) * m[doc].astype(np.uint64)) >> flat.U(32)
+        place = base[doc] + segment.astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sketch[place[starts]] = np.bitwise_xor.reduceat(BITS[(values & flat.U(4095)).astype(np.int64)], starts)
+        held[place[starts]] = np.diff(np.concatenate([starts, [len(place)]]))
+    return sketch, held
+
+
+def segment_keys(sets: Sets, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the segments that a set shows in its own band and, as the smaller one of a pair, in the next."""
     rows, keys = [], []
     own = np.searchsorted(bands(percent), np.maximum(sets.counts, 1))
+    rare = np.ones(len(sets.values), dtype=bool) if common is None or not len(common) else ~_in_sorted(common, sets.values)
     for band in (own, own + 1):
         most, m = plan(band, percent)
         m = np.where(sets.counts > 0, m, 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        if not base[-1]:
-            continue
-        each = np.repeat(m.astype(np.uint64), sets.counts)
-        use = each > 0
-        values, doc = sets.values[use], sets.doc[use]
-        segment = ((values >> flat.U(32)) * each[use]) >> flat.U(32)
-        place = base[doc] + segment.astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        sketch, held = np.zeros(base[-1], dtype=np.uint64), np.zeros(base[-1], dtype=np.int64)
-        sketch[place[starts]] = np.bitwise_xor.reduceat(BITS[(values & flat.U(4095)).astype(np.int64)], starts)
-        held[place[starts]] = np.diff(np.concatenate([starts, [len(place)]]))
         row = np.repeat(np.arange(len(m)), m)
-        light = held < LIGHT
-        lights = np.concatenate([[0], np.cumsum(light)])
-        too_light = (lights[base[1:]] - lights[base[:-1]]) > m - most - 1
-        emit = ~light | too_light[row]
-        row, at = row[emit], np.flatnonzero(emit)
-        tag = flat.mix((band[row].astype(np.uint64) << flat.U(40)) + (at - base[row]).astype(np.uint64) + flat.U(1))
-        rows.append(row)
-        keys.append(flat.mix(sketch[at] ^ tag))
+        if not len(row):
+            continue
+        at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        tag = (band[row].astype(np.uint64) << flat.U(40)) + (at.astype(np.uint64) << flat.U(1))
+        use = rare & (m[sets.doc] > 0)
+        sketch, held = _segments(sets.values[use], sets.doc[use], m)
+        empty = np.bincount(row[held == 0], minlength=len(m))
+        pick = np.flatnonzero(held > 0)
+        rows.append(row[pick])
+        keys.append(flat.mix(sketch[pick] ^ flat.mix(tag[pick])))
+        whole = (empty > m - most - 1) & (m > 0)
+        if whole.any():
+            m2 = np.where(whole, m, 0)
+            use = whole[sets.doc]
+            sketch, held = _segments(sets.values[use], sets.doc[use], m2)
+            pick = np.flatnonzero(whole[row])
+            row, tag, light = row[pick], tag[pick], held < LIGHT
+            lights = np.bincount(row[light], minlength=len(m))
+            emit = ~light | (lights > m - most - 1)[row]
+            rows.append(row[emit])
+            keys.append(flat.mix(sketch[emit] ^ flat.mix(tag[emit] + flat.U(1))))
     if not rows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(rows), np.concatenate(keys)
+    # 56 bits: fewer bytes to shuffle; keys that fall together by chance only add candidates
+    return np.concatenate(rows), np.concatenate(keys) >> flat.U(8)
+
+
+def _in_sorted(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Membership in a sorted array, by a bit per leading 20 bits first."""
+    seen = np.zeros(1 << 20, dtype=bool)
+    seen[(table >> flat.U(44)).astype(np.int64)] = True
+    out = seen[(values >> flat.U(44)).astype(np.int64)]
+    some = np.flatnonzero(out)
+    at = np.searchsorted(table, values[some])
+    at[at == len(table)] = 0
+    out[some] = table[at] == values[some]
+    return out
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles of very many texts: leaders of bounded summaries, with COMMON texts or more in all."""
+    types = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def leaders(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values, n = values[n >= LOCAL], n[n >= LOCAL]
+        if len(n) > LEADERS:
+            top = np.argpartition(-n, LEADERS)[:LEADERS]
+            values, n = values[top], n[top]
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], schema=types)
 
-
-def _keys(docs: DataFrame, k: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
-    """(key, node), of keys that may be ``wanted`` only."""
-    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            texts = texts_of(batch)
+            for start, end in blocks(texts):
+                held.append(Sets(texts.slice(start, end - start), k).values)
+                size += len(held[-1])
+                if size > SUMMARY:
+                    yield leaders(held)
+                    held, size = [], 0
+        if held:
+            yield leaders(held)
+
+    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = checkpoint(counts)
+    least = COMMON
+    while counts.where(F.col("n") >= least).count() > MOST_COMMON:
+        least *= 2
+    return np.sort(counts.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+
+
+def _keys(docs: DataFrame, k: int, percent: int, common, wanted: np.ndarray | None) -> DataFrame:
+    """(key, node); without ``wanted`` 40 bits of the node, else keys that may be wanted only, with the whole node."""
+    filter_ = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def step(batch):
         sets = Sets(texts_of(batch), k)
-        row, key = segment_keys(sets, percent)
-        if shared is not None:
-            ok = bits.maybe(shared.value, key)
+        row, key = segment_keys(sets, percent, common.value)
+        node = sets.node
+        if filter_ is None:
+            node = node >> flat.U(24)
+        else:
+            ok = bits.maybe(filter_.value, key)
             row, key = row[ok], key[ok]
-        yield {"key": key.view(np.int64), "node": sets.node[row].view(np.int64)}
+        yield {"key": key.view(np.int64), "node": node[row].view(np.int64)}
 
     return map_blocks(docs.select("text"), "key long, node long", step, pa.schema([("key", pa.int64()), ("node", pa.int64())]))
 
@@ -141,17 +210,18 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """(node, hashes) of nodes that may be wanted, one row a node of a block."""
+    """(node, hashes) of the rows whose doc_id XOR node may be wanted (few nodes come twice)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def step(batch):
         sets = Sets(texts_of(batch), k)
-        keep = np.flatnonzero(bits.maybe(shared.value, sets.node) & (sets.counts > 0))
+        ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
+        keep = np.flatnonzero(bits.maybe(shared.value, sets.node ^ ids) & (sets.counts > 0))
         keep = keep[np.unique(sets.node[keep], return_index=True)[1]]
         data = [sets.values[sets.first[d] : sets.first[d + 1]].tobytes() for d in keep]
         yield {"node": sets.node[keep].view(np.int64), "hashes": data}
 
-    return map_blocks(docs.select("text"), "node long, hashes binary", step, pa.schema([("node", pa.int64()), ("hashes", pa.binary())]))
+    return map_blocks(docs, "node long, hashes binary", step, pa.schema([("node", pa.int64()), ("hashes", pa.binary())]))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,7 +273,7 @@ def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sets: DataFrame, p
     members = labelled.join(open_keys, labelled["key"] == F.col("k")).drop("k")
     away = star.select(F.col("src").alias("s"), F.col("dst").alias("d"), (F.lit(1.0) - F.col("both") / F.col("total")).alias("far"))
     members = members.join(away, (members["node"] == F.col("s")) & (members["least"] == F.col("d")), "left").select("key", "node", "label", "size", F.coalesce("far", F.lit(0.0)).alias("far"))
-    sketch = _sketches(sets).withColumnRenamed("node", "sn")
+    sketch = _sketches(sets).dropDuplicates(["node"]).withColumnRenamed("node", "sn")
     members = checkpoint(members.join(sketch, members["node"] == F.col("sn")).drop("sn"))
     near = 1 - percent / 100 + 1e-9
     few, many = members.where(F.col("size") <= SMALL_GROUP), members.where(F.col("size") > SMALL_GROUP)
@@ -238,19 +308,22 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """One row per document: doc_id, n_shingles, component_id, n_links (links that the search confirmed for its set)."""
     docs = narrow(documents, id_col, text_col)
     members = checkpoint(_members(docs, shingle))
-    common = checkpoint(_keys(docs, shingle, percent, None).groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"))
-    wanted = bits.build(common, "key")
-    keys = _keys(docs, shingle, percent, wanted).distinct().join(common, "key").select("key", "node", "least")
-    keys = checkpoint(keys)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    shared = _keys(docs, shingle, percent, common, None).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = checkpoint(shared)
+    keys = checkpoint(_keys(docs, shingle, percent, common, bits.build(shared, "key")).distinct().join(shared, "key", "left_semi"))
+    least = keys.groupBy("key").agg(F.min("node").alias("least")).select(F.col("key").alias("k"), "least")
+    keys = checkpoint(keys.join(least, keys["key"] == least["k"]).select("key", "node", "least"))
     star = keys.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
-    nodes = keys.select("node").distinct()
-    sets = _sets(docs, shingle, bits.build(nodes, "node")).groupBy("node").agg(F.first("hashes").alias("hashes"))
-    sets = checkpoint(sets)
-    star = checkpoint(_compared(star, sets))
+    nodes = keys.select(F.col("node").alias("vn")).distinct()
+    one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = nodes.join(one, nodes["vn"] == one["node"]).select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("mark"))
+    sets = checkpoint(_sets(docs, shingle, bits.build(one, "mark")))
+    star = checkpoint(_compared(star, sets).distinct())
     linked = F.col("both") * 100 >= F.col("total") * percent
     links = star.where(linked).select("src", "dst")
     label = checkpoint(components(links))
-    more = checkpoint(_compared(_rest(keys, star, label, sets, percent), sets).where(linked).select("src", "dst"))
+    more = checkpoint(_compared(_rest(keys, star, label, sets, percent), sets).where(linked).select("src", "dst").distinct())
     if not more.isEmpty():
         label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(more)))
     found = links.unionByName(more)

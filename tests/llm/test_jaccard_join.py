@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from gistmill.llm import jaccard_join as J
 
 
@@ -67,6 +71,15 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
 
 
+def test_shingles_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "COMMON", 4)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(rng.choice([0, 2, 3, 5, 9, 30, 200])))) for i in range(120)]
+    assert len(J.common_shingles(spark.createDataFrame(docs, "doc_id long, text string"), 4)) >= 57
+    assert run(spark, docs) == brute(docs)
+
+
 def test_chain_through_members_of_a_star(spark):
     rng = random.Random(5)
     base = [f"v{i}" for i in range(200)]
@@ -82,13 +95,13 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_keys_keep_every_linked_pair():
-    import numpy as np
-    import pyarrow as pa
-
+@pytest.mark.parametrize("share", [0, 3, 40, 90, 100])
+def test_keys_keep_every_linked_pair(share):
+    """Whatever shingles count as common."""
     docs = corpus(7, 10, 6)
     sets = J.Sets(pa.array([t for _, t in docs]), 4)
-    row, key = J.segment_keys(sets, 85)
+    every = np.unique(sets.values)
+    row, key = J.segment_keys(sets, 85, every[np.random.default_rng(1).random(len(every)) * 100 < share])
     by = {}
     for r, k in zip(row.tolist(), key.tolist(), strict=True):
         by.setdefault(r, set()).add(k)
