@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.llm import quality_crf
 from gistmill.llm.bpe import bpe_round_trip
 from gistmill.llm.decontaminate import decontaminate
 from gistmill.llm.jaccard_join import jaccard_components
 from gistmill.llm.language_id import identify, train
 from gistmill.llm.line_dedup import dedup_lines
+from gistmill.llm.pii import find_pii
 from gistmill.llm.quality_rules import oracle as quality_oracle
 from gistmill.llm.quality_rules import quality_rules
 from gistmill.llm.token_counts import token_counts
@@ -36,6 +38,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality_crf.score_quality(documents, quality_crf.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -62,12 +69,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe_round_trip, op4_url_filter, op5_line_dedup, op6_jaccard_join, op7_language_id, op8_token_counts, op10_decontamination)}
+    own = (op1_quality_rules, op2_quality_crf, op3_bpe_round_trip, op4_url_filter, op5_line_dedup, op6_jaccard_join, op7_language_id, op8_token_counts, op9_pii, op10_decontamination)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
