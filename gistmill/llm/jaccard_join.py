@@ -14,12 +14,13 @@ segment with a rare shingle remains, and only such segments are emitted. A set w
 also all segments of its whole set; there, light ones (fewer than three shingles) are left out while the spare ones
 allow it. Which shingles count as common thus never decides a result, and every linked pair keeps a common key.
 
-Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is compared with the least
-node of its group (a star), exactly, by intersecting the sets; links give components. Only keys whose members are still
-in different components are looked at again: members of different components are compared, after two exact filters
-(their distances from the common least node may differ by 1 - percent / 100 at most, as Jaccard distance is a metric;
-and 512-bit parity sketches), in groups of up to 64 by a join, in larger ones in blocks inside a kernel that returns
-only survivors.
+Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is paired with the least
+node of its group (a star); pairs that sizes and 2048-bit parity sketches do not rule out are compared exactly, by
+intersecting the sets; links give components. Only keys whose members are still in different components are looked at
+again: members of different components are paired if two exact filters pass (their distances from the common least
+node, where known, differ by 1 - percent / 100 at most, as Jaccard distance is a metric; and the sketches), in groups of
+up to 64 by a join, in larger ones in blocks inside a kernel that returns only survivors. Sets are only moved for
+documents of pairs that are left, one document of each node.
 
 Nulls and empty texts: empty set, n_shingles 0, linked with nothing. Fewer words than 4: the whole sequence is the one
 shingle. A null doc_id keeps a row; it is no smallest id of a component unless alone (then null). Repeated rows link like any
@@ -42,7 +43,7 @@ from gistmill.llm.session import blocks, checkpoint, map_blocks, narrow, texts_o
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
 BITS = flat.stream(6, 4096)
-SMALL_GROUP, KERNEL_GROUP = 64, 2048
+SMALL_GROUP, KERNEL_GROUP, SKETCH = 64, 2048, 2048
 #: Of so many shingles at a time a task reports up to LEADERS that LOCAL texts or more have there.
 SUMMARY, LOCAL, LEADERS = 4_000_000, 3, 50_000
 COMMON, MOST_COMMON = 32, 1_000_000
@@ -244,66 +245,94 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, both long, total long")
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(node, n, sketch): size and a 512-bit parity sketch as 64 bytes."""
-    types = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+def _sketches(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(node, n, sketch) as ``_sets``: size and a parity sketch of SKETCH bits; one row a node."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def step(batch):
+        sets = Sets(texts_of(batch), k)
+        ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
+        keep = np.flatnonzero(bits.maybe(shared.value, sets.node ^ ids) & (sets.counts > 0))
+        data = [np.packbits((np.bincount((sets.values[sets.first[d] : sets.first[d + 1]] & flat.U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for d in keep]
+        yield {"node": sets.node[keep].view(np.int64), "n": sets.counts[keep], "sketch": data}
+
+    rows = map_blocks(docs, "node long, n long, sketch binary", step, pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]))
+    return rows.dropDuplicates(["node"])
 
-    def run(batches):
-        for batch in batches:
-            n, out = [], []
-            for a in batch.column(1):
-                x = np.frombuffer(a.as_buffer(), dtype=np.uint64)
-                parity = np.bincount((x & flat.U(511)).astype(np.int64), minlength=512) & 1
-                n.append(len(x))
-                out.append(np.packbits(parity.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], schema=types)
 
-    return sets.select("node", "hashes").mapInArrow(run, "node long, n long, sketch binary")
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of sketches."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _close(na, nb, percent):
-    """Whether two sizes can link at all."""
-    return (F.least(na, nb) * 100) >= (F.greatest(na, nb) * percent)
+def _may_link(na, nb, apart, percent: int):
+    """Necessary for a link: the sizes, and the sketches' distance as a lower bound of the symmetric difference."""
+    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (apart * (100 + percent) <= (100 - percent) * (na + nb))
 
 
-def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) that sizes and sketches do not rule out."""
+    one = sketches.select(F.col("node").alias("src"), F.col("n").alias("na"), F.col("sketch").alias("a"))
+    two = sketches.select(F.col("node").alias("dst"), F.col("n").alias("nb"), F.col("sketch").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5))
+            ok = _may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), _apart(a, b), percent)
+            yield batch.select(["src", "dst"]).filter(pa.array(ok))
+
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "na", "nb", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (src, dst) of members of one key in different components that pass the exact filters."""
     labelled = keys.join(label.withColumnRenamed("node", "n0"), keys["node"] == F.col("n0"), "left").select("key", "node", "least", F.coalesce("label", "node").alias("label"))
+    # two members of a key were compared by the star; from three on, members of several components are left
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select(F.col("key").alias("k"), "size")
     members = labelled.join(open_keys, labelled["key"] == F.col("k")).drop("k")
     away = star.select(F.col("src").alias("s"), F.col("dst").alias("d"), (F.lit(1.0) - F.col("both") / F.col("total")).alias("far"))
-    members = members.join(away, (members["node"] == F.col("s")) & (members["least"] == F.col("d")), "left").select("key", "node", "label", "size", F.coalesce("far", F.lit(0.0)).alias("far"))
-    sketch = _sketches(sets).dropDuplicates(["node"]).withColumnRenamed("node", "sn")
-    members = checkpoint(members.join(sketch, members["node"] == F.col("sn")).drop("sn"))
+    members = members.join(away, (members["node"] == F.col("s")) & (members["least"] == F.col("d")), "left").where("node <> least").select("key", "node", "label", "size", "far")
+    members = checkpoint(members)
     near = 1 - percent / 100 + 1e-9
     few, many = members.where(F.col("size") <= SMALL_GROUP), members.where(F.col("size") > SMALL_GROUP)
     a, b = few.alias("a"), few.alias("b")
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close(F.col("a.n"), F.col("b.n"), percent) & (F.abs(F.col("a.far") - F.col("b.far")) <= near))
-    pairs = joined.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    together = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= near, F.lit(True))
+    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & together)
+    pairs = _likely(joined.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), sketches, percent)
     if many.isEmpty():
-        return pairs.distinct()
+        return pairs
     # blocks of a large group meet pairwise: a member is sent once to each pair of blocks that its block is part of
-    wide = many.withColumn("parts", F.ceil(F.col("size") / KERNEL_GROUP)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    wide = many.join(sketches.withColumnRenamed("node", "sn"), many["node"] == F.col("sn")).drop("sn")
+    wide = wide.withColumn("parts", F.ceil(F.col("size") / KERNEL_GROUP)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     wide = wide.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).select("key", "x", "y", "node", "label", "n", "far", "sketch")
 
     def blockwise(pdf):
         import pandas as pd
 
         found = []
-        n, far, label, node = (pdf[c].to_numpy() for c in ("n", "far", "label", "node"))
-        bits_ = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(-1, 8)
+        n, label, node = (pdf[c].to_numpy() for c in ("n", "label", "node"))
+        far = pdf["far"].to_numpy(dtype=float, na_value=np.nan)
+        rows = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(-1, SKETCH // 64)
         for i in range(len(pdf) - 1):
             j = np.arange(i + 1, len(pdf))
-            ok = (label[j] != label[i]) & (np.abs(far[j] - far[i]) <= near) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)
-            j = j[ok]
-            apart = np.bitwise_count(bits_[j] ^ bits_[i]).sum(axis=1)
-            j = j[apart * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
+            j = j[(label[j] != label[i]) & ~(np.abs(far[j] - far[i]) > near)]
+            j = j[_may_link(n[j], n[i], _apart(rows[j], rows[i]), percent)]
             found += [(min(node[i], v), max(node[i], v)) for v in node[j]]
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
     return pairs.unionByName(wide.groupBy("key", "x", "y").applyInPandas(blockwise, "src long, dst long")).distinct()
 
 
+def _marks(nodes: DataFrame, members: DataFrame) -> np.ndarray:
+    """Filter of doc_id XOR node over one document of each node of the one-column (vn) table."""
+    one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return bits.build(nodes.join(one, nodes["vn"] == one["node"]).select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("mark")), "mark")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("vn")).distinct()
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (links that the search confirmed for its set)."""
     docs = narrow(documents, id_col, text_col)
@@ -315,15 +344,19 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     least = keys.groupBy("key").agg(F.min("node").alias("least")).select(F.col("key").alias("k"), "least")
     keys = checkpoint(keys.join(least, keys["key"] == least["k"]).select("key", "node", "least"))
     star = keys.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
-    nodes = keys.select(F.col("node").alias("vn")).distinct()
-    one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = nodes.join(one, nodes["vn"] == one["node"]).select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("mark"))
-    sets = checkpoint(_sets(docs, shingle, bits.build(one, "mark")))
+    sketches = checkpoint(_sketches(docs, shingle, _marks(keys.select(F.col("node").alias("vn")).distinct(), members)))
+    star = checkpoint(_likely(star, sketches, percent))
+    sets = checkpoint(_sets(docs, shingle, _marks(_ends(star), members)))
     star = checkpoint(_compared(star, sets).distinct())
     linked = F.col("both") * 100 >= F.col("total") * percent
     links = star.where(linked).select("src", "dst")
     label = checkpoint(components(links))
-    more = checkpoint(_compared(_rest(keys, star, label, sets, percent), sets).where(linked).select("src", "dst").distinct())
+    rest = checkpoint(_rest(keys, star, label, sketches, percent))
+    if rest.isEmpty():
+        more = rest
+    else:
+        sets = _sets(docs, shingle, _marks(_ends(rest), members))
+        more = checkpoint(_compared(rest, sets).where(linked).select("src", "dst").distinct())
     if not more.isEmpty():
         label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(more)))
     found = links.unionByName(more)
