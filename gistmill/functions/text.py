@@ -19,13 +19,18 @@ EDGES = U + r"^\s+|\s+$"
 def java(kind: str) -> str:
     """Java pattern of an atom class."""
     pattern, fold = next((p, f) for k, p, f, _, _ in fixed.ATOMS if k == kind)
-    if kind == "ipv4":  # the version words before it, as a bounded look behind
-        pattern = r"(?<!(?i:upgrade|upgraded|upgrading|downgrade|downgraded|downgrading)\s{1,4}(?i:from)[\s:#]{0,3})(?<!(?i:version|release|section|upgrade|downgrade|v)[\s:#]{0,3})" + pattern
     return (U + "(?i)" if fold else U) + pattern
 
 
+#: Version words right before an address, as a bounded look behind.
+VERSION = r"(?<=(?i:upgrade|upgraded|upgrading|downgrade|downgraded|downgrading)\s{1,9}(?i:from)[\s:#]{0,3}|(?i:version|release|section|upgrade|downgrade|v)[\s:#]{0,3})"
+
+
 def surfaces(text: Column, kind: str) -> Column:
     """All surfaces of one atom class, in order (short hashes need their surroundings: see ``operators.atoms``)."""
+    if kind == "ipv4":  # a version number is matched too, so that no address begins inside it, but not captured
+        plain = java(kind).removeprefix(U)
+        return F.filter(F.regexp_extract_all(text, F.lit(f"{U}{VERSION}{plain}|({plain})"), F.lit(1)), lambda x: x != "")
     return F.regexp_extract_all(text, F.lit(java(kind)), F.lit(0))
 
 
