@@ -21,8 +21,49 @@ PATTERNS = {kind: re.compile(pattern, re.I if fold else 0) for kind, pattern, fo
 REQUIRED = frozenset(kind for kind, _, _, required, _ in fixed.ATOMS if required)
 ENTITY = tuple(kind for kind, _, _, _, entity in fixed.ATOMS if entity)
 VERSION_BEFORE, HASH_BESIDE, NOT_HASH = (re.compile(p, re.I) for p in (fixed.VERSION_BEFORE, fixed.HASH_BESIDE, fixed.NOT_HASH))
-#: A class is only scanned for where one of these characters stands (None: always).
-NEEDS = {"cve": "-", "instance_id": "-", "ipv4": ".", "ipv6": ":", "uuid": "-", "path_or_url": "/:", "file_location": "/", "email": "@", "code_identifier": None}
+NEGATION_WORDS = tuple(fixed.NEGATIONS.split("|"))
+CAMEL = re.compile("[a-z0-9][A-Z]")
+#: Letters that ignoring case equates with ASCII ones, which lower-casing does not; texts with them are always scanned.
+FOLDING = re.compile("[\u017f\u0130\u0131\u212a]")
+
+
+def _signs(*words: str):
+    return lambda t: any(w in t.low for w in words)
+
+
+class _Signs:
+    """What a text has at all, to skip classes that it cannot hold."""
+
+    def __init__(self, text: str):
+        self.text, self.low = text, text.lower()
+        self.digit = any(c in text for c in "0123456789") or not text.isascii()
+        self.sure = text.isascii() or not FOLDING.search(text)
+
+
+#: A necessary sign of each class, far cheaper than its pattern.
+NEEDS = {
+    "cve": _signs("cve-"),
+    "instance_id": lambda t: t.digit and "i-" in t.text,
+    "ipv4": lambda t: t.digit and t.text.count(".") >= 3,
+    "ipv6": lambda t: "::" in t.text or t.text.count(":") >= 7,
+    "uuid": lambda t: t.text.count("-") >= 4,
+    "git_sha": lambda t: len(t.text) >= 40,
+    "git_sha_short": lambda t: t.digit and HASH_BESIDE.search(t.text) is not None,
+    "path_or_url": lambda t: "/" in t.text or "arn:" in t.text,
+    "file_location": lambda t: "/" in t.text,
+    "quantity": lambda t: t.digit,
+    "currency": lambda t: t.digit and any(w in t.text for w in ("$", "€", "£", "USD", "EUR")),
+    "code_identifier": lambda t: "_" in t.text or "::" in t.text or ("-" in t.text and t.digit) or CAMEL.search(t.text) is not None,
+    "timestamp": lambda t: t.digit and ("-" in t.text or ":" in t.text),
+    "bound_negation": _signs(*NEGATION_WORDS),
+    "cjk_negation": lambda t: not t.text.isascii(),
+    "negation": _signs(*NEGATION_WORDS),
+    "modality": _signs("must", "should", "may", "might", "could", "shall"),
+    "condition": _signs("if", "unless", "except", "provided", "excluding"),
+    "causality": _signs("because", "therefore", "caused", "results", "leads"),
+    "compliance_acronym": _signs("pii", "gdpr", "hipaa", "soc2", "mtls", "cidr", "sts", "iam", "acl", "rbac"),
+    "email": lambda t: "@" in t.text,
+}
 
 
 class Atom(NamedTuple):
@@ -34,9 +75,10 @@ class Atom(NamedTuple):
     required: bool
 
 
-def places(kind: str, text: str) -> list[tuple[int, int]]:
+def places(kind: str, text: str, signs: _Signs | None = None) -> list[tuple[int, int]]:
     """Ranges of a class in a text, with the context that addresses and short hashes need."""
-    if (chars := NEEDS.get(kind)) and not any(c in text for c in chars):
+    signs = signs or _Signs(text)
+    if signs.sure and not NEEDS[kind](signs):
         return []
     found = [m.span() for m in PATTERNS[kind].finditer(text)]
     if kind == "ipv4":
@@ -105,8 +147,9 @@ def find(text: str, terms: tuple[str, ...] = ()) -> list[Atom]:
         elif loose:
             add("required_term", [m.span() for m in loose.finditer(text)], shape=term.lower())
     where: dict[str, list[tuple[int, int]]] = {}
+    signs = _Signs(text)
     for kind, *_ in fixed.ATOMS:
-        where[kind] = spans = places(kind, text)
+        where[kind] = spans = places(kind, text, signs)
         if kind == "code_identifier" and spans:
             taken = Cover(where["path_or_url"] + where["file_location"])
             spans = [s for s in spans if not taken.holds(*s)]
@@ -116,7 +159,8 @@ def find(text: str, terms: tuple[str, ...] = ()) -> list[Atom]:
 
 def entities(text: str) -> frozenset[str]:
     """Distinct surfaces of the classes that selection must cover."""
-    return frozenset(text[a:b].strip() for kind in ENTITY for a, b in places(kind, text))
+    signs = _Signs(text)
+    return frozenset(text[a:b].strip() for kind in ENTITY for a, b in places(kind, text, signs))
 
 
 SCHEMA = "atom_seq int, atom_id string, kind string, surface string, canonical string, start long, end long, required boolean"

@@ -21,7 +21,8 @@ TOKEN = re.compile(fixed.TOKEN)
 def terms(text: str) -> Counter:
     """Words and pairs of neighbouring words."""
     words = TOKEN.findall(text.lower())
-    return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+    words += [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return Counter(words)
 
 
 def _weights(texts: list[str]):

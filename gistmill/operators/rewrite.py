@@ -51,8 +51,8 @@ def candidate(text: str, surfaces: frozenset[str] = frozenset(), pruning: bool =
         used.append("discourse_prune")
     short_ok = abbreviations and not HEADER_LIKE.match(now)
     present = now.lower()
-    for phrase, short, rule, pattern, is_short in [r for r in rules() if r[0].lower() in present]:
-        if phrase.lower() in surfaces or (is_short and not short_ok):
+    for phrase, short, rule, pattern, is_short in [r for r in rules() if r[0] in present and (short_ok or not r[4])]:
+        if phrase in surfaces:
             continue
         # a capitalised word inside a unit is likely a name
         changed = pattern.sub(lambda m: m.group() if is_short and m.group()[0].isupper() and m.start() else short, now)

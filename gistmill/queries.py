@@ -268,6 +268,37 @@ def negation_atoms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("n_negations"))
 
 
+@query(f"SELECT CAST(event_id AS BIGINT) AS document_id, unnest(['not every user pays', 'no refund']) AS surface FROM events")
+def atoms_bound_negation(spark, sf_dir):
+    lines = made(spark, sf_dir, "events", "event_id", INCIDENT)
+    return lines.select("document_id", F.explode(T.surfaces(F.col("text"), "bound_negation")).alias("surface"))
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS document_id, '没有完成任' AS surface FROM nation")
+def atoms_cjk_negation(spark, sf_dir):
+    lines = made(spark, sf_dir, "nation", "n_nationkey", f"concat('系统', {s('n_nationkey')}, '没有完成任务。')")
+    return lines.select("document_id", F.explode(T.surfaces(F.col("text"), "cjk_negation")).alias("surface"))
+
+
+@query(f"""
+WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS document_id, c_custkey, c_nationkey, c_mktsegment FROM customer)
+SELECT document_id, 'firms' AS surface, 'firms' AS canonical FROM t UNION ALL SELECT document_id, concat({s('c_custkey % 90')}, ' minutes'), '5 seconds' FROM t WHERE c_custkey % 90 = 5
+UNION ALL SELECT document_id, '5 hours', '5 seconds' FROM t WHERE c_nationkey = 5 UNION ALL SELECT document_id, lower(c_mktsegment), lower(c_mktsegment) FROM t WHERE c_mktsegment = 'MACHINERY'""")
+def required_terms(spark, sf_dir):
+    found = atoms(made(spark, sf_dir, "customer", "c_custkey", WORDY, "clean_text"), terms=("firms", "5 seconds", "Machinery", "absent term"))
+    return found.where("kind = 'required_term'").select("document_id", "surface", "canonical")
+
+
+@query(f"""
+WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, {INCIDENT} AS x FROM events)
+SELECT document_id, CAST(strlen(substring(x, 1, strpos(x, 'CVE') - 1)) AS BIGINT) AS start, CAST(strlen(substring(x, 1, strpos(x, 'CVE') - 1)) + 14 AS BIGINT) AS "end" FROM t""")
+def byte_spans(spark, sf_dir):
+    rows = made(spark, sf_dir, "events", "event_id", INCIDENT)
+    found = atoms(rows, text_col="text").where("kind = 'cve'").join(rows, "document_id")
+    at = lambda c: T.byte_offset(F.col("text"), F.col(c)).cast("long").alias(c)
+    return found.select("document_id", at("start"), at("end"))
+
+
 _COUNTED = ("cve", "ipv6", "uuid", "instance_id", "path_or_url", "timestamp", "modality", "condition", "causality", "compliance_acronym", "email")
 
 
@@ -522,6 +553,29 @@ def validated(spark, sf_dir):
     return validate_results(compile_documents(docs, "id", "content"), docs, "id", "content")
 
 
+@query()
+def stream_compiled(spark, sf_dir):
+    """The documents as a stream, compiled and written by its own checkpoint, then read again."""
+    import os
+    import tempfile
+    import uuid
+
+    from gistmill.streaming.stream import compile_stream, write_stream
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gistmill-checkpoints")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    path = f"{sf_dir}/documents.parquet"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{sf_dir}/documents*.parquet")
+    write_stream(compile_stream(stream, "doc_id", "text"), f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "status", "text")
+
+
+def _is_folder(spark, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isDirectory()
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     out = compile_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", "status", "route", "text", "metrics.input_tokens", "metrics.output_tokens", "metrics.compression_ratio", "metrics.required_atom_coverage")
