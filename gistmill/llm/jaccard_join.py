@@ -17,9 +17,9 @@ allow it. Which shingles count as common thus never decides a result, and every
 Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is paired with the least
 node of its group (a star); pairs that sizes and 2048-bit parity sketches do not rule out are compared exactly, by
 intersecting the sets; links give components. Only keys whose members are still in different components are looked at
-again: members of different components are paired if two exact filters pass (their distances from the common least
+again, and of keys with the same members only one: members of different components are paired if two exact filters pass (their distances from the common least
 node, where known, differ by 1 - percent / 100 at most, as Jaccard distance is a metric; and the sketches), in groups of
-up to 64 by a join, in larger ones in blocks inside a kernel that returns only survivors. Sets are only moved for
+up to 16 by a join, in larger ones in blocks inside a kernel that returns only survivors. Sets are only moved for
 documents of pairs that are left, one document of each node.
 
 Nulls and empty texts: empty set, n_shingles 0, linked with nothing. Fewer words than 4: the whole sequence is the one
@@ -43,7 +43,7 @@ from gistmill.llm.session import blocks, checkpoint, map_blocks, narrow, texts_o
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
 BITS = flat.stream(6, 4096)
-SMALL_GROUP, KERNEL_GROUP, SKETCH = 64, 2048, 2048
+SMALL_GROUP, KERNEL_GROUP, SKETCH = 16, 2048, 2048
 #: Of so many shingles at a time a task reports up to LEADERS that LOCAL texts or more have there.
 SUMMARY, LOCAL, LEADERS = 4_000_000, 3, 50_000
 COMMON, MOST_COMMON = 32, 1_000_000
@@ -288,7 +288,10 @@ def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sketches: DataFram
     """Pairs (src, dst) of members of one key in different components that pass the exact filters."""
     labelled = keys.join(label.withColumnRenamed("node", "n0"), keys["node"] == F.col("n0"), "left").select("key", "node", "least", F.coalesce("label", "node").alias("label"))
     # two members of a key were compared by the star; from three on, members of several components are left
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2").select(F.col("key").alias("k"), "size")
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (0, 1)]
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), *digest).where("lo < hi AND size > 2")
+    # near copies share most of their keys: of keys with the same members one is enough
+    open_keys = open_keys.groupBy("d0", "d1", "size").agg(F.min("key").alias("k")).select("k", "size")
     members = labelled.join(open_keys, labelled["key"] == F.col("k")).drop("k")
     away = star.select(F.col("src").alias("s"), F.col("dst").alias("d"), (F.lit(1.0) - F.col("both") / F.col("total")).alias("far"))
     members = members.join(away, (members["node"] == F.col("s")) & (members["least"] == F.col("d")), "left").where("node <> least").select("key", "node", "label", "size", "far")
