@@ -1,6 +1,6 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
-Text is lower-cased and reduced to runs of letters; each run is predicted letter by letter and to its closing boundary
+Text is lower-cased and reduced to runs of letters (those beside digits only count if there are no others); each run is predicted letter by letter and to its closing boundary
 from up to three characters before it inside the run. A four-character window packs into one 64-bit number (16 bits a
 character; characters beyond the basic plane share one code), so the sorted key arrays are collision-free hash arrays and
 a lookup is a binary search.
@@ -36,10 +36,18 @@ ORDER, EDGE = 4, 0x20
 MOST_WINDOWS = 200_000
 SURE_CHARS = 40
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
+#: Runs that touch no digit; keys and hashes say nothing about a language.
+PURE = re.compile(r"(?<!\d)[^\W\d_]{1,32}+(?!\d)")
 FLUSH, CACHE = 200_000, 200_000
 UND = "und"
 
 
+def letters(text: str) -> list[str]:
+    """Lower-case runs of letters, at most 32 each: those that touch no digit, or all if there are no such runs."""
+    low = text.lower()
+    return PURE.findall(low) or LETTERS.findall(low)
+
+
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed windows ending at each character of each word and at its closing edge, and the word each belongs to."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -92,7 +100,7 @@ def count_windows(documents: DataFrame, id_col: str, text_col: str, lang_col: st
             texts, langs = texts_of(batch), batch.column(1).to_pylist()
             for start, end in blocks(texts):
                 for text, lang in zip(texts.slice(start, end - start).to_pylist(), langs[start:end], strict=True):
-                    words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                    words.setdefault(lang, Counter()).update(letters(text))
                     if len(words[lang]) > FLUSH:
                         settle(lang)
                         if len(sums[lang][0]) > 4 * FLUSH:
@@ -215,7 +223,7 @@ class Scorer:
 
     def block(self, texts: list[str]) -> dict:
         model, n = self.model, len(texts)
-        lists = [LETTERS.findall(t.lower()) for t in texts]
+        lists = [letters(t) for t in texts]
         if len(self.place) > CACHE:
             self.__init__(model)
         missing = [*set().union(*lists).difference(self.place)]

@@ -16,7 +16,7 @@ the same words but for one inserted, deleted or replaced word. So of every such
 A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``min_words`` left.
 
 Nulls: a null text stays null and has no lines; a null doc_id comes last in the order. Rows with one doc_id count as one
-document: they do not make each other's lines go, and share what goes. Ties cannot arise otherwise. Empty and very long
+document: equal lines of theirs do not make each other go, and what goes from one goes from all. Ties cannot arise otherwise. Empty and very long
 texts, empty tables and extra columns need no special care; text that loses nothing is returned unchanged.
 """
 
@@ -45,13 +45,11 @@ class Lines:
         words = self.words = flat.Words(texts, flat.SPACES)
         off = words.off
         breaks = np.flatnonzero(words.buf == 0x0A)
-        full = np.flatnonzero(np.diff(off) >= 0)
-        self.start = np.sort(np.concatenate([off[:-1][full], breaks + 1]), kind="stable")
-        # a text's first line starts with it; a break's line belongs to the text that holds the break
-        owner = np.concatenate([full, np.searchsorted(off, breaks, side="right") - 1])
-        order = np.lexsort((np.concatenate([off[:-1][full], breaks + 1]), owner))
-        self.start = np.concatenate([off[:-1][full], breaks + 1])[order]
-        self.doc = owner[order]
+        # a text's first line starts with it; a break's next line belongs to the text that holds the break
+        starts = np.concatenate([off[:-1], breaks + 1])
+        owner = np.concatenate([np.arange(len(texts)), np.searchsorted(off, breaks, side="right") - 1])
+        order = np.lexsort((starts, owner))
+        self.start, self.doc = starts[order], owner[order]
         end = np.empty_like(self.start)
         last = np.concatenate([self.doc[1:] != self.doc[:-1], [True]]) if len(self.doc) else np.zeros(0, dtype=bool)
         end[:-1] = self.start[1:] - 1
