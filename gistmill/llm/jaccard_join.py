@@ -15,7 +15,7 @@ also all segments of its whole set; there, light ones (fewer than three shingles
 allow it. Which shingles count as common thus never decides a result, and every linked pair keeps a common key.
 
 Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is paired with the least
-node of its group (a star); pairs that sizes and 2048-bit parity sketches do not rule out are compared exactly, by
+node of its group (a star); pairs that sizes and 512-bit parity sketches do not rule out are compared exactly, by
 intersecting the sets; links give components. Only keys whose members are still in different components are looked at
 again, and of keys with the same members only one: members of different components are paired if two exact filters pass (their distances from the common least
 node, where known, differ by 1 - percent / 100 at most, as Jaccard distance is a metric; and the sketches), in groups of
@@ -43,7 +43,7 @@ from gistmill.llm.session import blocks, checkpoint, map_blocks, narrow, texts_o
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
 BITS = flat.stream(6, 4096)
-SMALL_GROUP, KERNEL_GROUP, SKETCH = 16, 2048, 2048
+SMALL_GROUP, KERNEL_GROUP, SKETCH = 16, 2048, 512
 #: Of so many shingles at a time a task reports up to LEADERS that LOCAL texts or more have there.
 SUMMARY, LOCAL, LEADERS = 4_000_000, 3, 50_000
 COMMON, MOST_COMMON = 32, 1_000_000
@@ -284,8 +284,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "na", "nb", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (src, dst) of members of one key in different components that pass the exact filters."""
+def _open_members(keys: DataFrame, star: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, label, size, far): members of keys with several components, but for the least node, which the star compared."""
     labelled = keys.join(label.withColumnRenamed("node", "n0"), keys["node"] == F.col("n0"), "left").select("key", "node", "least", F.coalesce("label", "node").alias("label"))
     # two members of a key were compared by the star; from three on, members of several components are left
     digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (0, 1)]
@@ -295,7 +295,14 @@ def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sketches: DataFram
     members = labelled.join(open_keys, labelled["key"] == F.col("k")).drop("k")
     away = star.select(F.col("src").alias("s"), F.col("dst").alias("d"), (F.lit(1.0) - F.col("both") / F.col("total")).alias("far"))
     members = members.join(away, (members["node"] == F.col("s")) & (members["least"] == F.col("d")), "left").where("node <> least").select("key", "node", "label", "size", "far")
-    members = checkpoint(members)
+    return checkpoint(members)
+
+
+def _rest(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (src, dst) of members of one key in different components that pass the exact filters.
+
+    ``forest``: of the pairs that a large group's blocks find, only as many as would join what they could join.
+    """
     near = 1 - percent / 100 + 1e-9
     few, many = members.where(F.col("size") <= SMALL_GROUP), members.where(F.col("size") > SMALL_GROUP)
     a, b = few.alias("a"), few.alias("b")
@@ -313,13 +320,17 @@ def _rest(keys: DataFrame, star: DataFrame, label: DataFrame, sketches: DataFram
         import pandas as pd
 
         found = []
-        n, label, node = (pdf[c].to_numpy() for c in ("n", "label", "node"))
+        n, label, node = (pdf[c].to_numpy(copy=True) for c in ("n", "label", "node"))
         far = pdf["far"].to_numpy(dtype=float, na_value=np.nan)
         rows = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(-1, SKETCH // 64)
         for i in range(len(pdf) - 1):
             j = np.arange(i + 1, len(pdf))
             j = j[(label[j] != label[i]) & ~(np.abs(far[j] - far[i]) > near)]
             j = j[_may_link(n[j], n[i], _apart(rows[j], rows[i]), percent)]
+            while forest and len(j):
+                found.append((min(node[i], node[j[0]]), max(node[i], node[j[0]])))
+                label[label == label[j[0]]] = label[i]
+                j = j[label[j] != label[i]]
             found += [(min(node[i], v), max(node[i], v)) for v in node[j]]
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
@@ -354,14 +365,22 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     linked = F.col("both") * 100 >= F.col("total") * percent
     links = star.where(linked).select("src", "dst")
     label = checkpoint(components(links))
-    rest = checkpoint(_rest(keys, star, label, sketches, percent))
-    if rest.isEmpty():
-        more = rest
-    else:
+    members_ = _open_members(keys, star, label)
+    more = links.limit(0)
+    # first every pair of small groups and as few of large ones as could join all; then every pair that large ones still have open
+    for forest in (True, False):
+        rest = checkpoint(_rest(members_, sketches, percent, forest))
+        if rest.isEmpty():
+            break
         sets = _sets(docs, shingle, _marks(_ends(rest), members))
-        more = checkpoint(_compared(rest, sets).where(linked).select("src", "dst").distinct())
-    if not more.isEmpty():
-        label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(more)))
+        new = checkpoint(_compared(rest, sets).where(linked).select("src", "dst").distinct())
+        if not new.isEmpty():
+            more = more.unionByName(new)
+            label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(new)))
+        now = label.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
+        members_ = members_.join(now, members_["node"] == now["n1"], "left").select("key", "node", F.coalesce("l1", "label").alias("label"), "size", "far").where(F.col("size") > SMALL_GROUP)
+        live = members_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+        members_ = checkpoint(members_.join(live, members_["key"] == live["k"], "left_semi"))
     found = links.unionByName(more)
     degree = found.select(F.explode(F.array("src", "dst")).alias("dn")).groupBy("dn").agg(F.count("*").alias("n_links"))
     placed = members.join(label.withColumnRenamed("node", "ln"), members["node"] == F.col("ln"), "left").select("doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
