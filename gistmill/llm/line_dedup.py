@@ -13,7 +13,8 @@ the same words but for one inserted, deleted or replaced word. So of every such
    place is one edit from it), so no pairs are formed inside a group.
 4. Every found pair is verified on the words themselves before the later line goes.
 
-A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``min_words`` left.
+A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``own_words`` left
+(``min_words`` where it is not given; the queries and the pipeline give 1: any line with a word keeps its document).
 
 Nulls: a null text stays null and has no lines; a null doc_id comes last in the order. Rows with one doc_id count as one
 document: equal lines of theirs do not make each other go, and what goes from one goes from all. Ties cannot arise otherwise. Empty and very long
@@ -225,7 +226,7 @@ def line_drops(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return copies.unionByName(_near(docs, first, min_words)).groupBy("doc").agg(F.collect_set("h1").alias("hashes"))
 
 
-def _cut(texts: pa.Array, drops: list, min_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+def _cut(texts: pa.Array, drops: list, min_words: int, own_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """New texts (None: unchanged), line counts, dropped counts, emptied flags."""
     lines = Lines(texts)
     eligible = lines.n >= min_words
@@ -237,7 +238,7 @@ def _cut(texts: pa.Array, drops: list, min_words: int) -> tuple[list, np.ndarray
         gone |= eligible & np.isin(flat.mix(lines.h1 ^ flat.mix(lines.doc.astype(np.uint64))), marks)
     n = len(texts)
     counts, dropped = np.bincount(lines.doc, minlength=n), np.bincount(lines.doc[gone], minlength=n)
-    left = np.bincount(lines.doc[eligible & ~gone], minlength=n)
+    left = np.bincount(lines.doc[(lines.n >= own_words) & ~gone], minlength=n)
     raw, _ = flat.raw(texts)
     raw = raw.tobytes()
     first = np.searchsorted(lines.doc, np.arange(n + 1))
@@ -257,7 +258,7 @@ def _joined(documents: DataFrame, drops: DataFrame, id_col: str) -> tuple[DataFr
     return documents.join(drops, key == drops[name + "k"], "left").drop(name + "k"), name
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, emptied, text (what is left)."""
     narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined, name = _joined(narrow, line_drops(narrow, "doc_id", "text", min_words), "doc_id")
@@ -265,7 +266,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def step(batch):
         old = batch.column(1)
-        new, counts, dropped, emptied = _cut(texts_of(batch), batch.column(2).to_pylist(), min_words)
+        new, counts, dropped, emptied = _cut(texts_of(batch), batch.column(2).to_pylist(), min_words, own_words or min_words)
         null = old.is_null().to_numpy(zero_copy_only=False)
         texts = pa.array([o if t is None else t for o, t in zip(old.to_pylist(), new, strict=True)], pa.string())
         yield {"doc_id": batch.column(0), "n_lines": np.where(null, 0, counts), "n_dropped": dropped, "emptied": emptied, "text": texts}
@@ -273,7 +274,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return map_blocks(joined.select("doc_id", "text", name), "doc_id long, n_lines long, n_dropped long, emptied boolean, text string", step, types)
 
 
-def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """The documents, with all their columns, without repeated lines; emptied documents go."""
     joined, name = _joined(documents, line_drops(documents, id_col, text_col, min_words), id_col)
     at, width = documents.columns.index(text_col), len(documents.columns)
@@ -283,7 +284,7 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
             column = batch.column(at).cast(pa.string())
             texts, drops = column.fill_null(""), batch.column(width).to_pylist()
             for start, end in blocks(texts):
-                new, _, _, emptied = _cut(texts.slice(start, end - start), drops[start:end], min_words)
+                new, _, _, emptied = _cut(texts.slice(start, end - start), drops[start:end], min_words, own_words or min_words)
                 own = batch.slice(start, end - start)
                 out = pa.array([o if t is None else t for o, t in zip(column.slice(start, end - start).to_pylist(), new, strict=True)], pa.string())
                 arrays = [out if i == at else own.column(i) for i in range(width)]

@@ -53,7 +53,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: line counts, whether it was emptied, and a digest of what is left."""
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(_table(spark, sf_dir, "documents"), own_words=1).select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from gistmill.llm.line_dedup import dedup_lines, drop_repeated_lines, within_one_edit
 
 M = 5
@@ -89,3 +90,11 @@ def test_empty_table(spark):
 def test_edit_check():
     assert within_one_edit(list("abc"), list("abc")) and within_one_edit(list("abc"), list("ac")) and within_one_edit(list("abc"), list("axc"))
     assert not within_one_edit(list("abc"), list("acb")) and not within_one_edit(list("abcd"), list("ab"))
+
+
+def test_short_lines_of_its_own_keep_a_document(spark):
+    licence = "one two three four five six"
+    docs = [(1, licence), (2, licence + "\nown verse"), (3, licence + "\n\u4e00\u4e8c\u4e09"), (4, licence + "\n \n")]
+    assert {r.doc_id: r.emptied for r in dedup_lines(frame(spark, docs), own_words=1).collect()} == {1: False, 2: False, 3: False, 4: True}
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert got == {1: licence, 2: "own verse", 3: "\u4e00\u4e8c\u4e09"}
