@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. Language ID: documents that the language models reject go.
-2. Line dedup: lines within one word edit of an earlier line go; documents left without a word go.
+2. Line dedup: exact copies of an earlier line go, and lines of five words or more within one word edit of one; documents left without a word go.
 3. N-gram Jaccard join: of every group of linked documents the one of smallest id stays.
 4. Benchmark decontamination: documents with a hit go.
 5. BPE: token ids' and decoded texts' digests of what is left.

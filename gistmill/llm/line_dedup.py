@@ -1,8 +1,10 @@
 """Line deduplication within one word edit, by a deletion-neighbourhood join.
 
-Lines are cut at ``\\n``; a line is its sequence of words (runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased). Lines of fewer than
-``min_words`` words are never touched. A line goes if an earlier line (by doc_id, then line number) has the same words, or
-the same words but for one inserted, deleted or replaced word. So of every such line the earliest stays.
+Lines are cut at ``\\n``; a line is its sequence of words (runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased). A line goes if
+an earlier line (by doc_id, then line number) has the same words, or, among lines of ``min_words`` words or more, the same
+words but for one inserted, deleted or replaced word. So of every such line the earliest stays. ``own_words`` is the least
+number of words from which exact copies go (``min_words`` where it is not given; the queries and the pipeline give 1: every
+line with a word). Lines without a word are never touched.
 
 1. Exact copies: distinct lines by a 128-bit hash, each with its first document.
 2. Pre-filter without loss: two lines one edit apart agree in a prefix or a suffix of about half their words, so each
@@ -13,8 +15,7 @@ the same words but for one inserted, deleted or replaced word. So of every such
    place is one edit from it), so no pairs are formed inside a group.
 4. Every found pair is verified on the words themselves before the later line goes.
 
-A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``own_words`` left
-(``min_words`` where it is not given; the queries and the pipeline give 1: any line with a word keeps its document).
+A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``own_words`` left.
 
 Nulls: a null text stays null and has no lines; a null doc_id comes last in the order. Rows with one doc_id count as one
 document: equal lines of theirs do not make each other go, and what goes from one goes from all. Ties cannot arise otherwise. Empty and very long
@@ -95,30 +96,31 @@ class Lines:
         return [prefix, suffix, third]
 
 
-def _first_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Distinct lines: h1, h2, doc and line of the first, number of documents with it, half keys."""
+def _first_lines(docs: DataFrame, min_words: int, own_words: int) -> DataFrame:
+    """Distinct lines: h1, h2, doc and line of the first, last document with it, half keys (null below ``min_words``)."""
     names = ["h1", "h2", "doc", "line", "k1", "k2", "k3"]
     types = pa.schema([(n, pa.int64()) for n in names])
 
     def step(batch):
         lines = Lines(texts_of(batch))
-        eligible = lines.n >= min_words
+        eligible = lines.n >= own_words
         at = np.flatnonzero(eligible & ~lines.repeated(eligible))
+        short = lines.n[at] < min_words
         ids = batch.column(0).to_numpy()[lines.doc[at]]
-        yield {"h1": lines.h1[at].view(np.int64), "h2": lines.h2[at].view(np.int64), "doc": ids, "line": lines.number[at]} | {f"k{i + 1}": k.view(np.int64) for i, k in enumerate(lines.halves(at))}
+        yield {"h1": lines.h1[at].view(np.int64), "h2": lines.h2[at].view(np.int64), "doc": ids, "line": lines.number[at]} | {f"k{i + 1}": pa.array(k.view(np.int64), mask=short) for i, k in enumerate(lines.halves(at))}
 
     rows = map_blocks(docs, ", ".join(f"{n} long" for n in names), step, types)
     return rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.max("doc").alias("last"), *[F.min(k).alias(k) for k in ("k1", "k2", "k3")])
 
 
-def _copies(docs: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
+def _copies(docs: DataFrame, repeated: DataFrame, own_words: int) -> DataFrame:
     """(doc, h1) of lines whose first copy is in an earlier document."""
     wanted = docs.sparkSession.sparkContext.broadcast(bits.build(repeated, "h1"))
     types = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "doc")])
 
     def step(batch):
         lines = Lines(texts_of(batch))
-        at = np.flatnonzero(lines.n >= min_words)
+        at = np.flatnonzero(lines.n >= own_words)
         at = at[bits.maybe(wanted.value, lines.h1[at])]
         yield {"h1": lines.h1[at].view(np.int64), "h2": lines.h2[at].view(np.int64), "doc": batch.column(0).to_numpy()[lines.doc[at]]}
 
@@ -198,7 +200,7 @@ def _verified(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
 
 def _near(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     """(doc, h1) of distinct lines that are one edit from an earlier line."""
-    keyed = first.select("h1", "h2", "doc", "line", F.explode(F.array("k1", "k2", "k3")).alias("half"))
+    keyed = first.where("k1 IS NOT NULL").select("h1", "h2", "doc", "line", F.explode(F.array("k1", "k2", "k3")).alias("half"))
     common = keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("half")
     lines = checkpoint(keyed.join(common, "half", "left_semi").drop("half").distinct())
     survivors = checkpoint(_with_words(docs, lines, min_words))
@@ -216,20 +218,21 @@ def _near(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     return _verified(checkpoint(replaced.unionByName(inserted).distinct()), survivors)
 
 
-def line_drops(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_drops(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """(doc, hashes): for each document the hashes of lines that go because of an earlier document's or line's."""
     if min_words < 3:
         raise ValueError("min_words must be 3 or more")
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    first = checkpoint(_first_lines(docs, min_words))
-    copies = _copies(docs, first.where("last > doc"), min_words)
+    own_words = own_words or min_words
+    first = checkpoint(_first_lines(docs, min_words, own_words))
+    copies = _copies(docs, first.where("last > doc"), own_words)
     return copies.unionByName(_near(docs, first, min_words)).groupBy("doc").agg(F.collect_set("h1").alias("hashes"))
 
 
-def _cut(texts: pa.Array, drops: list, min_words: int, own_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+def _cut(texts: pa.Array, drops: list, own_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """New texts (None: unchanged), line counts, dropped counts, emptied flags."""
     lines = Lines(texts)
-    eligible = lines.n >= min_words
+    eligible = lines.n >= own_words
     gone = lines.repeated(eligible)
     sizes = [len(x or ()) for x in drops]
     if any(sizes):
@@ -238,7 +241,7 @@ def _cut(texts: pa.Array, drops: list, min_words: int, own_words: int) -> tuple[
         gone |= eligible & np.isin(flat.mix(lines.h1 ^ flat.mix(lines.doc.astype(np.uint64))), marks)
     n = len(texts)
     counts, dropped = np.bincount(lines.doc, minlength=n), np.bincount(lines.doc[gone], minlength=n)
-    left = np.bincount(lines.doc[(lines.n >= own_words) & ~gone], minlength=n)
+    left = np.bincount(lines.doc[eligible & ~gone], minlength=n)
     raw, _ = flat.raw(texts)
     raw = raw.tobytes()
     first = np.searchsorted(lines.doc, np.arange(n + 1))
@@ -261,12 +264,12 @@ def _joined(documents: DataFrame, drops: DataFrame, id_col: str) -> tuple[DataFr
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, emptied, text (what is left)."""
     narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined, name = _joined(narrow, line_drops(narrow, "doc_id", "text", min_words), "doc_id")
+    joined, name = _joined(narrow, line_drops(narrow, "doc_id", "text", min_words, own_words), "doc_id")
     types = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("emptied", pa.bool_()), ("text", pa.string())])
 
     def step(batch):
         old = batch.column(1)
-        new, counts, dropped, emptied = _cut(texts_of(batch), batch.column(2).to_pylist(), min_words, own_words or min_words)
+        new, counts, dropped, emptied = _cut(texts_of(batch), batch.column(2).to_pylist(), own_words or min_words)
         null = old.is_null().to_numpy(zero_copy_only=False)
         texts = pa.array([o if t is None else t for o, t in zip(old.to_pylist(), new, strict=True)], pa.string())
         yield {"doc_id": batch.column(0), "n_lines": np.where(null, 0, counts), "n_dropped": dropped, "emptied": emptied, "text": texts}
@@ -276,7 +279,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """The documents, with all their columns, without repeated lines; emptied documents go."""
-    joined, name = _joined(documents, line_drops(documents, id_col, text_col, min_words), id_col)
+    joined, name = _joined(documents, line_drops(documents, id_col, text_col, min_words, own_words), id_col)
     at, width = documents.columns.index(text_col), len(documents.columns)
 
     def run(batches):
@@ -284,7 +287,7 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
             column = batch.column(at).cast(pa.string())
             texts, drops = column.fill_null(""), batch.column(width).to_pylist()
             for start, end in blocks(texts):
-                new, _, _, emptied = _cut(texts.slice(start, end - start), drops[start:end], min_words, own_words or min_words)
+                new, _, _, emptied = _cut(texts.slice(start, end - start), drops[start:end], own_words or min_words)
                 own = batch.slice(start, end - start)
                 out = pa.array([o if t is None else t for o, t in zip(column.slice(start, end - start).to_pylist(), new, strict=True)], pa.string())
                 arrays = [out if i == at else own.column(i) for i in range(width)]

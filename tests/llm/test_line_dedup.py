@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from gistmill.llm.line_dedup import dedup_lines, drop_repeated_lines, within_one_edit
+from gistmill.llm.line_dedup import MIN_WORDS, dedup_lines, drop_repeated_lines, within_one_edit
 
 M = 5
 
@@ -98,3 +98,29 @@ def test_short_lines_of_its_own_keep_a_document(spark):
     assert {r.doc_id: r.emptied for r in dedup_lines(frame(spark, docs), own_words=1).collect()} == {1: False, 2: False, 3: False, 4: True}
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
     assert got == {1: licence, 2: "own verse", 3: "\u4e00\u4e8c\u4e09"}
+
+
+def brute_own(docs):
+    """As ``brute``, with exact copies of every line that has a word."""
+    lines = sorted((d, k, words(x)) for d, t in docs for k, x in enumerate(t.split("\n")))
+    out = {}
+    for d, t in docs:
+        kept = []
+        for k, x in enumerate(t.split("\n")):
+            w = words(x)
+            earlier = [v for e, j, v in lines if (e, j) < (d, k)]
+            near = len(w) >= MIN_WORDS and any(len(v) >= MIN_WORDS and abs(len(v) - len(w)) < 2 and distance(v, w) < 2 for v in earlier)
+            if not w or not (near or w in earlier):
+                kept.append(x)
+        out[d] = (len(kept) < t.count("\n") + 1 and not any(map(words, kept)), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_exact_copies_of_short_lines_go(spark, seed):
+    docs = corpus(seed) + [(1, "Les.\n\n"), (2, "les.\n\nLes.\nnew"), (3, "\u4e00\u4e8c\u4e09\u56db" * 9), (4, "\u4e00\u4e8c\u4e09\u56db" * 9)]
+    got = {r.doc_id: (r.emptied, r.text) for r in dedup_lines(frame(spark, docs), own_words=1).collect()}
+    assert got == brute_own(docs)
+    assert got[2] == (False, "\nnew") and got[4] == (True, "")
+    kept = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {d: t for d, (emptied, t) in got.items() if not emptied}
