@@ -489,15 +489,36 @@ def rewrite_gate(spark, sf_dir):
 
 
 # ---- validation and rendering ----------------------------------------------------------------------------------------
+def byte_segments(docs: DataFrame) -> DataFrame:
+    """(document_id, unit_seq, start, end, text): the sentences of whole documents with their byte spans."""
+    rows = docs.select(F.col("doc_id").alias("document_id"), "text")
+    spans = native.sentence_spans(rows.select(F.struct("document_id", F.col("text").alias("whole")).alias("doc"), "text"), "doc")
+    at = lambda c: T.byte_offset(F.col("doc.whole"), F.col(c)).cast("long").alias(c)
+    return spans.select("doc.document_id", F.col("unit_seq").cast("long").alias("unit_seq"), at("start"), at("end"), "text")
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("document_id"), F.to_binary("text", F.lit("utf-8")).alias("content"))
+
+
 _WRONG = "CASE WHEN doc_id % 3 = 0 THEN concat(substring(text, 1, 10), '?') ELSE substring(text, 1, 20) END"
 
 
 @query(f"SELECT doc_id AS document_id, CAST(0 AS BIGINT) AS unit_seq FROM documents WHERE trim({_WRONG}) <> trim(substring(text, 1, 20))")
 def copy_validation(spark, sf_dir):
+    """Altered first segments as unit 0; every sentence of the whole text as it is behind it, where nothing may be found."""
     docs = table(spark, sf_dir, "documents")
     segments = docs.selectExpr("doc_id AS document_id", "CAST(0 AS BIGINT) AS unit_seq", "CAST(0 AS BIGINT) AS start", "CAST(octet_length(substring(text, 1, 20)) AS BIGINT) AS end", f"{_WRONG} AS text")
-    sources = docs.select(F.col("doc_id").alias("document_id"), F.to_binary("text", F.lit("utf-8")).alias("content"))
-    return validate.copy_violations(segments, sources).select("document_id", "unit_seq")
+    whole = byte_segments(docs).withColumn("unit_seq", F.col("unit_seq") + 1)
+    return validate.copy_violations(segments.unionByName(whole), contents(docs)).select("document_id", "unit_seq")
+
+
+@query(f"SELECT document_id, unit_seq FROM ({SQL['sentences']}) WHERE (document_id + unit_seq) % 3 = 0")
+def copy_validation_spans(spark, sf_dir):
+    """Every sentence of the whole text with its byte span as a copy segment, a third of them altered."""
+    docs = table(spark, sf_dir, "documents")
+    wrong = F.when((F.col("document_id") + F.col("unit_seq")) % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    return validate.copy_violations(byte_segments(docs).withColumn("text", wrong), contents(docs)).select("document_id", "unit_seq")
 
 
 @query(f"""
