@@ -7,8 +7,8 @@ a lookup is a binary search.
 
 Training counts windows over all texts of known language that are not held out: each task counts distinct words, then
 their windows, and only these partial sums are shuffled. Lower orders use continuation counts, discounts follow from
-counts of counts. The driver gets the summed table of distinct windows, at most ``most_windows`` of each language (the
-rarest go first, by one cut on the count), hence a bounded model.
+counts of counts. The driver gets the summed table of all distinct windows, 16 bytes each, language by language; nothing is
+left out unless the caller bounds it with ``most_windows`` (then the rarest go first, by one cut on the count).
 
 A text gets the language of lowest cross-entropy per predicted character. Rejection is calibrated per language halfway
 between the cross-entropy of its own training windows and that of the nearest other language's windows under its
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from gistmill.llm.session import blocks, checkpoint, held_out, map_blocks, texts_of
 
 ORDER, EDGE = 4, 0x20
-MOST_WINDOWS = 200_000
 SURE_CHARS = 40
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
 #: Runs that touch no digit; keys and hashes say nothing about a language.
@@ -192,15 +191,15 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[place] == wanted, values[place], 0.0)
 
 
-def train(documents: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", most_windows: int = MOST_WINDOWS) -> Model:
+def train(documents: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", most_windows: int | None = None) -> Model:
     """Models of all languages; ``id_col`` None learns from all rows, else held-out rows are left out."""
     counts = checkpoint(count_windows(documents, id_col, text_col, lang_col))
-    # the rarest windows go where a language has too many: the cut follows from a histogram of counts
+    # with a bound the rarest windows go where a language has too many: the cut follows from a histogram of counts
     levels = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect()
     cuts = {}
     for lang in sorted({r.lang for r in levels}):
         cut, kept = 1, sum(r.k for r in levels if r.lang == lang)
-        while kept > most_windows and cut < 1000:
+        while most_windows is not None and kept > most_windows and cut < 1000:
             kept -= sum(r.k for r in levels if r.lang == lang and r.n == cut)
             cut += 1
         cuts[lang] = cut

@@ -86,3 +86,14 @@ def test_windows_match_a_plain_loop():
             want.append((v, k))
     packed, owner = windows(words)
     assert list(zip(packed.tolist(), owner.tolist(), strict=True)) == want
+
+
+def test_all_windows_are_kept(spark):
+    """A script of many characters has more than 200,000 distinct windows, nearly all of them once."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30)) for _ in range(100)) for _ in range(100)]
+    df = frame(spark, [(i, t, "zz") for i, t in enumerate(texts)])
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    want, n = np.unique(windows([w for t in learned for w in letters(t)])[0], return_counts=True)
+    keys, counts = train(df).counts[0][0]
+    assert len(want) > 200_000 and np.array_equal(keys, want) and np.array_equal(counts, n)
