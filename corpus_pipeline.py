@@ -45,7 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row of smallest doc_id stays; of repeated rows of that id, one."""
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, count_links=False)
     rest = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     kept = _without(docs, rest)
     many = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))

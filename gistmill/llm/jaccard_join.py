@@ -22,6 +22,10 @@ node, where known, differ by 1 - percent / 100 at most, as Jaccard distance is a
 up to 16 by a join, in larger ones in blocks inside a kernel that returns only survivors. Sets are only moved for
 documents of pairs that are left, one document of each node.
 
+Links are counted once the components are known: every link lies in one component, so all sets of a component are compared
+exactly, in blocks of about ``BLOCK_VALUES`` shingles that meet pairwise in a kernel; it returns a count for each node, no
+pairs. A component of two nodes needs no comparison. A linked node counts with its copies, and so do a node's own others.
+
 Nulls and empty texts: empty set, n_shingles 0, linked with nothing. Fewer words than 4: the whole sequence is the one
 shingle. A null doc_id keeps a row; it is no smallest id of a component unless alone (then null). Repeated rows link like any
 copies. An empty table gives an empty result. Extra columns are ignored.
@@ -44,6 +48,7 @@ SHINGLE, PERCENT = 4, 85
 LIGHT = 3
 BITS = flat.stream(6, 4096)
 SMALL_GROUP, KERNEL_GROUP, SKETCH = 16, 2048, 2048
+BLOCK_VALUES = 1 << 19
 #: Of so many shingles at a time a task reports up to LEADERS that LOCAL texts or more have there.
 SUMMARY, LOCAL, LEADERS = 4_000_000, 3, 50_000
 COMMON, MOST_COMMON = 32, 1_000_000
@@ -347,8 +352,45 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("src", "dst")).alias("vn")).distinct()
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (links that the search confirmed for its set)."""
+def _degrees(docs: DataFrame, members: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
+    """(dn, n_links): for each node the number of other documents that a document of it links with."""
+    copies = members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("n_shingles").alias("n"))
+    placed = checkpoint(copies.join(label.withColumnRenamed("node", "ln"), copies["node"] == F.col("ln"), "left").select("node", "copies", "n", "label"))
+    groups = placed.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("nodes"), F.sum("copies").alias("all"), F.sum("n").alias("values")).withColumnRenamed("label", "gl")
+    inside = placed.join(groups, placed["label"] == F.col("gl")).drop("gl")
+    two = inside.where("nodes = 2").select("node", (F.col("all") - F.col("copies")).alias("linked"))
+    wide = checkpoint(inside.where("nodes > 2").withColumn("parts", F.ceil(F.col("values") / BLOCK_VALUES)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    sets = _sets(docs, k, _marks(wide.select(F.col("node").alias("vn")), members)).dropDuplicates(["node"]).withColumnRenamed("node", "sn")
+    wide = wide.join(sets, wide["node"] == F.col("sn")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    wide = wide.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).select("label", "x", "y", "part", "node", "copies", "hashes")
+
+    def blockwise(pdf):
+        import pandas as pd
+
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in pdf["hashes"]]
+        part, copies = pdf["part"].to_numpy(), pdf["copies"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mine, apart = np.zeros(len(names), dtype=bool), pdf["x"].iloc[0] != pdf["y"].iloc[0]
+        linked = np.zeros(len(pdf), dtype=np.int64)
+        for i in range(len(pdf)):
+            own = ids[first[i] : first[i + 1]]
+            mine[own] = True
+            both = np.add.reduceat(mine[ids], first[:-1], dtype=np.int64)
+            mine[own] = False
+            ok = both * 100 >= (sizes + sizes[i] - both) * percent
+            ok[i] = False
+            # two different blocks: pairs inside each are counted where it meets itself
+            linked[i] = copies[ok & (part != part[i]) if apart else ok].sum()
+        return pd.DataFrame({"node": pdf["node"].to_numpy(), "linked": linked})
+
+    found = two.unionByName(wide.groupBy("label", "x", "y").applyInPandas(blockwise, "node long, linked long")).groupBy(F.col("node").alias("fn")).agg(F.sum("linked").alias("linked"))
+    return placed.join(found, placed["node"] == F.col("fn"), "left").select(F.col("node").alias("dn"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, with ``count_links``, n_links (other documents that it links with)."""
     docs = narrow(documents, id_col, text_col)
     members = checkpoint(_members(docs, shingle))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
@@ -366,7 +408,6 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     links = star.where(linked).select("src", "dst")
     label = checkpoint(components(links))
     members_ = _open_members(keys, star, label)
-    more = links.limit(0)
     # first every pair of small groups and as few of large ones as could join all; then every pair that large ones still have open
     for forest in (True, False):
         rest = checkpoint(_rest(members_, sketches, percent, forest))
@@ -375,17 +416,17 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         sets = _sets(docs, shingle, _marks(_ends(rest), members))
         new = checkpoint(_compared(rest, sets).where(linked).select("src", "dst").distinct())
         if not new.isEmpty():
-            more = more.unionByName(new)
             label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(new)))
         now = label.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
         members_ = members_.join(now, members_["node"] == now["n1"], "left").select("key", "node", F.coalesce("l1", "label").alias("label"), "size", "far").where(F.col("size") > SMALL_GROUP)
         live = members_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
         members_ = checkpoint(members_.join(live, members_["key"] == live["k"], "left_semi"))
-    found = links.unionByName(more)
-    degree = found.select(F.explode(F.array("src", "dst")).alias("dn")).groupBy("dn").agg(F.count("*").alias("n_links"))
     placed = members.join(label.withColumnRenamed("node", "ln"), members["node"] == F.col("ln"), "left").select("doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    placed = placed.join(degree, placed["node"] == F.col("dn"), "left").select("doc_id", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = []
+    if count_links:
+        degree, counted = _degrees(docs, members, label, shingle, percent), ["n_links"]
+        placed = placed.join(degree, placed["node"] == F.col("dn"), "left").select("doc_id", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     full = placed.where("n_shingles > 0")
     least = full.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("label", "l2")
-    out = full.join(least, full["label"] == F.col("l2")).select("doc_id", "n_shingles", "component_id", "n_links")
-    return out.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links"))
+    out = full.join(least, full["label"] == F.col("l2")).select("doc_id", "n_shingles", "component_id", *counted)
+    return out.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *counted))

@@ -111,3 +111,15 @@ def test_keys_keep_every_linked_pair(share):
             if a and a != b and 100 * len(a & b) >= 85 * len(a | b):
                 assert by[i] & by[j]
     assert len(np.unique(sets.node)) > 10
+
+
+@pytest.mark.parametrize("values", [1 << 19, 300])
+def test_links_are_counted(spark, monkeypatch, values):
+    """All links, those inside a component and those of copies too, in one block and in many."""
+    monkeypatch.setattr(J, "BLOCK_VALUES", values)
+    docs = corpus(3, 8, 10) + [(9000, None), (9001, "the repeated row"), (9001, "the repeated row")]
+    sets = [sets_of(t) for _, t in docs]
+    want = sorted((d, sum(i != j and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets))) for i, ((d, _), x) in enumerate(zip(docs, sets, strict=True)))
+    got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == want and max(n for _, n in want) > 4
+    assert J.jaccard_components(spark.createDataFrame(docs[:5], "doc_id long, text string"), count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
