@@ -548,7 +548,7 @@ def rendered_texts(spark, sf_dir):
 def corpus(spark, sf_dir) -> DataFrame:
     """(id, content): documents, pages, and mails, logs, tables, code and markdown made from rows."""
     t = lambda n: table(spark, sf_dir, n)
-    parts = [("doc", t("documents"), "doc_id", "text"), ("page", t("pages"), "page_id", "html"), ("log", t("events").where("event_type = 'error'"), "event_id", CARGO), ("code", t("nation"), "n_nationkey", CODE), ("md", t("customer"), "c_custkey", MARKDOWN), ("mail", t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), "o_orderkey", MAIL)]
+    parts = [("doc", t("documents"), "doc_id", "text"), ("page", t("pages"), "page_id", "html"), ("log", t("events"), "event_id", CARGO), ("code", t("nation"), "n_nationkey", CODE), ("md", t("customer"), "c_custkey", MARKDOWN), ("mail", t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), "o_orderkey", MAIL)]
     out = None
     for name, df, key, text in parts:
         one = df.selectExpr(f"concat('{name}:', CAST({key} AS STRING)) AS id", f"{text} AS content")
