@@ -85,8 +85,8 @@ SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apike
 CUES = {"secret": SECRET_CUES + ("key", "credential", "bearer"), "phone_local": ("call", "phone", "tel", "fax", "mobile", "contact"), "email_spelled": ("mail", "contact", "write", "reach"), "iban": ("iban", "account", "bank", "konto"), "ssn": ("ssn", "social", "security")}
 WRONG_CUES = ("version", "isbn", "issue", "commit", "sha", "md5", "checksum", "order", "page", "build", "doi")
 
-ASSIGNED = re.compile(r"(?:" + "|".join(SECRET_CUES) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{8,200})", re.IGNORECASE)
-PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{20,80}|xox[abp]-[A-Za-z0-9-]{10,80})(?![A-Za-z0-9])")
+ASSIGNED = re.compile(r"(?:" + "|".join(SECRET_CUES) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{8,})", re.IGNORECASE)
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.)-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.IGNORECASE)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")

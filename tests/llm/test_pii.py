@@ -94,3 +94,10 @@ def test_em_recovers_reliable_labelers():
     for j in range(6):
         back = back * 3 + v[:, j] + 1
     assert np.array_equal((back * len(pii.ADDED) + k) * 4 + s, codes)
+
+
+def test_long_secrets_are_whole():
+    value = "aB3dE5gH7j" * 50
+    for text, start in ((f"token = {value} end", 8), (f"x sk-{value} end", 2), (f"x ghp_{value} end", 2), (f"x xoxb-{value} end", 2)):
+        assert (start, 0, len(text) - 4) in pii.candidates(text)
+    pii.candidates("token=" + "a" * 300_000 + " sk-" + "b" * 300_000)
