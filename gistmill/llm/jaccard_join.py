@@ -14,7 +14,12 @@ segment with a rare shingle remains, and only such segments are emitted. A set w
 also all segments of its whole set; there, light ones (fewer than three shingles) are left out while the spare ones
 allow it. Which shingles count as common thus never decides a result, and every linked pair keeps a common key.
 
-Equal sets are one node. Joined keys are resolved without pairs inside a group: each member is paired with the least
+The spare segments also prune: a linked pair has at least ``m - D`` equal segments, so a set needs as many shared keys in a
+band, less its empty (or light) ones. Sets with fewer are dropped from the band before anything is shuffled for them.
+
+Equal sets are one node. Sets and shingles are told apart by 64-bit hashes. The first pass over the keys, which only finds
+keys of more than one node, sends 40 bits of each node: a link is missed if two linked nodes agree in these (2^-40 a pair)
+and no third one shares their keys. Joined keys are resolved without pairs inside a group: each member is paired with the least
 node of its group (a star); pairs that sizes and 2048-bit parity sketches do not rule out are compared exactly, by
 intersecting the sets; links give components. Only keys whose members are still in different components are looked at
 again, and of keys with the same members only one: members of different components are paired if two exact filters pass (their distances from the common least
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import bits, flat
 from gistmill.llm.components import components
-from gistmill.llm.session import blocks, checkpoint, map_blocks, narrow, texts_of
+from gistmill.llm.session import blocks, checkpoint, map_blocks, texts_of
 
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
@@ -108,40 +113,56 @@ def _segments(values: np.ndarray, doc: np.ndarray, m: np.ndarray) -> tuple[np.nd
     return sketch, held
 
 
-def segment_keys(sets: Sets, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the segments that a set shows in its own band and, as the smaller one of a pair, in the next."""
-    rows, keys = [], []
+def segment_keys(sets: Sets, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of the segments that a set shows in its own band and, as the smaller one of a pair, in the next.
+
+    Also the group of each key, and how many keys of a group a partner shares at least, for every group. Groups are those
+    of one set, one band, and rare or whole segments.
+    """
+    rows, keys, groups, needs = [], [], [], []
     own = np.searchsorted(bands(percent), np.maximum(sets.counts, 1))
     rare = np.ones(len(sets.values), dtype=bool) if common is None or not len(common) else ~_in_sorted(common, sets.values)
-    for band in (own, own + 1):
+    n = len(sets.counts)
+    for part, band in enumerate((own, own + 1)):
         most, m = plan(band, percent)
         m = np.where(sets.counts > 0, m, 0)
-        row = np.repeat(np.arange(len(m)), m)
+        row = np.repeat(np.arange(n), m)
         if not len(row):
+            needs += [np.ones(n, dtype=np.int64)] * 2
             continue
         at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
         tag = (band[row].astype(np.uint64) << flat.U(40)) + (at.astype(np.uint64) << flat.U(1))
         use = rare & (m[sets.doc] > 0)
         sketch, held = _segments(sets.values[use], sets.doc[use], m)
-        empty = np.bincount(row[held == 0], minlength=len(m))
+        empty = np.bincount(row[held == 0], minlength=n)
         pick = np.flatnonzero(held > 0)
         rows.append(row[pick])
         keys.append(flat.mix(sketch[pick] ^ flat.mix(tag[pick])))
+        groups.append(row[pick] + 2 * part * n)
+        # with too many empty segments a partner may still need this set's rare ones: one that is shared is enough
+        needs.append(np.maximum(m - most - empty, 1))
         whole = (empty > m - most - 1) & (m > 0)
+        enough = np.ones(n, dtype=np.int64)
         if whole.any():
             m2 = np.where(whole, m, 0)
             use = whole[sets.doc]
             sketch, held = _segments(sets.values[use], sets.doc[use], m2)
             pick = np.flatnonzero(whole[row])
             row, tag, light = row[pick], tag[pick], held < LIGHT
-            lights = np.bincount(row[light], minlength=len(m))
-            emit = ~light | (lights > m - most - 1)[row]
+            lights = np.bincount(row[light], minlength=n)
+            every = lights > m - most - 1
+            emit = ~light | every[row]
             rows.append(row[emit])
             keys.append(flat.mix(sketch[emit] ^ flat.mix(tag[emit] + flat.U(1))))
+            groups.append(row[emit] + (2 * part + 1) * n)
+            # a set that shows its light segments too may have partners that do not
+            enough = np.maximum(m - most - lights, 1)
+        needs.append(enough)
+    need = np.concatenate(needs) if needs else np.zeros(0, dtype=np.int64)
     if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), need
     # 56 bits: fewer bytes to shuffle; keys that fall together by chance only add candidates
-    return np.concatenate(rows), np.concatenate(keys) >> flat.U(8)
+    return np.concatenate(rows), np.concatenate(keys) >> flat.U(8), np.concatenate(groups), need
 
 
 def _in_sorted(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -189,18 +210,20 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(counts.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
 
-def _keys(docs: DataFrame, k: int, percent: int, common, wanted: np.ndarray | None) -> DataFrame:
-    """(key, node); without ``wanted`` 40 bits of the node, else keys that may be wanted only, with the whole node."""
+def _keys(docs: DataFrame, k: int, percent: int, common, wanted: np.ndarray | None = None, first: bool = True) -> DataFrame:
+    """(key, node): at ``first`` 40 bits of the node, later the whole node and only keys of groups with enough wanted keys."""
     filter_ = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def step(batch):
         sets = Sets(texts_of(batch), k)
-        row, key = segment_keys(sets, percent, common.value)
+        row, key, group, need = segment_keys(sets, percent, common.value)
         node = sets.node
-        if filter_ is None:
+        if first:
             node = node >> flat.U(24)
-        else:
+        elif filter_ is not None:
             ok = bits.maybe(filter_.value, key)
+            enough = np.bincount(group[ok], minlength=len(need)) >= need
+            ok &= enough[group]
             row, key = row[ok], key[ok]
         yield {"key": key.view(np.int64), "node": node[row].view(np.int64)}
 
@@ -208,26 +231,37 @@ def _keys(docs: DataFrame, k: int, percent: int, common, wanted: np.ndarray | No
 
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
+    names = ["doc_id", "carried"]
+
     def step(batch):
         sets = Sets(texts_of(batch), k)
-        yield {"doc_id": batch.column(0), "node": sets.node.view(np.int64), "n_shingles": sets.counts}
+        yield {n: batch.column(i) for i, n in enumerate(names)} | {"node": sets.node.view(np.int64), "n_shingles": sets.counts}
 
-    return map_blocks(docs, "doc_id long, node long, n_shingles long", step, pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())]))
+    return map_blocks(docs, "doc_id long, carried long, node long, n_shingles long", step, pa.schema([(n, pa.int64()) for n in (*names, "node", "n_shingles")]))
 
 
-def _sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """(node, hashes) of the rows whose doc_id XOR node may be wanted (few nodes come twice)."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _of_some(docs: DataFrame, k: int, wanted: np.ndarray | None, schema: str, types: pa.Schema, rows) -> DataFrame:
+    """Columns that ``rows`` makes of the nonempty sets of documents that may be wanted; others' sets are not made."""
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def step(batch):
-        sets = Sets(texts_of(batch), k)
-        ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-        keep = np.flatnonzero(bits.maybe(shared.value, sets.node ^ ids) & (sets.counts > 0))
+        if shared is not None:
+            batch = batch.filter(pa.array(bits.maybe(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+        if batch.num_rows:
+            sets = Sets(texts_of(batch), k)
+            yield rows(sets, np.flatnonzero(sets.counts > 0))
+
+    return map_blocks(docs.select(_mark("doc_id").alias("mark"), "text"), schema, step, types)
+
+
+def _sets(docs: DataFrame, k: int, wanted: np.ndarray | None) -> DataFrame:
+    """(node, hashes) of the documents that may be wanted (few nodes come twice)."""
+
+    def rows(sets, keep):
         keep = keep[np.unique(sets.node[keep], return_index=True)[1]]
-        data = [sets.values[sets.first[d] : sets.first[d + 1]].tobytes() for d in keep]
-        yield {"node": sets.node[keep].view(np.int64), "hashes": data}
+        return {"node": sets.node[keep].view(np.int64), "hashes": [sets.values[sets.first[d] : sets.first[d + 1]].tobytes() for d in keep]}
 
-    return map_blocks(docs, "node long, hashes binary", step, pa.schema([("node", pa.int64()), ("hashes", pa.binary())]))
+    return _of_some(docs, k, wanted, "node long, hashes binary", pa.schema([("node", pa.int64()), ("hashes", pa.binary())]), rows)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,19 +284,14 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, both long, total long")
 
 
-def _sketches(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+def _sketches(docs: DataFrame, k: int, wanted: np.ndarray | None) -> DataFrame:
     """(node, n, sketch) as ``_sets``: size and a parity sketch of SKETCH bits; one row a node."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def step(batch):
-        sets = Sets(texts_of(batch), k)
-        ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-        keep = np.flatnonzero(bits.maybe(shared.value, sets.node ^ ids) & (sets.counts > 0))
+    def rows(sets, keep):
         data = [np.packbits((np.bincount((sets.values[sets.first[d] : sets.first[d + 1]] & flat.U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for d in keep]
-        yield {"node": sets.node[keep].view(np.int64), "n": sets.counts[keep], "sketch": data}
+        return {"node": sets.node[keep].view(np.int64), "n": sets.counts[keep], "sketch": data}
 
-    rows = map_blocks(docs, "node long, n long, sketch binary", step, pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]))
-    return rows.dropDuplicates(["node"])
+    return _of_some(docs, k, wanted, "node long, n long, sketch binary", pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]), rows).dropDuplicates(["node"])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -342,25 +371,27 @@ def _rest(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -
     return pairs.unionByName(wide.groupBy("key", "x", "y").applyInPandas(blockwise, "src long, dst long")).distinct()
 
 
-def _marks(nodes: DataFrame, members: DataFrame) -> np.ndarray:
-    """Filter of doc_id XOR node over one document of each node of the one-column (vn) table."""
-    one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return bits.build(nodes.join(one, nodes["vn"] == one["node"]).select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("mark")), "mark")
+def _mark(id_col: str):
+    return F.xxhash64(F.coalesce(id_col, F.lit(0)))
+
+
+def _marks(wanted: DataFrame, nodes: DataFrame) -> np.ndarray | None:
+    """Filter of hashed ids, one document of each node of the one-column (vn) table."""
+    return bits.build(wanted.join(nodes, wanted["vn"] == nodes["node"]).select(_mark("rep").alias("mark")), "mark")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("src", "dst")).alias("vn")).distinct()
 
 
-def _degrees(docs: DataFrame, members: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
-    """(dn, n_links): for each node the number of other documents that a document of it links with."""
-    copies = members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("n_shingles").alias("n"))
-    placed = checkpoint(copies.join(label.withColumnRenamed("node", "ln"), copies["node"] == F.col("ln"), "left").select("node", "copies", "n", "label"))
-    groups = placed.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("nodes"), F.sum("copies").alias("all"), F.sum("n").alias("values")).withColumnRenamed("label", "gl")
+def _degrees(docs: DataFrame, nodes: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
+    """(fn, linked): for each node of a component the number of documents of other nodes that a document of it links with."""
+    placed = checkpoint(nodes.join(label.withColumnRenamed("node", "ln"), nodes["node"] == F.col("ln")).select("node", "copies", "n", "label"))
+    groups = checkpoint(placed.groupBy("label").agg(F.count("*").alias("nodes"), F.sum("copies").alias("all"), F.sum("n").alias("values")).withColumnRenamed("label", "gl"))
     inside = placed.join(groups, placed["label"] == F.col("gl")).drop("gl")
     two = inside.where("nodes = 2").select("node", (F.col("all") - F.col("copies")).alias("linked"))
     wide = checkpoint(inside.where("nodes > 2").withColumn("parts", F.ceil(F.col("values") / BLOCK_VALUES)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    sets = _sets(docs, k, _marks(wide.select(F.col("node").alias("vn")), members)).dropDuplicates(["node"]).withColumnRenamed("node", "sn")
+    sets = _sets(docs, k, _marks(wide.select(F.col("node").alias("vn")), nodes)).dropDuplicates(["node"]).withColumnRenamed("node", "sn")
     wide = wide.join(sets, wide["node"] == F.col("sn")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     wide = wide.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).select("label", "x", "y", "part", "node", "copies", "hashes")
 
@@ -385,48 +416,70 @@ def _degrees(docs: DataFrame, members: DataFrame, label: DataFrame, k: int, perc
             linked[i] = copies[ok & (part != part[i]) if apart else ok].sum()
         return pd.DataFrame({"node": pdf["node"].to_numpy(), "linked": linked})
 
-    found = two.unionByName(wide.groupBy("label", "x", "y").applyInPandas(blockwise, "node long, linked long")).groupBy(F.col("node").alias("fn")).agg(F.sum("linked").alias("linked"))
-    return placed.join(found, placed["node"] == F.col("fn"), "left").select(F.col("node").alias("dn"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return two.unionByName(wide.groupBy("label", "x", "y").applyInPandas(blockwise, "node long, linked long")).groupBy(F.col("node").alias("fn")).agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and, with ``count_links``, n_links (other documents that it links with)."""
-    docs = narrow(documents, id_col, text_col)
-    members = checkpoint(_members(docs, shingle))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
-    shared = _keys(docs, shingle, percent, common, None).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+def _candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, node, least) of keys that several nodes share, least being the key's smallest node."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    shared = _keys(docs, k, percent, common).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     shared = checkpoint(shared)
-    keys = checkpoint(_keys(docs, shingle, percent, common, bits.build(shared, "key")).distinct().join(shared, "key", "left_semi"))
-    least = keys.groupBy("key").agg(F.min("node").alias("least")).select(F.col("key").alias("k"), "least")
-    keys = checkpoint(keys.join(least, keys["key"] == least["k"]).select("key", "node", "least"))
+    wanted = bits.build(shared, "key")
+    rows = _keys(docs, k, percent, common, wanted, first=False).distinct()
+    if wanted is None:
+        rows = rows.join(shared, "key", "left_semi")
+    rows = checkpoint(rows)
+    least = checkpoint(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("hi")).where("least < hi").select(F.col("key").alias("k"), "least"))
+    return checkpoint(rows.join(least, rows["key"] == least["k"]).select("key", "node", "least"))
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, label): the component, by its smallest node, of every node that links with another."""
+    keys = _candidates(docs, k, percent)
     star = keys.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
-    sketches = checkpoint(_sketches(docs, shingle, _marks(keys.select(F.col("node").alias("vn")).distinct(), members)))
+    sketches = checkpoint(_sketches(docs, k, _marks(keys.select(F.col("node").alias("vn")).distinct(), nodes)))
     star = checkpoint(_likely(star, sketches, percent))
-    sets = checkpoint(_sets(docs, shingle, _marks(_ends(star), members)))
+    sets = checkpoint(_sets(docs, k, _marks(_ends(star), nodes)))
     star = checkpoint(_compared(star, sets).distinct())
     linked = F.col("both") * 100 >= F.col("total") * percent
     links = star.where(linked).select("src", "dst")
     label = checkpoint(components(links))
-    members_ = _open_members(keys, star, label)
+    members = _open_members(keys, star, label)
     # first every pair of small groups and as few of large ones as could join all; then every pair that large ones still have open
     for forest in (True, False):
-        rest = checkpoint(_rest(members_, sketches, percent, forest))
+        rest = checkpoint(_rest(members, sketches, percent, forest))
         if rest.isEmpty():
             break
-        sets = _sets(docs, shingle, _marks(_ends(rest), members))
+        sets = _sets(docs, k, _marks(_ends(rest), nodes))
         new = checkpoint(_compared(rest, sets).where(linked).select("src", "dst").distinct())
         if not new.isEmpty():
             label = checkpoint(components(label.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(new)))
         now = label.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
-        members_ = members_.join(now, members_["node"] == now["n1"], "left").select("key", "node", F.coalesce("l1", "label").alias("label"), "size", "far").where(F.col("size") > SMALL_GROUP)
-        live = members_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        members_ = checkpoint(members_.join(live, members_["key"] == live["k"], "left_semi"))
-    placed = members.join(label.withColumnRenamed("node", "ln"), members["node"] == F.col("ln"), "left").select("doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    counted = []
+        members = members.join(now, members["node"] == now["n1"], "left").select("key", "node", F.coalesce("l1", "label").alias("label"), "size", "far").where(F.col("size") > SMALL_GROUP)
+        live = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+        members = checkpoint(members.join(live, members["key"] == live["k"], "left_semi"))
+    return label
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = True, carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, with ``count_links``, n_links (other documents that it links with).
+
+    ``carry`` names a column of whole numbers that comes along as ``carried``, say a key of rows.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(carry) if carry else F.lit(None)).cast("long").alias("carried"), F.col(text_col).cast("string").alias("text"))
+    members = checkpoint(_members(docs, shingle))
+    nodes = checkpoint(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")))
+    label = _linked(docs, nodes, shingle, percent)
+    # a row a node; the rows of a node only meet it in a plain join, which Spark splits where copies are many
+    named = label.withColumnRenamed("node", "ln")
+    placed = checkpoint(nodes.join(named, nodes["node"] == F.col("ln"), "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label")))
+    least = checkpoint(placed.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "l2"))
+    placed = placed.join(least, placed["label"] == F.col("l2")).select("node", "copies", "component_id")
     if count_links:
-        degree, counted = _degrees(docs, members, label, shingle, percent), ["n_links"]
-        placed = placed.join(degree, placed["node"] == F.col("dn"), "left").select("doc_id", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = placed.where("n_shingles > 0")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("label", "l2")
-    out = full.join(least, full["label"] == F.col("l2")).select("doc_id", "n_shingles", "component_id", *counted)
-    return out.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *counted))
+        degree = checkpoint(_degrees(docs, nodes, label, shingle, percent))
+        placed = placed.join(degree, placed["node"] == F.col("fn"), "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    placed = checkpoint(placed.withColumnRenamed("node", "pn"))
+    extra = (["n_links"] if count_links else []) + (["carried"] if carry else [])
+    full, none = members.where("n_shingles > 0"), members.where("n_shingles = 0").withColumn("n_links", F.lit(0).cast("long"))
+    out = full.join(placed, full["node"] == F.col("pn")).select("doc_id", "n_shingles", "component_id", *extra)
+    return out.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra))

@@ -101,9 +101,13 @@ def test_keys_keep_every_linked_pair(share):
     docs = corpus(7, 10, 6)
     sets = J.Sets(pa.array([t for _, t in docs]), 4)
     every = np.unique(sets.values)
-    row, key = J.segment_keys(sets, 85, every[np.random.default_rng(1).random(len(every)) * 100 < share])
+    row, key, group, need = J.segment_keys(sets, 85, every[np.random.default_rng(1).random(len(every)) * 100 < share])
+    # a set's keys count only where a group of them has as many shared ones as any partner would share
+    several = {k for k in set(key.tolist()) if len(set(sets.node[row[key == np.uint64(k)]].tolist())) > 1}
+    ok = np.array([k in several for k in key.tolist()])
+    enough = np.bincount(group[ok], minlength=len(need)) >= need
     by = {}
-    for r, k in zip(row.tolist(), key.tolist(), strict=True):
+    for r, k in zip(row[ok & enough[group]].tolist(), key[ok & enough[group]].tolist(), strict=True):
         by.setdefault(r, set()).add(k)
     for i in range(len(docs)):
         for j in range(i):
