@@ -1,10 +1,10 @@
-"""Token counts by a two-tier map-side lookup; pre-tokens are never shuffled.
+"""Token counts by a two-tier map-side lookup; pre-tokens are never shuffled, and texts are read once.
 
-First tier: a compact table of the lengths of frequent pre-tokens, broadcast. It comes from all texts: every task keeps a
-bounded frequency summary (counts below the cut are forgotten when it is full) and returns its leaders as one small row;
-these rows are merged in a tree of groups of 16, so no task and not the driver sees more than 16 of them. The table only
-decides speed: counts never depend on it. Second tier: what the table misses is encoded in numpy merge rounds, once per
-worker, in a cache of bounded size.
+First tier: a compact table of the lengths of frequent pre-tokens, broadcast. Frequent are those that the tokenizer's
+vocabulary holds as whole words, which is what its own training found frequent; a caller may name others, say of an
+earlier count. The table has as many rows as the vocabulary at most, whatever the corpus, and only decides speed: counts
+never depend on it. Second tier: what the table misses is encoded in numpy merge rounds, once per worker, in a cache of
+bounded size. Both are looked up once for each distinct pre-token of a block of texts.
 
 Nulls: a null text has no tokens. Repeated rows, null ids, empty and very long texts get a row each, whole. An empty table
 gives an empty result. Extra columns are ignored.
@@ -12,93 +12,82 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gistmill.llm.bpe import CACHE_LENGTH, CACHE_WORDS, Splitter, load
-from gistmill.llm.session import blocks, map_blocks, narrow, texts_of
+from gistmill.llm.bpe import CACHE_LENGTH, CACHE_WORDS, Bpe, Splitter, load
+from gistmill.llm.session import map_blocks, narrow, texts_of
 
-FREQUENT, SUMMARY, FAN = 8_192, 200_000, 16
 LIMIT = 2048
 
 
-def _pack(counts: Counter, most: int) -> str:
-    return "\n".join(f"{n} {w}" for w, n in counts.most_common(most) if n > 1)
+def whole_words(bpe: Bpe) -> list[str]:
+    """Pre-tokens that are one entry of the vocabulary."""
+    split, out = Splitter(bpe), []
+    for data in bpe.bytes.values():
+        word = data.decode("utf-8", "replace")
+        if bpe.suffix:
+            if not word.endswith(" "):
+                continue
+            word = word[:-1]
+        if split.words(word) == [word] and word not in bpe.special:
+            out.append(word)
+    return out
 
 
-def _unpack(blobs) -> Counter:
-    total: Counter = Counter()
-    for blob in blobs:
-        for line in (blob or "").split("\n"):
-            n, _, w = line.partition(" ")
-            if w:
-                total[w] += int(n)
-    return total
-
-
-def frequent(docs: DataFrame, tokenizer_path: str, most: int = FREQUENT) -> list[str]:
-    """The (nearly) most frequent pre-tokens of all texts."""
-
-    def summarise(batches):
-        split, counts = Splitter(load(tokenizer_path)), Counter()
-        for batch in batches:
-            texts = texts_of(batch)
-            for start, end in blocks(texts):
-                for text in texts.slice(start, end - start).to_pylist():
-                    counts.update(split.words(text))
-                if len(counts) > SUMMARY:
-                    counts = Counter(dict(counts.most_common(SUMMARY // 4)))
-        short = Counter({w: n for w, n in counts.items() if len(w) <= CACHE_LENGTH})
-        yield pa.RecordBatch.from_arrays([pa.array([_pack(short, most)], pa.string())], names=["blob"])
-
-    def merge(pdf):
-        return pd.DataFrame({"pid": pdf["pid"][:1], "blob": [_pack(_unpack(pdf["blob"]), most)]})
-
-    leaders = docs.select("text").mapInArrow(summarise, "blob string")
-    parts = docs.select("text").rdd.getNumPartitions()  # of the plan only; nothing runs
-    leaders = leaders.select(F.spark_partition_id().alias("pid"), "blob")
-    while parts > FAN:
-        leaders = leaders.select(F.expr(f"pid div {FAN}").cast("int").alias("pid"), "blob").groupBy("pid").applyInPandas(merge, "pid int, blob string")
-        parts = -(-parts // FAN)
-    return [w for w, _ in _unpack(r.blob for r in leaders.collect()).most_common(most)]
-
-
-@lru_cache(maxsize=2)
-def _state(path: str) -> tuple[Splitter, dict[str, int]]:
-    return Splitter(load(path)), {}
-
-
-def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more tokens than ``limit``)."""
+def length_table(bpe: Bpe, words: Iterable[str]) -> tuple[str, np.ndarray]:
+    """The distinct words, joined by line ends (no pre-token with one is kept), and their numbers of tokens."""
+    words = sorted({w for w in words if w and "\n" not in w and w not in bpe.special})
+    _, off = bpe.encode([w.encode() for w in words])
+    return "\n".join(words), np.diff(off).astype(np.uint32)
+
+
+class Counter:
+    """Worker state: the splitter, the broadcast table, and the cache of what it misses."""
+
+    def __init__(self, path: str, names: str, lengths: np.ndarray):
+        self.bpe = load(path)
+        self.split = Splitter(self.bpe)
+        self.table = dict(zip(names.split("\n"), lengths.tolist(), strict=True)) if len(lengths) else {}
+        self.table |= dict.fromkeys(self.bpe.special, 1)
+        self.cache: dict[str, int] = {}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        lists = [self.split.words(t) for t in texts]
+        words = set().union(*lists)
+        missed = words.difference(self.table)
+        new = [*missed.difference(self.cache)]
+        own = {w: self.table[w] for w in words - missed} | {w: self.cache[w] for w in missed.intersection(self.cache)}
+        if new:
+            _, off = self.bpe.encode([w.encode() for w in new])
+            found = dict(zip(new, np.diff(off).tolist(), strict=True))
+            own |= found
+            if len(self.cache) > CACHE_WORDS:
+                self.cache = {}
+            self.cache |= {w: n for w, n in found.items() if len(w) <= CACHE_LENGTH}
+        return [sum(map(own.__getitem__, x)) for x in lists]
+
+
+def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", frequent: Iterable[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more tokens than ``limit``).
+
+    ``frequent`` are the pre-tokens of the first tier (the vocabulary's whole words if not given).
+    """
     docs = narrow(documents, id_col, text_col)
     bpe = load(tokenizer_path)
-    words = [w for w in frequent(docs, tokenizer_path) if w not in bpe.special]
-    _, off = bpe.encode([w.encode() for w in words])
-    table = {w: int(off[k + 1] - off[k]) for k, w in enumerate(words)} | dict.fromkeys(bpe.special, 1)
-    shared = docs.sparkSession.sparkContext.broadcast(("\n".join(table), bytes(min(n, 255) for n in table.values())))
+    shared = docs.sparkSession.sparkContext.broadcast(length_table(bpe, whole_words(bpe) if frequent is None else frequent))
+    own: list[Counter] = []
 
     def step(batch):
-        split, cache = _state(tokenizer_path)
-        if not cache or len(cache) > CACHE_WORDS:
-            cache.clear()
-            names, lengths = shared.value
-            cache.update(zip(names.split("\n"), lengths, strict=True))
-        lists = [split.words(t) for t in texts_of(batch).to_pylist()]
-        missing = [*set().union(*lists).difference(cache)]
-        if missing:
-            _, off = load(tokenizer_path).encode([w.encode() for w in missing])
-            cache.update(zip(missing, (off[1:] - off[:-1]).tolist(), strict=True))
-        counts = [sum(map(cache.__getitem__, x)) for x in lists]
-        for w in missing:
-            if len(w) > CACHE_LENGTH:
-                del cache[w]
-        sizes = [len(t.encode()) for t in texts_of(batch).to_pylist()]
-        yield {"doc_id": batch.column(0), "n_bytes": sizes, "n_tokens": counts, "over_limit": [n > limit for n in counts]}
+        if not own:
+            own.append(Counter(tokenizer_path, *shared.value))
+        texts = texts_of(batch)
+        counts = own[0].counts(texts.to_pylist())
+        yield {"doc_id": batch.column(0), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
     types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
     return map_blocks(docs, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", step, types)

@@ -7,7 +7,7 @@ P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from gistmill.llm.bpe import Splitter, bpe_decode, bpe_round_trip, load  # noqa: E402
-from gistmill.llm.token_counts import frequent, token_counts  # noqa: E402
+from gistmill.llm.token_counts import length_table, token_counts, whole_words  # noqa: E402
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
@@ -47,7 +47,20 @@ def test_counts_equal_library(spark):
     got = sorted(map(str, (tuple(r) for r in token_counts(df, WORD, limit=20).collect())))
     want = [str((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 20)) for i, t in rows]
     assert got == sorted(want)
-    assert frequent(df, WORD, 5)
+    words = whole_words(load(WORD))
+    assert len(words) > 30_000 and {"the", "and"} < set(words)
+
+
+@pytest.mark.parametrize("frequent", [None, [], ["the", chr(0x12000) * 64, "no", "<|endoftext|>"]])
+def test_long_words_and_any_first_tier(spark, frequent):
+    """A pre-token of more than 255 tokens, repeated within and across rows, whatever the table holds."""
+    tok, word = Tokenizer.from_file(WORD), chr(0x12000) * 64
+    rows = [(i, " ".join([word] * 3 + ["the no"] * i)) for i in range(4)] * 2 + [(None, word * 40), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(map(str, ((r.doc_id, r.n_tokens, r.over_limit) for r in token_counts(df, WORD, frequent=frequent).collect())))
+    want = [str((i, n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048)) for i, t in rows]
+    assert got == sorted(want) and "768" in str(got)
+    assert length_table(load(WORD), [word])[1].tolist() == [256]
 
 
 def test_empty_tables(spark):
