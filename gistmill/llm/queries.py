@@ -15,7 +15,7 @@ from gistmill.llm.pii import find_pii
 from gistmill.llm.quality_rules import oracle as quality_oracle
 from gistmill.llm.quality_rules import quality_rules
 from gistmill.llm.token_counts import token_counts
-from gistmill.llm.url_filter import LISTED, url_filter
+from gistmill.llm.url_filter import listed_domains, url_filter
 from gistmill.llm.url_filter import oracle as url_oracle
 
 
@@ -48,7 +48,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(_table(spark, sf_dir, "pages"), spark.createDataFrame([(k,) for k in LISTED], "key string"))
+    return url_filter(_table(spark, sf_dir, "pages"), listed_domains(spark))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

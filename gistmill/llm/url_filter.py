@@ -3,9 +3,10 @@
 Level 0 is a Bloom filter of the listed keys. Level 1 holds the keys of the corpus that are not listed but pass level 0,
 level 2 the listed keys that pass level 1, and so on until a level lets no wrong key pass. As the levels are built
 over the complete universe of keys in the corpus (every domain suffix of every host, as long as listed keys can be), the
-first level that a key does not pass decides exactly. All of it is DataFrame and SQL expressions: levels are built by
-bit_or over words and travel as binary literals of at most ``most_bits`` bits together. A list too large for that is
-answered by a left semi join on the same keys.
+first level that a key does not pass decides exactly. All of it is DataFrame and SQL expressions: the universe of keys is
+written once, levels are built by bit_or over cells and put together in chunks by aggregates, and each travels as one
+binary literal. Levels have at most ``most_bits`` bits together (6.7 million listed keys at 10 bits); a longer list, which is
+no longer fit to be sent to every task, is answered by a left semi join on the same keys.
 
 A url's host is what follows the first ``://`` up to ``/``, ``?`` or ``#`` with A-Z lower-cased; its path follows up to ``?`` or
 ``#``. Given rules come first: a rule fits its host and all subdomains if the path starts with the rule's; the longest
@@ -17,15 +18,18 @@ long urls get a row each. An empty list blocks nothing; an empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.llm.session import checkpoint
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Listed domains of the production query.
+#: Listed domains of the production query; ``url_filter`` takes any table of them.
 LISTED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track") for top in ("com", "net", "org"))
 MOST_BITS = 1 << 26
 BITS_PER_KEY, HASHES, CELL = 10, 3, 7  # a cell is one byte of seven bits, so that it is ASCII
+CHUNK = 4096
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -48,28 +52,31 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
 
 
 def _filter(keys: DataFrame, level: int, n: int) -> tuple[bytes, int]:
-    """Cells and number of bits of a Bloom filter over ``n`` keys."""
+    """Cells and number of bits of a Bloom filter over ``n`` keys; the driver gets one row for each chunk of cells."""
     bits = -(-max(n, 1) * BITS_PER_KEY // CELL) * CELL
-    rows = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
-    rows = rows.groupBy(F.expr(f"at div {CELL}").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(at % {CELL} as int))")).alias("bits")).collect()
-    out = bytearray(bits // CELL)
-    for r in rows:
-        out[r["cell"]] = r["bits"]
-    return bytes(out), bits
+    places = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
+    cells = places.select(F.expr(f"at div {CELL}").alias("cell"), F.expr(f"shiftleft(1, cast(at % {CELL} as int))").alias("bits"))
+    every = cells.unionByName(keys.sparkSession.range(bits // CELL).select(F.col("id").alias("cell"), F.lit(0).alias("bits")))
+    every = every.groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    chunks = every.groupBy(F.expr(f"cell div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("cell", "bits"))).alias("cells"))
+    rows = chunks.select("chunk", F.array_join(F.transform("cells", lambda c: F.char(c["bits"])), "").alias("cells")).orderBy("chunk").collect()
+    return "".join(r["cells"] for r in rows).encode("ascii"), bits
 
 
 def _passes(key: Column, level: int, cells: bytes, bits: int) -> Column:
-    out = F.lit(True)
-    for at in _places(key, level, bits):
-        cell = F.ascii(F.substring(F.lit(bytearray(cells)), (at / CELL).cast("int") + 1, F.lit(1)).cast("string"))
-        out = out & (F.floor(cell / F.pow(F.lit(2), at % CELL)) % 2 == 1)
-    return out
+    data = F.lit(bytearray(cells))
+
+    def bit(at: Column) -> Column:
+        cell = F.ascii(F.substring(data, (at / CELL).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.floor(cell / F.pow(F.lit(2), at % CELL)) % 2 == 1
+
+    return F.forall(F.array(*_places(key, level, bits)), bit)
 
 
 def cascade(universe: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS) -> list[tuple[bytes, int]] | None:
     """Filters level by level for the one-column (key) tables, or None if they would exceed ``most_bits``."""
     marked = universe.select("key", F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(True).alias("listed")))
-    marked = marked.where("key IS NOT NULL").groupBy("key").agg(F.max("listed").alias("listed"))
+    marked = checkpoint(marked.where("key IS NOT NULL").groupBy("key").agg(F.max("listed").alias("listed")))
     levels: list[tuple[bytes, int]] = []
     while True:
         side = marked.where(F.col("listed") == (len(levels) % 2 == 0))
@@ -81,7 +88,7 @@ def cascade(universe: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS)
         levels.append(_filter(side, len(levels), n))
         # from here on only the other side's keys that pass, and all of this side's, still matter
         other = F.col("listed") == (len(levels) % 2 == 0)
-        marked = marked.where(~other | _passes(F.col("key"), len(levels) - 1, *levels[-1]))
+        marked = checkpoint(marked.where(~other | _passes(F.col("key"), len(levels) - 1, *levels[-1])))
 
 
 def member(key: Column, levels: list[tuple[bytes, int]]) -> Column:
@@ -122,6 +129,12 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
     return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
+def listed_domains(spark: SparkSession, names=LISTED) -> DataFrame:
+    """A one-column (key) table of the names."""
+    rows = ", ".join("('" + n.replace("\\", "\\\\").replace("'", "\\'") + "')" for n in names)
+    return spark.sql(f"SELECT key FROM VALUES {rows} AS t(key)" if names else "SELECT CAST(NULL AS STRING) AS key WHERE false")
+
+
 def oracle(listed=LISTED, rules=RULES) -> str:
     """The same as DuckDB SQL over ``pages``."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from gistmill.llm import url_filter as U
 from gistmill.llm.quality_rules import oracle as rules_sql
 from gistmill.llm.quality_rules import quality_rules
@@ -62,3 +64,18 @@ def test_empty_list_and_table(spark):
     none = spark.createDataFrame([], "key string")
     assert {r.verdict for r in U.url_filter(df, none, rules=()).collect()} == {"allow"}
     assert U.url_filter(df.limit(0), spark.createDataFrame([("b.com",)], "key string")).count() == 0
+
+
+def test_filter_of_many_chunks(spark):
+    """A long list: the cells come in chunks, none is lost, and membership stays exact."""
+    universe = spark.range(60_000).selectExpr("concat('h', id) AS key")
+    listed = universe.where("xxhash64(key) % 3 = 0")
+    levels = U.cascade(universe, listed)
+    assert len(levels[0][0]) > 3 * U.CHUNK and all(len(cells) * U.CELL == bits for cells, bits in levels)
+    assert universe.where(U.member(universe["key"], levels) != F.expr("xxhash64(key) % 3 = 0")).isEmpty()
+
+
+def test_list_of_names(spark):
+    names = ("a.b", "it's", "x\\y")
+    assert sorted(r.key for r in U.listed_domains(spark, names).collect()) == sorted(names)
+    assert U.listed_domains(spark, ()).isEmpty()
