@@ -1,19 +1,23 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
-Text is lower-cased and reduced to runs of letters (those beside digits only count if there are no others); each run is predicted letter by letter and to its closing boundary
+Text is lower-cased and reduced to runs of letters; each run is predicted letter by letter and to its closing boundary
 from up to three characters before it inside the run. A four-character window packs into one 64-bit number (16 bits a
 character; characters beyond the basic plane share one code), so the sorted key arrays are collision-free hash arrays and
 a lookup is a binary search.
 
 Training counts windows over all texts of known language that are not held out: each task counts distinct words, then
 their windows, and only these partial sums are shuffled. Lower orders use continuation counts, discounts follow from
-counts of counts. The driver gets the summed table of all distinct windows, 16 bytes each, language by language; nothing is
-left out unless the caller bounds it with ``most_windows`` (then the rarest go first, by one cut on the count).
-
-A text gets the language of lowest cross-entropy per predicted character. Rejection is calibrated per language halfway
-between the cross-entropy of its own training windows and that of the nearest other language's windows under its
-model; texts of fewer than ``sure_chars`` letters are not rejected for it. ``score`` is the posterior of the chosen
-language over at most ``sure_chars`` characters, times the logistic acceptance.
+counts of counts, both over all windows; nothing is left out. A model is, for each language and order, a sorted array of the
+windows seen with their interpolated log probabilities, and one of contexts with what they leave to the next lower order:
+12 bytes an entry, and about 1.5 entries a window. There is no matrix of windows by languages. The driver gets the summed
+table of distinct windows in one job and sends the arrays to the workers; they grow with the distinct windows of each
+language, not with the number of texts.
+
+A text gets the language of lowest cross-entropy per predicted character. Rejection is calibrated per language: the limit is
+halfway between the cross-entropy of its own training windows and that of the nearest other language's windows under its
+model, and a text of n characters may exceed it by ``SPREADS`` standard errors, the spread of a character's log probability
+in training divided by the root of n. ``score`` is the posterior of the chosen language over at most ``SURE_CHARS``
+characters, times the logistic acceptance.
 
 Nulls: a null text or one without a letter is ``und``, score 0, rejected. A null language is not learned from. A null doc_id is
 never held out. With nothing to learn from everything is ``und``. Ties go to the language first by name. Repeated rows, empty
@@ -30,21 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.session import blocks, checkpoint, held_out, map_blocks, texts_of
+from gistmill.llm.session import blocks, held_out, map_blocks, texts_of
 
 ORDER, EDGE = 4, 0x20
-SURE_CHARS = 40
+SURE_CHARS, SPREADS = 40, 3.0
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
-#: Runs that touch no digit; keys and hashes say nothing about a language.
-PURE = re.compile(r"(?<!\d)[^\W\d_]{1,32}+(?!\d)")
 FLUSH, CACHE = 200_000, 200_000
 UND = "und"
 
 
 def letters(text: str) -> list[str]:
-    """Lower-case runs of letters, at most 32 each: those that touch no digit, or all if there are no such runs."""
-    low = text.lower()
-    return PURE.findall(low) or LETTERS.findall(low)
+    """Lower-case runs of letters; longer ones come in pieces of 32."""
+    return LETTERS.findall(text.lower())
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,101 +115,90 @@ def count_windows(documents: DataFrame, id_col: str, text_col: str, lang_col: st
 
 
 class Model:
-    """Log2 probabilities of windows under every language's interpolated Kneser-Ney model."""
+    """Log2 probabilities of windows under every language's interpolated Kneser-Ney model, in sorted arrays.
+
+    ``tables`` has distinct windows and their counts for each language.
+    """
 
     def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        #: per language and order 4 to 1: (keys, counts) sorted by key; lower orders hold continuation counts
-        self.counts = []
-        for keys, counts in tables:
-            order = np.argsort(keys)
-            levels = [(keys[order], counts[order].astype(np.float64))]
-            for k in range(ORDER - 1, 0, -1):
-                shorter, n = np.unique(levels[-1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
-                levels.append((shorter, n.astype(np.float64)))
-            self.counts.append(levels)
-        alphabet = set()
-        for levels in self.counts:
-            alphabet.update(levels[-1][0].tolist())
+        tables = [(keys[order], counts[order]) for keys, counts in tables for order in [np.argsort(keys)]]
+        alphabet = np.unique(np.concatenate([keys & np.uint64(0xFFFF) for keys, _ in tables])) if langs else ()
         self.uniform = 1.0 / (len(alphabet) + 1)
-        #: per language and order: context keys, their totals, their back-off mass; and the discount
-        self.context = []
-        for levels in self.counts:
-            own = []
-            for keys, n in levels:
-                ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-                discount = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
-                ctx = keys >> np.uint64(16)
-                names, at, kinds = np.unique(ctx, return_inverse=True, return_counts=True)
-                total = np.bincount(at, weights=n, minlength=len(names))
-                own.append((names, total, discount * kinds / total, discount))
-            self.context.append(own)
-        joined = np.unique(np.concatenate([x[0][0] for x in self.counts])) if langs else np.zeros(0, dtype=np.uint64)
-        self.keys, self.logs = joined, np.log2(self._prob(joined))
-        #: calibration: own[l][m] is the cross-entropy of language m's windows under model l
-        cross = np.zeros((len(langs), len(langs)))
-        for m, levels in enumerate(self.counts):
-            keys, n = levels[0]
-            cross[:, m] = -(self.logs[np.searchsorted(joined, keys)] * n[:, None]).sum(axis=0) / n.sum()
-        own = np.diag(cross).copy()
-        other = np.where(np.eye(len(langs), dtype=bool), np.inf, cross).min(axis=1) if len(langs) > 1 else np.full(len(langs), -np.log2(self.uniform))
-        self.own, self.limit = own, (own + np.maximum(other, own + 1)) / 2
-
-    def _prob(self, windows_: np.ndarray) -> np.ndarray:
-        """Probability of each window's last character, a column for each language."""
-        out = np.zeros((len(windows_), len(self.langs)))
-        for lang in range(len(self.langs)):
-            p = np.full(len(windows_), self.uniform)
-            for level in range(ORDER - 1, -1, -1):  # from single characters up
-                k = ORDER - level
-                key = windows_ & np.uint64((1 << 16 * k) - 1) if k < ORDER else windows_
-                keys, n = self.counts[lang][level]
-                names, total, back, discount = self.context[lang][level]
-                count = _at(keys, n, key)
-                place = np.searchsorted(names, key >> np.uint64(16))
-                place[place == len(names)] = 0
-                known = names[place] == key >> np.uint64(16)
-                p = np.where(known, np.maximum(count - discount, 0) / total[place] + back[place] * p, p)
-            out[:, lang] = p
+        #: per language, orders 1 to 4: (windows, their log probabilities, contexts, logs of what these leave to the order below)
+        self.orders = [self._orders(keys, counts.astype(np.float64)) for keys, counts in tables]
+        #: calibration: cross-entropy and spread of each language's own windows, and the nearest other language's entropy
+        size = len(langs)
+        self.own, self.spread, other = np.zeros(size), np.zeros(size), np.full(size, np.inf if size > 1 else -np.log2(self.uniform))
+        for m, (keys, n) in enumerate(tables):
+            for lang in range(size):
+                logs = self.logs(lang, keys)
+                cross = -(logs * n).sum() / n.sum()
+                if lang == m:
+                    self.own[m], self.spread[m] = cross, np.sqrt(max(((logs + cross) ** 2 * n).sum() / n.sum(), 0.0))
+                else:
+                    other[lang] = min(other[lang], cross)
+        self.limit = (self.own + np.maximum(other, self.own + 1)) / 2
+
+    def _orders(self, keys: np.ndarray, n: np.ndarray) -> list[tuple]:
+        levels = [(keys, n)]
+        for k in range(ORDER - 1, 0, -1):  # a shorter window counts the longer ones that it ends
+            shorter, kinds = np.unique(levels[-1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
+            levels.append((shorter, kinds.astype(np.float64)))
+        out: list[tuple] = []
+        for k, (keys, n) in enumerate(reversed(levels), 1):
+            ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+            discount = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+            contexts, at, kinds = np.unique(keys >> np.uint64(16), return_inverse=True, return_counts=True)
+            total = np.bincount(at, weights=n, minlength=len(contexts))
+            left = discount * kinds / total
+            below = 2.0 ** self._walk(out, keys & np.uint64((1 << 16 * (k - 1)) - 1))
+            logs = np.log2(np.maximum(n - discount, 0) / total[at] + left[at] * below)
+            out.append((keys, logs.astype(np.float32), contexts, np.log2(left).astype(np.float32)))
         return out
 
+    def _walk(self, orders: list[tuple], windows_: np.ndarray) -> np.ndarray:
+        """Log probabilities from the highest order on: a seen window's own, else what its context leaves times the order below."""
+        logs, open_ = np.zeros(len(windows_)), np.arange(len(windows_))
+        for k in range(len(orders), 0, -1):
+            keys, own, contexts, left = orders[k - 1]
+            key = windows_[open_] if k == ORDER else windows_[open_] & np.uint64((1 << 16 * k) - 1)
+            place, seen = _find(keys, key)
+            logs[open_[seen]] += own[place[seen]]
+            open_, key = open_[~seen], key[~seen]
+            place, known = _find(contexts, key >> np.uint64(16))
+            logs[open_[known]] += left[place[known]]
+        logs[open_] += np.log2(self.uniform)
+        return logs
+
+    def logs(self, lang: int, windows_: np.ndarray) -> np.ndarray:
+        """Log2 probability of each window's last character in a language."""
+        return self._walk(self.orders[lang], windows_)
+
     def word_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log2 probabilities of each word (a column for each language) and its predicted characters."""
         packed, owner = windows(words)
-        place = np.searchsorted(self.keys, packed)
-        place[place == len(self.keys)] = 0
-        hit = self.keys[place] == packed
-        logs = self.logs[place]
-        if not hit.all():
-            logs[~hit] = np.log2(self._prob(packed[~hit]))
+        names, at = np.unique(packed, return_inverse=True)
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        return np.add.reduceat(logs, starts, axis=0), np.diff(np.concatenate([starts, [len(owner)]]))
+        sums = [np.add.reduceat(self.logs(lang, names)[at], starts) for lang in range(len(self.langs))]
+        return np.stack(sums, axis=1), np.diff(np.concatenate([starts, [len(owner)]]))
 
 
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each number in a sorted array, and whether it is there."""
     place = np.searchsorted(keys, wanted)
     place[place == len(keys)] = 0
-    return np.where(keys[place] == wanted, values[place], 0.0)
+    return place, keys[place] == wanted
 
 
-def train(documents: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", most_windows: int | None = None) -> Model:
+def train(documents: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of all languages; ``id_col`` None learns from all rows, else held-out rows are left out."""
-    counts = checkpoint(count_windows(documents, id_col, text_col, lang_col))
-    # with a bound the rarest windows go where a language has too many: the cut follows from a histogram of counts
-    levels = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect()
-    cuts = {}
-    for lang in sorted({r.lang for r in levels}):
-        cut, kept = 1, sum(r.k for r in levels if r.lang == lang)
-        while most_windows is not None and kept > most_windows and cut < 1000:
-            kept -= sum(r.k for r in levels if r.lang == lang and r.n == cut)
-            cut += 1
-        cuts[lang] = cut
-    langs = sorted(cuts)
-    tables = []
-    for lang in langs:
-        part = counts.where((F.col("lang") == lang) & (F.col("n") >= cuts[lang])).select("win", "n").toArrow()
-        tables.append((part["win"].to_numpy().view(np.uint64), part["n"].to_numpy()))
-    return Model(langs, tables)
+    counts = count_windows(documents, id_col, text_col, lang_col).toArrow()
+    names = counts["lang"].combine_chunks().dictionary_encode() if counts.num_rows else pa.array([], pa.string()).dictionary_encode()
+    windows_, n, which = counts["win"].to_numpy().view(np.uint64), counts["n"].to_numpy(), names.indices.to_numpy()
+    found = names.dictionary.to_pylist()
+    langs = sorted(found)
+    return Model(langs, [(windows_[which == k], n[which == k]) for k in map(found.index, langs)])
 
 
 class Scorer:
@@ -240,9 +230,9 @@ class Scorer:
             h = -self.logs[at].sum(axis=0) / chars
             best = int(np.argmin(h))
             weight = 2.0 ** (-(h - h[best]) * min(chars, SURE_CHARS))
-            over = h[best] - model.limit[best]
+            over = h[best] - model.limit[best] - SPREADS * model.spread[best] / chars**0.5
             scores[d] = 1 / weight.sum() / (1 + np.exp(np.clip(4 * over, -60, 60)))
-            rejected[d] = over > 0 and chars >= SURE_CHARS
+            rejected[d] = over > 0
             entropy[d] = h[best]
             langs.append(model.langs[best])
         return {"lang_pred": langs, "score": scores, "rejected": rejected, "cross_entropy": entropy}
