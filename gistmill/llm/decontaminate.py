@@ -1,18 +1,23 @@
 """Benchmark decontamination by winnowing.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. Of every 6 consecutive 5-gram hashes the
-smallest is kept as a fingerprint, so any span of 10 equal words shares a fingerprint between document and item. Equal
-fingerprints are extended word by word to the maximal equal run; runs of 10 words or more are hits. An item of fewer
-than 10 words (but not none) is one window of its own length, found by its whole hash.
-
-The item side is joined in one of two ways. While its words are at most ``max_broadcast_words`` (checked by counting
-them), its fingerprints go to the workers and documents are read once with no shuffle. Beyond that, fingerprints of both
-sides meet in a shuffled join, which names the items each document has to be compared with, and only such documents are
-read again with those items.
-
-Nulls: a null text has no words; a null item is skipped; rows with a null doc_id are judged like others. Repeated rows
-give repeated results; equal texts under several item ids are all reported. Empty tables give an empty result (no
-documents) or no hits (no items). Texts of any length are handled whole. Extra columns are ignored.
+smallest is kept as a fingerprint, so any span of 10 equal words shares a fingerprint between document and item. An item
+of fewer than 10 words (but not none) is one window of its own length and its whole hash is its fingerprint.
+
+1. Fingerprints of items become a table, each with the hashes of the (up to) six 10-word windows around it, and a bit filter of
+   bounded size.
+2. One pass over the documents emits the fingerprints that the filter lets pass, likewise with their windows; of short
+   items' lengths, and only of these, it emits runs that pass.
+3. Both are joined on the fingerprint, which is all that a benchmark of any size needs: where windows at the same
+   place around it agree, the window is a hit and so is each of its words.
+
+Documents are told apart by two 64-bit hashes of their text, so equal texts are compared once, and no text is ever
+shuffled or collected. Results meet the documents again in a plain join, which Spark splits where equal texts are many.
+
+Nulls: a null text has no words; a null item text is skipped; an item without an id makes hits but cannot be listed or
+counted; rows with a null doc_id are judged like others. Repeated rows give repeated results; equal texts under several item
+ids are all reported. Empty tables give an empty result (no documents) or no hits (no items). Texts of any length are handled
+whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm import flat
+from gistmill.llm import bits, flat
 from gistmill.llm.session import checkpoint, map_blocks, narrow, texts_of
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-MAX_BROADCAST_WORDS = 2_000_000
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_spans array<long>"
-TYPES = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    + [("items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64()))]
-)
+#: A fingerprint: its hash, its length if it is a whole run of words (else 0), its place, the windows around it by offset.
+MARKS = "mark long, run int, place long, around array<long>"
 
 
 def winnow(words: flat.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -55,164 +56,113 @@ def winnow(words: flat.Words) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-class Index:
-    """Fingerprints and words of benchmark items, for one worker; ``items`` are (id as text, text) pairs."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        words = flat.Words(pa.array([t for _, t in items], type=pa.string()), flat.ALNUM)
-        self.words, self.first = words.hash, words.first
-        self.doc = words.doc
-        at, hashes = winnow(words)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], at[order]
-        self.seen = np.zeros(1 << 16, dtype=bool)
-        self.seen[(self.hashes >> flat.U(48)).astype(np.int64)] = True
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k in np.flatnonzero((words.counts > 0) & (words.counts < WINDOW)):
-            n, a = int(words.counts[k]), int(words.first[k])
-            self.short.setdefault(n, {}).setdefault(int(flat.gram_hash(words.hash[a : a + n], n)[0]), []).append(int(k))
-
-    def hits(self, words: flat.Words) -> list[tuple[int, int, int]]:
-        """(first word, word after the last, item) of every maximal equal run of a window or more, in block positions."""
-        found = []
-        at, hashes = winnow(words)
-        keep = self.seen[(hashes >> flat.U(48)).astype(np.int64)]
-        at, hashes = at[keep], hashes[keep]
-        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        done: dict[tuple[int, int], int] = {}  # how far the run on a diagonal reaches
-        mine, theirs = words.hash, self.words
-        for k in np.flatnonzero(hi > lo):
-            p = int(at[k])
-            d = int(words.doc[p])
-            left, right = int(words.first[d]), int(words.first[d + 1])
-            for q in self.at[lo[k] : hi[k]].tolist():
-                item = int(self.doc[q])
-                if done.get((item, p - q), -1) > p:
-                    continue
-                back = min(p - left, q - int(self.first[item]))
-                equal = mine[p - back : p][::-1] == theirs[q - back : q][::-1]
-                a = p - (back if equal.all() else int(np.argmin(equal)))
-                ahead = min(right - p, int(self.first[item + 1]) - q)
-                equal = mine[p : p + ahead] == theirs[q : q + ahead]
-                b = p + (ahead if equal.all() else int(np.argmin(equal)))
-                done[item, p - q] = b
-                if b - a >= WINDOW:
-                    found.append((a, b, item))
-        for n, table in self.short.items():
-            grams, whole = words.grams(n)
-            if len(grams):
-                for p in np.flatnonzero(whole & np.isin(grams, np.fromiter(table, dtype=np.uint64, count=len(table)))).tolist():
-                    found += [(p, p + n, item) for item in table[int(grams[p])]]
-        return found
-
-
-def judge(words: flat.Words, found: list[tuple[int, int, list[str] | str]]) -> dict:
-    """Result columns of a block from its hits (positions in the block, item ids as text)."""
-    n, bounds = len(words.counts), words.first
-    edges = np.zeros(len(words.hash) + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in range(n)]
-    for a, b, item in found:
-        edges[a] += 1
-        edges[b] -= 1
-        items[int(words.doc[a])].add(item)
-    hit = np.cumsum(edges)[:-1] > 0
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    counts = sums[bounds[1:]] - sums[bounds[:-1]]
-    spans: list[list[int]] = []
-    for d in range(n):
-        flags = np.flatnonzero(np.diff(np.concatenate([[False], hit[bounds[d] : bounds[d + 1]], [False]]).astype(np.int8))) if counts[d] else np.zeros(0, dtype=np.int64)
-        spans.append(flags.tolist())
-    names = [sorted(x) for x in items]
-    return {
-        "n_words": words.counts,
-        "n_hit": counts,
-        "n_items": [len(x) for x in names],
-        "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names],
-        "contaminated": counts > 0,
-        "items": names,
-        "hit_spans": spans,
-    }
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, items, hit_spans.
+def around(words: flat.Words, at: np.ndarray) -> pa.Array:
+    """For each fingerprint's position the hashes of the windows that start 0 to 5 words before it; null where there is none."""
+    grams, whole = words.grams(WINDOW)
+    start = at[:, None] - np.arange(SPAN)
+    ok = (start >= 0) & (start < len(grams))
+    start = np.where(ok, start, 0)
+    if len(grams):
+        ok &= whole[start] & (words.doc[start] == words.doc[at][:, None])
+        values = grams[start].view(np.int64)
+    else:
+        values = np.zeros(start.shape, dtype=np.int64)
+    flat_values = pa.array(values.ravel(), mask=~ok.ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * SPAN, pa.int32()), flat_values)
 
-    ``hit_spans`` has the starts and ends of hit runs as word numbers, in turn. See the module for the edge cases.
-    """
-    docs = narrow(documents, id_col, text_col)
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
-    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    if size <= 6 * max_broadcast_words:  # at most three characters a word would still be within twice the bound
-        return _broadcast(docs, [tuple(r) for r in items.collect()])
-    return _shuffled(docs, items)
 
+def _marks(texts: DataFrame, names: list[str], lengths: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
+    """MARKS of the text column (last) with the named columns, which are whole numbers or strings.
 
-def _broadcast(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    index: list[Index] = []
+    ``lengths``: those of runs to be emitted; None: texts are items, and short ones are one run.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    types = pa.schema([(n, pa.string() if kinds[n] == "string" else pa.int64()) for n in names] + [("mark", pa.int64()), ("run", pa.int32()), ("place", pa.int64()), ("around", pa.list_(pa.int64()))])
+    schema = ", ".join([f"{n} {'string' if kinds[n] == 'string' else 'long'}" for n in names] + [MARKS])
 
     def step(batch):
-        if not index:
-            index.append(Index(shared.value))
         words = flat.Words(texts_of(batch), flat.ALNUM)
-        found = [(a, b, index[0].ids[k]) for a, b, k in index[0].hits(words)]
-        yield {"doc_id": batch.column(0), **judge(words, found)}
-
-    return map_blocks(docs, SCHEMA, step, TYPES)
-
 
-def _marks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, mark) pairs: fingerprints, and whole hashes of short items' lengths."""
-    types = pa.schema([("key", pa.string()), ("mark", pa.int64())])
+        def out(at, marks, run):
+            ok = bits.maybe(shared.value, marks)
+            at, marks = at[ok], marks[ok]
+            row = words.doc[at]
+            near = around(words, at) if not run else pa.array([[]] * len(at), pa.list_(pa.int64()))
+            return {n: batch.column(batch.schema.get_field_index(n)).take(pa.array(row)) for n in names} | {"mark": marks.view(np.int64), "run": np.full(len(at), run, dtype=np.int32), "place": at - words.first[row], "around": near}
 
-    def step(batch):
-        words = flat.Words(texts_of(batch), flat.ALNUM)
-        at, marks = winnow(words)
-        docs = words.doc[at]
-        parts = [(docs, marks)]
-        for n in range(1, WINDOW):
+        yield out(*winnow(words), 0)
+        for n in range(1, WINDOW) if lengths is None else lengths:
             grams, whole = words.grams(n)
-            if key == "item":
-                whole = whole & (words.counts[words.doc[: len(grams)]] == n) if len(grams) else whole
+            if lengths is None and len(grams):
+                whole = whole & (words.counts[words.doc[: len(grams)]] == n)
             p = np.flatnonzero(whole)
-            parts.append((words.doc[p], grams[p]))
-        docs, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keys = batch.column(0).cast(pa.string())
-        yield {"key": keys.take(pa.array(docs)), "mark": marks.view(np.int64)}
-
-    return map_blocks(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), "key string, mark long", step, types)
-
-
-def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The way for benchmarks of any size: candidates by a join of fingerprints, then only those pairs are compared."""
-    docs = docs.withColumn("row", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    theirs = _marks(items, "item", "item_text").select(F.col("key").alias("item"), "mark").distinct()
-    pairs = _marks(docs, "row", "text").distinct().join(theirs, "mark").select(F.col("key").alias("row"), "item").distinct()
-    listed = checkpoint(pairs.join(items, "item").select("row", F.struct("item", "item_text").alias("one")))
-    # a document is compared with its items in groups of bounded size; hits meet again as spans of word numbers
-    groups = listed.groupBy("row", F.pmod(F.xxhash64("one.item"), F.lit(64)).alias("part")).agg(F.collect_list("one").alias("some"))
-    types = pa.schema([("row", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("item", pa.string())])
-
-    def compare(batch):
-        some = batch.column(batch.schema.get_field_index("some")).to_pylist()
-        texts = texts_of(batch)
-        rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
-        out: dict = {"row": [], "a": [], "b": [], "item": []}
-        for k in range(len(texts)):
-            index = Index([(x["item"], x["item_text"]) for x in some[k]])
-            words = flat.Words(texts.slice(k, 1), flat.ALNUM)
-            for a, b, item in index.hits(words):
-                for name, v in zip(out, (rows[k], a, b, index.ids[item]), strict=True):
-                    out[name].append(v)
-        yield out
-
-    hits = map_blocks(docs.select("row", "text").distinct().join(groups, "row").select("text", "row", "some"), "row string, a long, b long, item string", compare, types)
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b", "item")).alias("hits"))
+            yield out(p, grams[p], n)
 
-    def step(batch):
-        words = flat.Words(texts_of(batch), flat.ALNUM)
-        found = [(int(words.first[d]) + h["a"], int(words.first[d]) + h["b"], h["item"]) for d, hs in enumerate(batch.column(batch.schema.get_field_index("hits")).to_pylist()) for h in hs or ()]
-        yield {"doc_id": batch.column(0), **judge(words, found)}
+    return map_blocks(texts.select(*names, "text"), schema, step, types)
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(k1, k2, start, end, item): windows, in words, of texts that an item has too."""
+    theirs = checkpoint(_marks(items, ["item"], None).select("item", "mark", "run", F.col("around").alias("theirs")).distinct())
+    lengths = sorted(r.run for r in theirs.where("run > 0").select("run").distinct().collect())
+    wanted = bits.build(theirs.select("mark").distinct(), "mark")
+    ours = _marks(docs, ["k1", "k2"], lengths, wanted).distinct()
+    met = ours.join(theirs, ["mark", "run"])
+    same = F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda j: F.get("around", j) == F.get("theirs", j))
+    met = met.select("k1", "k2", "item", "run", F.explode(F.when(F.col("run") > 0, F.array(F.lit(0))).otherwise(same)).alias("back"), "place")
+    start = F.col("place") - F.col("back")
+    return met.select("k1", "k2", start.alias("start"), (start + F.when(F.col("run") > 0, F.col("run")).otherwise(WINDOW)).alias("end"), "item")
 
-    return map_blocks(docs.join(hits, "row", "left").select("doc_id", "text", "hits"), SCHEMA, step, TYPES)
+
+def runs(starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Starts and ends, in turn, of the union of spans."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    fresh = np.concatenate([[True], starts[1:] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(starts) - 1]])
+    return np.stack([starts[fresh], reach[last]], axis=1).ravel().tolist()
+
+
+FOUND = "k1 long, k2 long, n_hit long, n_items long, items_sha256 string, items array<string>, hit_spans array<long>"
+
+
+def _found(hits: DataFrame) -> DataFrame:
+    """FOUND: what there is of each text with a hit."""
+    types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64()))])
+    spans = hits.groupBy("k1", "k2", "start").agg(F.max("end").alias("end")).groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    items = hits.select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.collect_list("item").alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            names = [sorted(x) for x in batch.column(4).to_pylist()]
+            spans = [runs(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            data = [batch.column(0), batch.column(1), hit, [len(x) for x in names], digests, names, spans]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(data, types, strict=True)], schema=types)
+
+    return spans.join(items, ["k1", "k2"]).select("k1", "k2", "starts", "ends", "items").mapInArrow(run, FOUND)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, items, hit_spans.
+
+    ``hit_spans`` has the starts and ends of hit runs as word numbers, in turn. See the module for the edge cases.
+    """
+    docs = narrow(documents, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    found = checkpoint(_found(checkpoint(_hits(docs, items))))
+    types = pa.schema([(n, pa.int64()) for n in ("doc_id", "k1", "k2", "n_words")])
+
+    def count(batch):
+        yield {n: batch.column(i) for i, n in enumerate(("doc_id", "k1", "k2"))} | {"n_words": flat.Words(texts_of(batch), flat.ALNUM).counts}
+
+    counted = map_blocks(docs, "doc_id long, k1 long, k2 long, n_words long", count, types)
+    none = hashlib.sha256(b"").hexdigest()
+    found = found.withColumnsRenamed({"k1": "f1", "k2": "f2"})
+    both = counted.join(found, (counted["k1"] == found["f1"]) & (counted["k2"] == found["f2"]), "left")
+    hit = F.coalesce("n_hit", F.lit(0))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return both.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (hit > 0).alias("contaminated"), empty("items", "array<string>"), empty("hit_spans", "array<bigint>"))

@@ -2,8 +2,7 @@ import hashlib
 import random
 import re
 
-import pytest
-
+from gistmill.llm import bits
 from gistmill.llm.decontaminate import decontaminate
 
 
@@ -19,14 +18,14 @@ def brute(docs, items):
         hit, found = set(), set()
         for item, t in items:
             v = words(t)
-            if item is None or not v:
+            if not v:
                 continue
             n = min(10, len(v))
             for j in range(len(v) - n + 1):
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == v[j : j + n]:
                         hit.update(range(i, i + n))
-                        found.add(str(item))
+                        found.update([] if item is None else [str(item)])
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -44,19 +43,46 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_equals_brute_force(spark, bound):
+def run(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS mark", "3 AS n_hit", "'x' AS k1")
+    got = decontaminate(d, spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'y' AS item"))
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()), key=str)
+
+
+def test_equals_brute_force(spark):
+    docs, items = cases()
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_without_a_filter(spark, monkeypatch):
+    """More fingerprints than a filter holds: all of the documents' go to the join."""
+    monkeypatch.setattr(bits, "MOST_BYTES", 8)
     docs, items = cases()
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS mark", "3 AS n_hit")
-    b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(d, b, max_broadcast_words=bound)
-    rows = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()), key=str)
-    assert rows == brute(docs, items)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_spans_and_items(spark):
+    v = [f"v{i}" for i in range(30)]
+    docs = [(1, " ".join(["x", *v[:12], "y", *v[15:25], *v[20:30]])), (2, "x")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(v)), (10, " ".join(v[:11])), (None, " ".join(v[20:30]))], "item_id long, text string"))
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[1].hit_spans == [1, 13, 14, 34] and by[1].items == ["10", "9"] and by[1].n_hit == 32
+    assert by[2].hit_spans == [] and by[2].items == [] and not by[2].contaminated
+
+
+def test_long_texts_and_many_copies(spark):
+    """One passage repeated all over a very long text and in many equal texts; a long item that repeats itself."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = [(1, (passage + " ") * 3000), (2, "w " * 100_000)] + [(10 + i, passage) for i in range(300)]
+    items = [(5, (passage + " ") * 200), (6, "q " * 50)]
+    got = {r[0]: r[1:] for r in run(spark, docs, items)}
+    digest = hashlib.sha256(b"5").hexdigest()
+    assert got[1] == (42_000, 42_000, 1, digest, True) and got[2][:3] == (100_000, 0, 0)
+    assert all(got[10 + i] == (14, 14, 1, digest, True) for i in range(300))
 
 
-@pytest.mark.parametrize("bound", [1_000_000, -1])
-def test_empty_tables(spark, bound):
+def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [(r.n_words, r.n_hit) for r in decontaminate(d, none, max_broadcast_words=bound).collect()] == [(3, 0)]
-    assert decontaminate(d.limit(0), none, max_broadcast_words=bound).count() == 0
+    assert [(r.n_words, r.n_hit) for r in decontaminate(d, none).collect()] == [(3, 0)]
+    assert decontaminate(d.limit(0), none).count() == 0
