@@ -12,7 +12,9 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     """(node, label): for each node of ``links`` the smallest node it reaches.
 
     Large-star links each node's larger neighbours to its smallest neighbour; small-star does so for smaller ones. Both
-    need only the minimum of a neighbourhood, which is pre-aggregated, so a hub of any degree never meets in one task.
+    need only the minimum of a neighbourhood, which is pre-aggregated and written, so that links meet it in a plain join of
+    two exchanges: Spark splits that join where a hub has very many links (adaptive skew join), and a hub that is the least of
+    its neighbourhood has nothing to fetch.
     Rounds stop when no link changes; ``most_rounds`` is far above the logarithm of any node count and only guards
     against an endless loop (it raises). Null ends and self links are ignored; no links give an empty table.
     """
@@ -22,11 +24,12 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     for _ in range(most_rounds):
         # large star: every neighbour above a node goes to the least of the node's closed neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("k"), "m"))
+        large = edges.join(least, edges["v"] == least["k"], "left").select("u", F.coalesce("m", "v").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(least, large["u"] == least["k"])
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("u").alias("k"), "m"))
+        joined = large.join(least, large["u"] == least["k"], "left").select("u", "v", F.coalesce("m", "v").alias("m"))
         small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = checkpoint(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()

@@ -17,8 +17,10 @@ line with a word). Lines without a word are never touched.
 
 A document loses its lines in a last pass. ``emptied`` marks one that lost lines and has no line of ``own_words`` left.
 
-Nulls: a null text stays null and has no lines; a null doc_id comes last in the order. Rows with one doc_id count as one
-document: equal lines of theirs do not make each other go, and what goes from one goes from all. Ties cannot arise otherwise. Empty and very long
+Nulls: a null text stays null and has no lines. Rows without a doc_id come last, in the order of a hash of their text, each
+text a document of its own. Rows with one doc_id count as one document, as do equal texts without one: equal lines of theirs do
+not make each other go, and what goes from one goes from all. Ids from 2**62 on may fall among the rows without one. Ties cannot
+arise otherwise. Empty and very long
 texts, empty tables and extra columns need no special care; text that loses nothing is returned unchanged.
 """
 
@@ -33,7 +35,8 @@ from gistmill.llm import bits, flat
 from gistmill.llm.session import blocks, checkpoint, map_blocks, texts_of
 
 MIN_WORDS = 5
-LAST = (1 << 63) - 1
+#: Rows without an id take their places from here on.
+LAST = 1 << 62
 Q1, Q2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 P1, I1 = flat._Powers(Q1), flat._Powers(pow(Q1, -1, 1 << 64))
 P2, I2 = flat._Powers(Q2), flat._Powers(pow(Q2, -1, 1 << 64))
@@ -218,11 +221,16 @@ def _near(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     return _verified(checkpoint(replaced.unionByName(inserted).distinct()), survivors)
 
 
+def _place(id_col, text_col):
+    """A document's place in the order: its id, or for rows without one a hash of the text above all ids."""
+    return F.coalesce(id_col.cast("long"), F.xxhash64(text_col.cast("string")).bitwiseAND(F.lit(LAST - 1)) + F.lit(LAST))
+
+
 def line_drops(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """(doc, hashes): for each document the hashes of lines that go because of an earlier document's or line's."""
     if min_words < 3:
         raise ValueError("min_words must be 3 or more")
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    docs = documents.select(_place(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     own_words = own_words or min_words
     first = checkpoint(_first_lines(docs, min_words, own_words))
     copies = _copies(docs, first.where("last > doc"), own_words)
@@ -252,11 +260,11 @@ def _cut(texts: pa.Array, drops: list, own_words: int) -> tuple[list, np.ndarray
     return out, counts, dropped, (dropped > 0) & (left == 0)
 
 
-def _joined(documents: DataFrame, drops: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+def _joined(documents: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     name = "hashes"
     while name.lower() in {c.lower() for c in documents.columns} | {"doc"}:
         name += "_"
-    key = F.coalesce(documents[id_col].cast("long"), F.lit(LAST))
+    key = _place(documents[id_col], documents[text_col])
     drops = drops.select(F.col("doc").alias(name + "k"), F.col("hashes").alias(name))
     return documents.join(drops, key == drops[name + "k"], "left").drop(name + "k"), name
 
@@ -264,7 +272,7 @@ def _joined(documents: DataFrame, drops: DataFrame, id_col: str) -> tuple[DataFr
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, emptied, text (what is left)."""
     narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined, name = _joined(narrow, line_drops(narrow, "doc_id", "text", min_words, own_words), "doc_id")
+    joined, name = _joined(narrow, line_drops(narrow, "doc_id", "text", min_words, own_words), "doc_id", "text")
     types = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("emptied", pa.bool_()), ("text", pa.string())])
 
     def step(batch):
@@ -279,7 +287,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, own_words: int | None = None) -> DataFrame:
     """The documents, with all their columns, without repeated lines; emptied documents go."""
-    joined, name = _joined(documents, line_drops(documents, id_col, text_col, min_words, own_words), id_col)
+    joined, name = _joined(documents, line_drops(documents, id_col, text_col, min_words, own_words), id_col, text_col)
     at, width = documents.columns.index(text_col), len(documents.columns)
 
     def run(batches):

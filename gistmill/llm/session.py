@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,16 +15,20 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without it gets an own one."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "gistmill-checkpoints")
+
 
-    The folder is ``spark.checkpoint.dir``; only where the session has none (tests, local runs) is an own one made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "gistmill-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -67,7 +72,3 @@ def map_blocks(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Iter
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in types], schema=types)
 
     return df.mapInArrow(run, schema)
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

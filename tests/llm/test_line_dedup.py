@@ -124,3 +124,11 @@ def test_exact_copies_of_short_lines_go(spark, seed):
     assert got[2] == (False, "\nnew") and got[4] == (True, "")
     kept = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r.doc_id: r.text for r in kept.collect()} == {d: t for d, (emptied, t) in got.items() if not emptied}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    line = "one two three four five six"
+    docs = [(None, f"{line}\nfirst own line of mine here"), (None, f"{line}\nsecond own line that I have"), (9, "unrelated words in this line"), (None, "unrelated words in this line")]
+    got = {(r.doc_id, r.text) for r in dedup_lines(frame(spark, docs)).collect()}
+    assert sum(line in t for _, t in got) == 1 and (9, docs[2][1]) in got and (None, "") in got
+    assert sum("own line" in t for _, t in got) == 2
