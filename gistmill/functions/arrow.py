@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 4096
 
 
+#: Bytes of (compressed) input for one task of a map that takes much time a byte; from MOST_TASKS on the scan's own tasks do.
+TASK_BYTES, MOST_TASKS = 2 << 20, 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly, so that a costly map keeps all cores busy.
+
+    A scan makes one task of a row group, however many tasks it plans, and a small table may be one row group. So inputs of up
+    to MOST_TASKS times TASK_BYTES (by the optimizer's estimate, nothing runs for it) are dealt out in turn, to two tasks a core
+    at least. Larger ones have tasks enough and are not shuffled; nor are streams.
+    """
+    if df.isStreaming:
+        return df
+    # a join's own estimate is the product of its sides', so the tables that are read count
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.repartition(tasks) if tasks <= MOST_TASKS else df
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[str], Iterator[tuple]], schema: str, types: list[tuple[str, pa.DataType]]) -> DataFrame:
     """For every text the rows that ``rows`` yields, after the id. A null text yields nothing. No shuffle."""
     id_type = df.schema[id_col].dataType
@@ -33,7 +53,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[str], I
             if at:
                 yield _batch(batch, at, columns, types, names)
 
-    out = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type.simpleString()}, {schema}")
+    out = spread(df.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"id {id_type.simpleString()}, {schema}")
     return out.withColumnRenamed("id", id_col)
 
 

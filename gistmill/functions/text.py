@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gistmill import fixed
+from gistmill.operators.atoms import JAVA_LINEAR
 from gistmill.operators.segment import STOP
 
 U = "(?U)"
@@ -30,7 +31,11 @@ def surfaces(text: Column, kind: str) -> Column:
     """All surfaces of one atom class, in order (short hashes need their surroundings: see ``operators.atoms``)."""
     if kind == "ipv4":  # a version number is matched too, so that no address begins inside it, but not captured
         plain = java(kind).removeprefix(U)
-        return F.filter(F.regexp_extract_all(text, F.lit(f"{U}{VERSION}{plain}|({plain})"), F.lit(1)), lambda x: x != "")
+        return F.filter(F.regexp_extract_all(text, F.lit(f"{U}\\b(?=\\d){VERSION}{plain}|({plain})"), F.lit(1)), lambda x: x != "")
+    if kind in JAVA_LINEAR:
+        pattern, group, front = JAVA_LINEAR[kind]
+        found = F.regexp_extract_all(text, F.lit(U + pattern), F.lit(group))
+        return F.transform(found, lambda x: F.regexp_replace(x, front, "")) if front else found
     return F.regexp_extract_all(text, F.lit(java(kind)), F.lit(0))
 
 

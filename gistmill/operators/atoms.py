@@ -23,7 +23,25 @@ ENTITY = tuple(kind for kind, _, _, _, entity in fixed.ATOMS if entity)
 VERSION_BEFORE, HASH_BESIDE, NOT_HASH = (re.compile(p, re.I) for p in (fixed.VERSION_BEFORE, fixed.HASH_BESIDE, fixed.NOT_HASH))
 NEGATION_WORDS = tuple(fixed.NEGATIONS.split("|"))
 CAMEL = re.compile("[a-z0-9][A-Z]")
+
+# Two patterns that take more than linear time as they stand have forms with equal matches that do not: a match can only
+# begin at the start of a run of its characters (or where the last match ended), and runs are never given back.
+NAME, SCHEME = r"a-zA-Z0-9_.\-", r"a-zA-Z0-9+.\-"
+_SCHEMED = rf"[0-9+.\-]*+([a-zA-Z][{SCHEME}]*+://[^\s<>\"'()]++)"
+_PLACED = rf"arn:aws:[{NAME}]++:[{NAME}]*+:(?:\d{{12}})?:[{NAME}/:*]++|/[{NAME}]++(?:/[{NAME}]++)+|(?<![{NAME}])[{NAME}][a-zA-Z0-9_\-]*+\.[{NAME}]++/[^\s]*+"
+_LOCATED = rf"(?:(?!\b)(?:[a-zA-Z0-9_]++|[.\-]++))?\b([{NAME}]++(?:\s*+/\s*+[{NAME}]+)+(?::\d+(?::\d+)?)?\b)"
+#: kind: (what may follow right where the last match ended, the first match anywhere); the first group with a match counts.
+LINEAR = {
+    "path_or_url": (re.compile(_SCHEMED), re.compile(rf"(?<![{SCHEME}]){_SCHEMED}|({_PLACED})")),
+    "file_location": (re.compile(_LOCATED), re.compile(rf"(?<![{NAME}]){_LOCATED}")),
+}
+#: The same for Java, whose \\G stands where the last match ended: (pattern, group, what to take off a match's front).
+JAVA_LINEAR = {
+    "path_or_url": (rf"(?:(?<![{SCHEME}])|\G){_SCHEMED}|{_PLACED}", 0, rf"^[0-9+.\-]+(?=[a-zA-Z][{SCHEME}]*+://)"),
+    "file_location": (rf"(?:(?<![{NAME}])|\G){_LOCATED}", 1, None),
+}
 #: Letters that ignoring case equates with ASCII ones, which lower-casing does not; texts with them are always scanned.
+DIGIT = re.compile("[0-9]")
 FOLDING = re.compile("[\u017f\u0130\u0131\u212a]")
 
 
@@ -36,8 +54,9 @@ class _Signs:
 
     def __init__(self, text: str):
         self.text, self.low = text, text.lower()
-        self.digit = any(c in text for c in "0123456789") or not text.isascii()
-        self.sure = text.isascii() or not FOLDING.search(text)
+        plain = text.isascii()
+        self.digit = not plain or DIGIT.search(text) is not None
+        self.sure = plain or not FOLDING.search(text)
 
 
 #: A necessary sign of each class, far cheaper than its pattern.
@@ -75,11 +94,22 @@ class Atom(NamedTuple):
     required: bool
 
 
+def _linear(kind: str, text: str) -> list[tuple[int, int]]:
+    here, ahead = LINEAR[kind]
+    out, at = [], 0
+    while m := (here.match(text, at) if at else None) or ahead.search(text, at):
+        out.append(m.span(m.lastindex))
+        at = m.end()
+    return out
+
+
 def places(kind: str, text: str, signs: _Signs | None = None) -> list[tuple[int, int]]:
     """Ranges of a class in a text, with the context that addresses and short hashes need."""
     signs = signs or _Signs(text)
     if signs.sure and not NEEDS[kind](signs):
         return []
+    if kind in LINEAR:
+        return _linear(kind, text)
     found = [m.span() for m in PATTERNS[kind].finditer(text)]
     if kind == "ipv4":
         return [(a, b) for a, b in found if not VERSION_BEFORE.search(text[max(0, a - fixed.VERSION_CHARS) : a])]
@@ -157,10 +187,18 @@ def find(text: str, terms: tuple[str, ...] = ()) -> list[Atom]:
     return list(out.values())
 
 
-def entities(text: str) -> frozenset[str]:
+def possible(texts: list[str]) -> tuple[str, ...]:
+    """Classes of ENTITY that any of the texts could hold: signs that all of them together lack, none of them has."""
+    signs = _Signs("\n".join(texts))
+    return tuple(k for k in ENTITY if not signs.sure or NEEDS[k](signs))
+
+
+def entities(text: str, kinds: tuple[str, ...] = ENTITY) -> frozenset[str]:
     """Distinct surfaces of the classes that selection must cover."""
+    if not kinds:
+        return frozenset()
     signs = _Signs(text)
-    return frozenset(text[a:b].strip() for kind in ENTITY for a, b in places(kind, text, signs))
+    return frozenset(text[a:b].strip() for kind in kinds for a, b in places(kind, text, signs))
 
 
 SCHEMA = "atom_seq int, atom_id string, kind string, surface string, canonical string, start long, end long, required boolean"

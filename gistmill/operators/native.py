@@ -1,15 +1,19 @@
-"""Parsers and selections that need no Python, or a kernel over packed arrays only."""
+"""Parsers and selections that need no Python, or a kernel over whole texts or packed arrays only."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill import fixed
 from gistmill.functions import text as T
+from gistmill.functions.arrow import map_texts
 from gistmill.functions.tokens import token_estimate
+from gistmill.operators.segment import sentences
+from gistmill.sources.decode import Source
 
 
 def csv_chunks(docs: DataFrame, by: str = "document_id", text: str = "text") -> DataFrame:
@@ -26,26 +30,17 @@ def paragraphs(docs: DataFrame, by: str = "document_id", text: str = "text") ->
     return docs.select(by, F.posexplode(parts).alias("block_seq", text))
 
 
-def sentence_spans(docs: DataFrame, by: str = "document_id", text: str = "text") -> DataFrame:
-    """(by, unit_seq, start, end, text): sentences with their places, found one behind the other by running search."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+def sentence_spans(docs: DataFrame, by: str = "document_id", text: str = "text", in_bytes: bool = False) -> DataFrame:
+    """(by, unit_seq, start, end, text): sentences with their places, in characters or in bytes of UTF-8; linear in the text."""
 
-    pieces = T.sentences(F.col(text))
-    found = F.aggregate(
-        pieces,
-        start,
-        lambda acc, x: F.struct(
-            (_from(text, x, acc["at"]) + F.length(x)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(_from(text, x, acc["at"]).alias("start"), (_from(text, x, acc["at"]) + F.length(x)).alias("end"), x.alias("text")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return docs.select(by, F.posexplode(found).alias("unit_seq", "s")).select(by, "unit_seq", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("text"))
+    def rows(whole):
+        source = Source(whole.encode()) if in_bytes else None
+        clean = source.clean if in_bytes else whole
+        for k, (a, e) in enumerate(sentences(clean)):
+            yield k, *(source.span(a, e) if in_bytes else (a, e)), clean[a:e]
 
-
-def _from(text: str, piece, at):
-    """Place (from 0) of a piece at or behind a place."""
-    return F.position(piece, F.col(text), at + 1) - 1
+    types = [("unit_seq", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]
+    return map_texts(docs, by, text, rows, "unit_seq int, start long, end long, text string", types)
 
 
 def _packed(units: DataFrame, by: str) -> DataFrame:
@@ -55,12 +50,12 @@ def _packed(units: DataFrame, by: str) -> DataFrame:
 
 def entity_cover(units: DataFrame, by: str = "document_id") -> DataFrame:
     """(by, unit_seq): units chosen greedily until every entity is held."""
-    from gistmill.operators.atoms import entities
+    from gistmill.operators.atoms import entities, possible
     from gistmill.operators.select import cover
 
     @F.pandas_udf("array<int>")
     def kernel(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(cover([entities(t) for t in ts], set())) for ts in texts])
+        return pd.Series([sorted(cover([entities(t, kinds) for t in ts], set())) for ts in texts for kinds in [possible(list(ts))]])
 
     rows = _packed(units, by).select(by, F.transform("u", lambda x: x["unit_seq"]).alias("ids"), kernel(F.transform("u", lambda x: x["text"])).alias("chosen"))
     return rows.select(by, F.explode(F.transform("chosen", lambda i: F.get("ids", i))).alias("unit_seq"))

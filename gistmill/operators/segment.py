@@ -9,9 +9,10 @@ import regex
 from gistmill import fixed
 
 #: What ends a sentence: a run of western stops that is no abbreviation, no pause and is followed by a space, a closing
-#: mark or the end; a single stop of another script; or an empty line. ``{end}`` differs between regex dialects.
+#: mark or the end; a single stop of another script; or an empty line. The look ahead at its front spares the look behind
+#: elsewhere. ``{end}`` differs between regex dialects.
 STOP = (
-    r"(?<!\b(?i:ABBR)\s{0,8})(?:(?<![.!?])(?!\.{2,}+\s*(?:\(|\p{Ll}))[.!?]++(?={end}|[\s\"')\]}»”])|[OTHER]|\n{2,}+)"
+    r"(?=[.!?\nOTHER])(?<!\b(?i:ABBR)\s{0,8})(?:(?<![.!?])(?!\.{2,}+\s*(?:\(|\p{Ll}))[.!?]++(?={end}|[\s\"')\]}»”])|[OTHER]|\n{2,}+)"
 ).replace("ABBR", fixed.ABBREVIATED).replace("OTHER", fixed.OTHER_STOPS)
 
 

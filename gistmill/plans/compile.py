@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed
 from gistmill.functions import route as R
+from gistmill.functions.arrow import spread
 from gistmill.functions.tokens import Profile, profile
 from gistmill.operators import rank, render, rewrite, select, validate
-from gistmill.operators.atoms import Atom, entities, find
+from gistmill.operators.atoms import Atom, entities, find, possible
 from gistmill.operators.units import Unit, in_blocks, units
 from gistmill.sources.blocks import Block, block_id
 from gistmill.sources.decode import Rejected, Source
@@ -66,11 +67,15 @@ class Stages:
     units: list[Unit]
 
 
-def analyse(raw: bytes, policy: Policy) -> Stages:
-    """Route, blocks, atoms in kept zones, and units."""
+def analyse(raw: bytes, policy: Policy, upto: str = "units") -> Stages:
+    """Route and blocks, atoms in kept zones, and units: the stages up to the named one."""
     route, source, blocks = parse(raw)
-    atoms = in_blocks(find(source.clean, policy.required_terms), blocks) if blocks else []
-    return Stages(route, source, blocks, atoms, units(blocks, atoms, policy.filter_boilerplate))
+    s = Stages(route, source, blocks, [], [])
+    if upto != "blocks" and blocks:
+        s.atoms = in_blocks(find(source.clean, policy.required_terms), blocks)
+    if upto == "units":
+        s.units = units(blocks, s.atoms, policy.filter_boilerplate)
+    return s
 
 
 def table(s: Stages, policy: Policy, count) -> select.Table:
@@ -78,7 +83,8 @@ def table(s: Stages, policy: Policy, count) -> select.Table:
     texts = [u.text for u in s.units]
     must = [bool(required.intersection(u.atoms)) or (policy.preserve_failures and "test_failure" in u.block_id) or "_decision" in u.block_id or "_request" in u.block_id for u in s.units]
     scores = rank.scores(texts, policy.max_k_neighbors, policy.pagerank_damping)
-    return select.Table(texts, [count(t) for t in texts], [entities(t) for t in texts], must, scores, [u.kind == "heading" for u in s.units])
+    kinds = possible(texts)
+    return select.Table(texts, [count(t) for t in texts], [entities(t, kinds) for t in texts], must, scores, [u.kind == "heading" for u in s.units])
 
 
 def close(chosen: list[int], headings: list[bool]) -> list[int]:
@@ -159,18 +165,27 @@ def _prepared(df: DataFrame, id_col: str, content_col: str) -> tuple[DataFrame,
     """id, document_id, byte_length, and the content unless it is too large."""
     content = _content(df, content_col)
     out = df.select(F.col(id_col).alias("id"), R.document_id(content).alias("document_id"), F.octet_length(content).alias("byte_length"), F.when(~R.too_large(content), content).alias("content"))
-    return out, df.schema[id_col].dataType.simpleString()
+    return spread(out), df.schema[id_col].dataType.simpleString()
+
+
+#: Results are handed on once so many rows, or so many bytes of text and manifest, have come together.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def compile_documents(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy()) -> DataFrame:
     """One row per document: the id, document_id, then RESULT. ``content_col`` is binary or a string.
 
-    A null content is compiled as empty. The plan is a scan, a projection and a map.
+    A null content is compiled as empty. The plan is a scan, a projection, for small inputs a deal-out (``spread``), and a map.
     """
     prepared, id_type = _prepared(df, id_col, content_col)
 
+    def handed(batch, start, rows):
+        arrays = [pa.array([r[n] for r in rows], t) for n, t in _TYPES]
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), batch.column(1).slice(start, len(rows)), *arrays], names=["id", "document_id", *(n for n, _ in _TYPES)])
+
     def run(batches):
         for batch in batches:
+            start, rows, size_ = 0, [], 0
             for k in range(batch.num_rows):
                 raw, size = batch.column(3)[k].as_py(), batch.column(2)[k].as_py()
                 if raw is None and size is not None:
@@ -178,8 +193,13 @@ def compile_documents(df: DataFrame, id_col: str, content_col: str, policy: Poli
                     r = _result("INPUT_TOO_LARGE", manifest={"schema_version": render.VERSION, "status": "INPUT_TOO_LARGE", "error": note}, diagnostics=(note,))
                 else:
                     r = compile_bytes(raw or b"", policy)
-                arrays = [pa.array([r[n]], t) for n, t in _TYPES]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *arrays], names=["id", "document_id", *(n for n, _ in _TYPES)])
+                rows.append(r)
+                size_ += len(r["text"]) + len(r["manifest"])
+                if len(rows) >= BATCH_ROWS or size_ >= BATCH_BYTES:
+                    yield handed(batch, start, rows)
+                    start, rows, size_ = k + 1, [], 0
+            if rows:
+                yield handed(batch, start, rows)
 
     return prepared.mapInArrow(run, f"id {id_type}, document_id string, {RESULT}").withColumnRenamed("id", id_col)
 
@@ -188,19 +208,28 @@ BLOCKS = "block_seq int, block_id string, route string, kind string, seg_kind st
 UNITS = "unit_seq int, unit_id string, block_id string, block_kind string, seg_kind string, start long, end long, text string, atom_ids array<int>, n_required int, tokens int"
 
 
-def _stage(df: DataFrame, id_col: str, content_col: str, policy: Policy, schema: str, types, rows) -> DataFrame:
+def _stage(df: DataFrame, id_col: str, content_col: str, policy: Policy, schema: str, types, rows, upto: str) -> DataFrame:
     prepared, id_type = _prepared(df, id_col, content_col)
 
+    def handed(batch, at, found):
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["id", *(n for n, _ in types)])
+
     def run(batches):
         for batch in batches:
+            at, found = [], []
             for k, raw in enumerate(batch.column(3).to_pylist()):
                 try:
-                    found = list(rows(analyse(raw, policy))) if raw and raw.strip() else []
+                    own = list(rows(analyse(raw, policy, upto))) if raw and raw.strip() else []
                 except Rejected:
-                    found = []
-                if found:
-                    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(found))), *columns], names=["id", *(n for n, _ in types)])
+                    own = []
+                at += [k] * len(own)
+                found += own
+                if len(found) >= 16 * BATCH_ROWS:
+                    yield handed(batch, at, found)
+                    at, found = [], []
+            if found:
+                yield handed(batch, at, found)
 
     return prepared.mapInArrow(run, f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
 
@@ -214,7 +243,7 @@ def document_blocks(df: DataFrame, id_col: str, content_col: str, policy: Policy
             first = s.source.span(*b.spans[0]) if b.spans else (0, 0)
             yield k, block_id(k, b.tag), s.route, b.kind, b.made, *first, b.text, list(b.meta.items())
 
-    return _stage(df, id_col, content_col, policy, BLOCKS, types, rows)
+    return _stage(df, id_col, content_col, policy, BLOCKS, types, rows, "blocks")
 
 
 def document_units(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy()) -> DataFrame:
@@ -227,7 +256,7 @@ def document_units(df: DataFrame, id_col: str, content_col: str, policy: Policy
             first = s.source.span(*u.spans[0]) if u.spans else (0, 0)
             yield k, f"unit_{k:04d}", u.block_id, u.kind, u.made, *first, u.text, list(u.atoms), len(required.intersection(u.atoms)), count(u.text)
 
-    return _stage(df, id_col, content_col, policy, UNITS, types, rows)
+    return _stage(df, id_col, content_col, policy, UNITS, types, rows, "units")
 
 
 def document_atoms(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy()) -> DataFrame:
@@ -239,7 +268,7 @@ def document_atoms(df: DataFrame, id_col: str, content_col: str, policy: Policy
             yield k, f"atom_{k:04d}_{a.kind}", a.kind, a.surface, a.canonical, *s.source.span(a.start, a.end), a.required
 
     schema = "atom_seq int, atom_id string, kind string, surface string, canonical string, start long, end long, required boolean"
-    return _stage(df, id_col, content_col, policy, schema, types, rows)
+    return _stage(df, id_col, content_col, policy, schema, types, rows, "atoms")
 
 
 def summarize(text: str) -> str:

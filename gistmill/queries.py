@@ -13,6 +13,7 @@ from gistmill import fixed
 from gistmill.functions import language as L
 from gistmill.functions import route as R
 from gistmill.functions import text as T
+from gistmill.functions.arrow import spread
 from gistmill.functions.tokens import token_estimate
 from gistmill.operators import native, rank, render, units, validate
 from gistmill.operators.atoms import atoms
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, its rows dealt out for expressions that take much time a byte."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def s(value: str) -> str:
     return f"CAST({value} AS STRING)"
 
@@ -69,7 +75,7 @@ LINES = f"concat(CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN {s('o_orderkey % 3
 
 
 def made(spark, sf_dir, name, key, text, alias="text") -> DataFrame:
-    return table(spark, sf_dir, name).selectExpr(f"CAST({key} AS BIGINT) AS document_id", f"{text} AS {alias}")
+    return spread(table(spark, sf_dir, name)).selectExpr(f"CAST({key} AS BIGINT) AS document_id", f"{text} AS {alias}")
 
 
 # ---- ingest and routes -----------------------------------------------------------------------------------------------
@@ -98,7 +104,7 @@ def route_counts(spark, sf_dir):
     parts = [("documents", t("documents"), "text"), ("pages", t("pages"), "html"), ("events", t("events"), "props"), ("mail", mail, MAIL), ("cargo", t("events"), CARGO), ("code", t("nation"), CODE), ("markdown", t("customer"), MARKDOWN)]
     union = None
     for name, df, text in parts:
-        one = df.selectExpr(f"'{name}' AS origin", f"{text} AS text")
+        one = spread(df).selectExpr(f"'{name}' AS origin", f"{text} AS text")
         union = one if union is None else union.unionByName(one)
     return union.select("origin", R.route(F.col("text")).alias("route")).groupBy("origin", "route").agg(F.count("*").alias("n"))
 
@@ -193,7 +199,7 @@ def sentence_units(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 @query(f"SELECT doc_id AS document_id, CAST(i - 1 AS BIGINT) AS unit_seq, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents))")
 def sentences(spark, sf_dir):
-    return sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumn("unit_seq", F.col("unit_seq").cast("long"))
+    return sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").withColumn("unit_seq", F.col("unit_seq").cast("long"))
 
 
 @query(f"SELECT role, count(*) AS n_turns, CAST(sum(len({sentences_sql('text')})) AS BIGINT) AS n_sentences FROM conversations GROUP BY role")
@@ -206,7 +212,7 @@ _TOKENS = "CAST(CASE WHEN length({t}) = 0 THEN 0 ELSE greatest(1, (length({t}) /
 
 @query(f"SELECT doc_id, {_TOKENS.format(t='text')} AS n_tokens FROM documents")
 def token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).cast("long").alias("n_tokens"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", token_estimate(F.col("text")).cast("long").alias("n_tokens"))
 
 
 @query(f"""SELECT CAST(o_orderkey AS BIGINT) AS document_id, t AS text FROM (SELECT o_orderkey, {LINES} AS t FROM orders)
@@ -217,12 +223,12 @@ def boilerplate_lines(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{3,}'))) AS BIGINT) AS n_words FROM documents")
 def vocabulary_size(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
 
 
 @query()
 def document_languages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", L.language(F.col("text")).alias("language"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", L.language(F.col("text")).alias("language"))
 
 
 # ---- atoms -----------------------------------------------------------------------------------------------------------
@@ -238,8 +244,8 @@ def _atom_query(kind: str, fold: bool, pattern: str) -> None:
     source = f"SELECT 'event' AS origin, CAST(event_id AS BIGINT) AS id, {INCIDENT} AS text FROM events UNION ALL SELECT 'document', doc_id, text FROM documents"
 
     def run(spark, sf_dir):
-        made_ = table(spark, sf_dir, "events").selectExpr("'event' AS origin", "CAST(event_id AS BIGINT) AS id", f"{INCIDENT} AS text")
-        docs = table(spark, sf_dir, "documents").selectExpr("'document' AS origin", "doc_id AS id", "text")
+        made_ = spread(table(spark, sf_dir, "events")).selectExpr("'event' AS origin", "CAST(event_id AS BIGINT) AS id", f"{INCIDENT} AS text")
+        docs = texts(spark, sf_dir, "documents", "doc_id", "text").selectExpr("'document' AS origin", "doc_id AS id", "text")
         return made_.unionByName(docs).select("origin", "id", F.explode(T.surfaces(F.col("text"), kind)).alias("surface"))
 
     run.__name__ = f"atoms_{kind}"
@@ -265,7 +271,7 @@ _EDGE_L, _EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 @query(f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '{_NEG}'))) AS BIGINT) AS n_negations FROM documents")
 def negation_atoms(spark, sf_dir):
     found = F.size(T.surfaces(F.col("text"), "negation")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("n_negations"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", found.alias("n_negations"))
 
 
 @query(f"SELECT CAST(event_id AS BIGINT) AS document_id, unnest(['not every user pays', 'no refund']) AS surface FROM events")
@@ -400,7 +406,7 @@ v AS (SELECT document_id, unit_seq, term, raw / sqrt(sum(raw * raw) OVER (PARTIT
 
 @query(f"WITH {_TFIDF} SELECT document_id, CAST(unit_seq AS BIGINT) AS unit_seq, count(*) AS n_terms, round(max(weight), 6) AS top_weight, round(sum(weight * weight), 6) AS norm FROM v GROUP BY document_id, unit_seq")
 def tfidf_terms(spark, sf_dir):
-    v = rank.tfidf(sentence_units(table(spark, sf_dir, "documents"), "doc_id"))
+    v = rank.tfidf(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
     out = v.groupBy("document_id", "unit_seq").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
     return out.withColumn("unit_seq", F.col("unit_seq").cast("long"))
 
@@ -409,14 +415,14 @@ def tfidf_terms(spark, sf_dir):
 k AS (SELECT *, row_number() OVER (PARTITION BY document_id, src ORDER BY weight DESC, dst) AS r FROM sims)
 SELECT document_id, CAST(src AS BIGINT) AS src, count(*) AS degree, round(max(weight), 5) AS nearest FROM k WHERE r <= {fixed.NEIGHBOURS} GROUP BY document_id, src""")
 def similarity_topk(spark, sf_dir):
-    edges = rank.similar(rank.tfidf(sentence_units(table(spark, sf_dir, "documents"), "doc_id")))
+    edges = rank.similar(rank.tfidf(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")))
     out = edges.groupBy("document_id", "src").agg(F.count("*").alias("degree"), F.round(F.max("weight"), 5).alias("nearest"))
     return out.withColumn("src", F.col("src").cast("long"))
 
 
 @query()
 def pagerank_units(spark, sf_dir):
-    parts = sentence_units(table(spark, sf_dir, "documents"), "doc_id")
+    parts = sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     return rank.pagerank(parts, rank.similar(rank.tfidf(parts)))
 
 
@@ -436,7 +442,7 @@ def entity_cover(spark, sf_dir):
 
 @query()
 def coverage_curve(spark, sf_dir):
-    return native.coverage_curve(sentence_units(table(spark, sf_dir, "documents"), "doc_id"))
+    return native.coverage_curve(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
 
 
 @query()
@@ -491,10 +497,7 @@ def rewrite_gate(spark, sf_dir):
 # ---- validation and rendering ----------------------------------------------------------------------------------------
 def byte_segments(docs: DataFrame) -> DataFrame:
     """(document_id, unit_seq, start, end, text): the sentences of whole documents with their byte spans."""
-    rows = docs.select(F.col("doc_id").alias("document_id"), "text")
-    spans = native.sentence_spans(rows.select(F.struct("document_id", F.col("text").alias("whole")).alias("doc"), "text"), "doc")
-    at = lambda c: T.byte_offset(F.col("doc.whole"), F.col(c)).cast("long").alias(c)
-    return spans.select("doc.document_id", F.col("unit_seq").cast("long").alias("unit_seq"), at("start"), at("end"), "text")
+    return native.sentence_spans(docs.select(F.col("doc_id").alias("document_id"), "text"), in_bytes=True).withColumn("unit_seq", F.col("unit_seq").cast("long"))
 
 
 def contents(docs: DataFrame) -> DataFrame:
@@ -535,13 +538,13 @@ WITH u AS (SELECT doc_id AS document_id, i - 1 AS unit_seq, s[i] AS text FROM (S
 SELECT document_id, CAST(unit_seq AS BIGINT) AS unit_seq, CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY document_id ORDER BY unit_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start,
  CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY document_id ORDER BY unit_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(text) AS BIGINT) AS out_end FROM u""")
 def rendered_offsets(spark, sf_dir):
-    parts = render.output_offsets(sentence_units(table(spark, sf_dir, "documents"), "doc_id"))
+    parts = render.output_offsets(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
     return parts.select("document_id", F.col("unit_seq").cast("long").alias("unit_seq"), "out_start", F.col("out_end").cast("long").alias("out_end"))
 
 
 @query(f"SELECT doc_id AS document_id, CAST(length(array_to_string({sentences_sql('text')}, chr(10))) AS BIGINT) AS n_chars FROM documents WHERE len({sentences_sql('text')}) > 0")
 def rendered_texts(spark, sf_dir):
-    return render.joined(sentence_units(table(spark, sf_dir, "documents"), "doc_id")).select("document_id", F.length("text").cast("long").alias("n_chars"))
+    return render.joined(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")).select("document_id", F.length("text").cast("long").alias("n_chars"))
 
 
 # ---- the whole -------------------------------------------------------------------------------------------------------

@@ -40,9 +40,16 @@ def _columns(sample: str) -> list[list[str]]:
     return [row for row in csv.reader(io.StringIO(sample), csv.Sniffer().sniff(sample, delimiters=",;\t|")) if row]
 
 
+def _may_split(rows: list[str]) -> bool:
+    """Without quotes, a delimiter that every row has is needed for rows of equal width; this spares the sniffer."""
+    if any('"' in r or "'" in r for r in rows):
+        return any(d in r for d in ",;\t|" for r in rows)
+    return any(all(d in r for r in rows) for d in ",;\t|")
+
+
 def is_table(text: str) -> bool:
     rows = [text[a:b] for a, b in lines_of(text)[:10]]
-    if len(rows) < 2:
+    if len(rows) < 2 or not _may_split(rows):
         return False
     try:
         widths = {len(r) for r in _columns("\n".join(rows))}

@@ -1,10 +1,17 @@
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gistmill import fixed
+from gistmill.functions import text as T
+from gistmill.functions.arrow import spread
 from gistmill.functions.tokens import estimate, profile
+from gistmill.operators import atoms as A
 from gistmill.operators import rank, rewrite, select
 from gistmill.operators.atoms import Cover, entities, find, merged
 from gistmill.operators.segment import sentences
@@ -229,3 +236,56 @@ def test_rewrite_keeps_code_headers_and_required():
     new, rule = rewrite.rewrite(text, estimate, [], frozenset())
     assert new == text.replace("in order to", "to") and rule == "wg_in_order_to"
     assert rewrite.rewrite(text, estimate, [], frozenset(["in order to"])) == (text, None)
+
+
+# ---- patterns in linear time -----------------------------------------------------------------------------------------
+_PIECES = {
+    "path_or_url": ["a", "b1", "/", ".", "-", "_", "+", "://", "http://", ":", " ", "é", "(", "arn:aws:", "s3:", "123456789012", "*", "9", "\n", "'"],
+    "file_location": ["a", "b1", "/", " / ", ".", "-", "_", ":", "12", "é", " ", "(", "\n", "::"],
+}
+_LONG = ("a." * 500_000 + " b/", "a" * 1_000_000, "a1" * 500_000 + " http://x", "a/" * 500_000, "/a" * 400_000 + ":", "a / " * 250_000, " " * 1_000_000 + "a/b", "1." * 500_000 + "://")
+
+
+def _mixed(kind, n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(_PIECES[kind]) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", sorted(_PIECES))
+def test_linear_forms_equal_the_patterns(kind):
+    for text in _mixed(kind, 20_000, 5):
+        assert A.places(kind, text) == [m.span() for m in A.PATTERNS[kind].finditer(text)], text
+
+
+@pytest.mark.parametrize("kind", sorted(_PIECES))
+def test_long_lines_take_little_time(spark, kind):
+    for text in _LONG:
+        start = time.perf_counter()
+        A._linear(kind, text)
+        assert time.perf_counter() - start < 1, text[:9]
+    start = time.perf_counter()
+    spark.createDataFrame([(t,) for t in _LONG], "text string").select(F.size(T.surfaces(F.col("text"), kind))).collect()
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("kind", sorted(_PIECES))
+def test_linear_forms_of_both_engines_agree(spark, kind):
+    texts = _mixed(kind, 4_000, 6)
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").orderBy("i").select(T.surfaces(F.col("text"), kind)).collect()]
+    assert got == [[m.group() for m in A.PATTERNS[kind].finditer(t)] for t in texts]
+
+
+def test_classes_that_no_unit_can_hold_are_skipped():
+    rng = random.Random(3)
+    parts = ["10.0.0.1", "a/b", "CVE-2024-12345", "x_y", "mail@a.b", "no", "5 MB", "plain words", "http://x.y", "::1", "é", "2024-01-02"]
+    for _ in range(300):
+        texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 4))]
+        kinds = A.possible(texts)
+        assert [A.entities(t, kinds) for t in texts] == [A.entities(t) for t in texts]
+
+
+def test_small_inputs_are_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1000, numPartitions=1)
+    assert spread(df).rdd.getNumPartitions() == 2 * cores
+    assert spread(df.join(df.withColumnRenamed("id", "k"), F.col("id") == F.col("k"))).rdd.getNumPartitions() == 2 * cores
