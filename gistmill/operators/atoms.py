@@ -28,8 +28,13 @@ CAMEL = re.compile("[a-z0-9][A-Z]")
 # begin at the start of a run of its characters (or where the last match ended), and runs are never given back.
 NAME, SCHEME = r"a-zA-Z0-9_.\-", r"a-zA-Z0-9+.\-"
 _SCHEMED = rf"[0-9+.\-]*+([a-zA-Z][{SCHEME}]*+://[^\s<>\"'()]++)"
-_PLACED = rf"arn:aws:[{NAME}]++:[{NAME}]*+:(?:\d{{12}})?:[{NAME}/:*]++|/[{NAME}]++(?:/[{NAME}]++)+|(?<![{NAME}])[{NAME}][a-zA-Z0-9_\-]*+\.[{NAME}]++/[^\s]*+"
-_LOCATED = rf"(?:(?!\b)(?:[a-zA-Z0-9_]++|[.\-]++))?\b([{NAME}]++(?:\s*+/\s*+[{NAME}]+)+(?::\d+(?::\d+)?)?\b)"
+_PLACED = rf"arn:aws:[{NAME}]++:[{NAME}]*+:(?:\d{{12}})?:[{NAME}/:*]++|/[{NAME}]++(?:/[{NAME}]++)++|(?<![{NAME}])[{NAME}][a-zA-Z0-9_\-]*+\.[{NAME}]++/[^\s]*+"
+# of a chain a/b/c the last part with a word edge, behind it or behind a line number, ends the match; parts of dots and
+# dashes alone have none
+_PART = rf"\s*+/\s*+[{NAME}]"
+_END = r"(?::\d+(?::\d+)?)?\b"
+_MORE = rf"(?:\s*+/\s*+[.\-]++(?!\w|:\d))*+{_PART}+{_END}"
+_LOCATED = rf"(?:(?!\b)(?:[a-zA-Z0-9_]++|[.\-]++))?\b([{NAME}]++(?:{_PART}++(?={_MORE}))*+{_PART}+{_END})"
 #: kind: (what may follow right where the last match ended, the first match anywhere); the first group with a match counts.
 LINEAR = {
     "path_or_url": (re.compile(_SCHEMED), re.compile(rf"(?<![{SCHEME}]){_SCHEMED}|({_PLACED})")),

@@ -241,7 +241,7 @@ def test_rewrite_keeps_code_headers_and_required():
 # ---- patterns in linear time -----------------------------------------------------------------------------------------
 _PIECES = {
     "path_or_url": ["a", "b1", "/", ".", "-", "_", "+", "://", "http://", ":", " ", "é", "(", "arn:aws:", "s3:", "123456789012", "*", "9", "\n", "'"],
-    "file_location": ["a", "b1", "/", " / ", ".", "-", "_", ":", "12", "é", " ", "(", "\n", "::"],
+    "file_location": ["a", "b1", "/", " / ", ".", "-", "_", ":", "12", "é", " ", "(", "\n", "::", "/.", "/-"],
 }
 _LONG = ("a." * 500_000 + " b/", "a" * 1_000_000, "a1" * 500_000 + " http://x", "a/" * 500_000, "/a" * 400_000 + ":", "a / " * 250_000, " " * 1_000_000 + "a/b", "1." * 500_000 + "://")
 
