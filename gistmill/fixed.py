@@ -146,141 +146,221 @@ PREAMBLES = (
 )
 
 # ---- fixed values: rewriting tables -----------------------------------------------------------------------------------
-# phrase | short form | rule
-PHRASES = """
-as a result of|due to|wg_as_result_of
-due to the fact that|because|wg_due_to_fact
-in order to|to|wg_in_order_to
-for the purpose of|to|wg_for_purpose_of
-for the reason that|because|wg_for_reason_that
-in the event that|if|wg_in_event_that
-in view of the fact that|since|wg_in_view_of_fact
-owing to the fact that|because|wg_owing_to_fact
-in accordance with|per|wg_in_accordance_with
-in connection with|about|wg_in_connection_with
-with respect to|re:|wg_with_respect_to
-with regard to|re:|wg_with_regard_to
-in reference to|re:|wg_in_reference_to
-prior to|before|wg_prior_to
-subsequent to|after|wg_subsequent_to
-in the course of|during|wg_in_course_of
-during the course of|during|wg_during_course_of
-by means of|by|wg_by_means_of
-by virtue of|by|wg_by_virtue_of
-in excess of|over|wg_in_excess_of
-in addition to|besides|wg_in_addition_to
-with the exception of|except|wg_with_exception_of
-at this point in time|now|wg_at_this_point
-at the present time|now|wg_at_present_time
-at the moment|now|wg_at_the_moment
-in the near future|soon|wg_in_near_future
-at an early date|soon|wg_at_early_date
-until such time as|until|wg_until_such_time
-at the same time that|while|wg_at_same_time_that
-on a regular basis|regularly|wg_on_regular_basis
-on a daily basis|daily|wg_on_daily_basis
-on a weekly basis|weekly|wg_on_weekly_basis
-on a monthly basis|monthly|wg_on_monthly_basis
-period of time|period|pl_period_of_time
-point in time|time|pl_point_in_time
-a large number of|many|wg_large_num_of
-a majority of|most|wg_majority_of
-a small number of|few|wg_small_num_of
-a number of|several|wg_num_of
-the vast majority of|most|wg_vast_majority_of
-in close proximity to|near|wg_in_close_proximity
-close proximity|proximity|pl_close_proximity
-take into consideration|consider|pl_take_into_consideration
-give consideration to|consider|pl_give_consideration_to
-make an assumption|assume|pl_make_assumption
-make a decision|decide|pl_make_decision
-make a determination|determine|pl_make_determination
-conduct an investigation|investigate|pl_conduct_investigation
-come to an agreement|agree|pl_come_to_agreement
-reach a conclusion|conclude|pl_reach_conclusion
-has the ability to|can|pl_has_ability_to
-have the ability to|can|pl_have_ability_to
-is able to|can|pl_is_able_to
-are able to|can|pl_are_able_to
-is capable of|can|pl_is_capable_of
-are capable of|can|pl_are_capable_of
-has the potential to|can|pl_has_potential_to
-have the potential to|can|pl_have_potential_to
-it is necessary that|must|pl_it_is_necessary
-it is crucial that|must|pl_it_is_crucial
-it is mandatory that|must|pl_it_is_mandatory
-each and every|every|pl_each_and_every
-first and foremost|first|pl_first_and_foremost
-one and only|only|pl_one_and_only
-basic fundamentals|fundamentals|pl_basic_fundamentals
-past history|history|pl_past_history
-future plans|plans|pl_future_plans
-end result|result|pl_end_result
-final outcome|outcome|pl_final_outcome
-unexpected surprise|surprise|pl_unexpected_surprise
-completely eliminate|eliminate|pl_completely_eliminate
-currently existing|existing|pl_currently_existing
-true facts|facts|pl_true_facts
-exact same|same|pl_exact_same
-gather together|gather|pl_gather_together
-consensus of opinion|consensus|pl_consensus_of_opinion
-advance notice|notice|pl_advance_notice
-advance reservations|reservations|pl_advance_reservations
-revert back|revert|pl_revert_back
-reply back|reply|pl_reply_back
-return back|return|pl_return_back
-refer back|refer|pl_refer_back
-collaborate together|collaborate|pl_collaborate_together
-join together|join|pl_join_together
-merge together|merge|pl_merge_together
-mix together|mix|pl_mix_together
-plan ahead|plan|pl_plan_ahead
-postpone until later|postpone|pl_postpone_until_later
-cancel out|cancel|pl_cancel_out
-parts per billion|ppb|rule_ppb
-less than or equal to|≤|rule_lte
-greater than or equal to|≥|rule_gte
-not equal to|≠|rule_neq
-does not equal|≠|rule_dneq
-zum beispiel|z. B.|de_zum_beispiel
-das heißt|d. h.|de_das_heisst
-unter umständen|u. U.|de_unter_umstaenden
-im vergleich zu|ggü.|de_im_vergleich_zu
-par exemple|p. ex.|fr_par_exemple
-c'est-à-dire|c.-à-d.|fr_cest_a_dire
-en ce qui concerne|concernant|fr_en_ce_qui_concerne
-por ejemplo|p. ej.|es_por_ejemplo
-con respecto a|respecto a|es_con_respecto_a
-en relación con|sobre|es_en_relacion_con
-"""
-# word=short form
-ABBREVIATIONS = """
-database=db databases=dbs configuration=cfg configurations=cfgs infrastructure=infra environment=env environments=envs
-repository=repo repositories=repos parameter=param parameters=params argument=arg arguments=args function=fn functions=fns
-directory=dir directories=dirs maximum=max minimum=min initialize=init initialized=init initialization=init assertion=assert
-assertions=asserts request=req requests=reqs performance=perf authentication=auth authorization=authz transaction=tx
-transactions=txs kubernetes=k8s application=app applications=apps asynchronous=async synchronous=sync vulnerability=vuln
-vulnerabilities=vulns administrator=admin administrators=admins credential=cred credentials=creds specification=spec
-specifications=specs certificate=cert certificates=certs management=mgmt destination=dest destinations=dests identifier=id
-identifiers=ids dependency=dep dependencies=deps software=sw hardware=hw network=net packet=pkt packets=pkts message=msg
-messages=msgs library=lib libraries=libs binary=bin binaries=bins executable=exe executables=exes variable=var variables=vars
-document=doc documents=docs documentation=docs implementation=impl implementations=impls beziehungsweise=bzw. circa=ca.
-und_so_weiter=usw. aproximadamente=aprox. madame=Mme monsieur=M.
-"""
-UNIT_ABBREVIATIONS = """
-millisecond=ms milliseconds=ms microsecond=µs microseconds=µs nanosecond=ns nanoseconds=ns second=s seconds=s minute=min
-minutes=min hour=h hours=h week=wk weeks=wk month=mo months=mo year=yr years=yr kilobyte=kB kilobytes=kB megabyte=MB
-megabytes=MB gigabyte=GB gigabytes=GB terabyte=TB terabytes=TB
-"""
+# phrase, short form, rule
+PHRASES = (
+    ("as a result of", "due to", "wg_as_result_of"),
+    ("due to the fact that", "because", "wg_due_to_fact"),
+    ("in order to", "to", "wg_in_order_to"),
+    ("for the purpose of", "to", "wg_for_purpose_of"),
+    ("for the reason that", "because", "wg_for_reason_that"),
+    ("in the event that", "if", "wg_in_event_that"),
+    ("in view of the fact that", "since", "wg_in_view_of_fact"),
+    ("owing to the fact that", "because", "wg_owing_to_fact"),
+    ("in accordance with", "per", "wg_in_accordance_with"),
+    ("in connection with", "about", "wg_in_connection_with"),
+    ("with respect to", "re:", "wg_with_respect_to"),
+    ("with regard to", "re:", "wg_with_regard_to"),
+    ("in reference to", "re:", "wg_in_reference_to"),
+    ("prior to", "before", "wg_prior_to"),
+    ("subsequent to", "after", "wg_subsequent_to"),
+    ("in the course of", "during", "wg_in_course_of"),
+    ("during the course of", "during", "wg_during_course_of"),
+    ("by means of", "by", "wg_by_means_of"),
+    ("by virtue of", "by", "wg_by_virtue_of"),
+    ("in excess of", "over", "wg_in_excess_of"),
+    ("in addition to", "besides", "wg_in_addition_to"),
+    ("with the exception of", "except", "wg_with_exception_of"),
+    ("at this point in time", "now", "wg_at_this_point"),
+    ("at the present time", "now", "wg_at_present_time"),
+    ("at the moment", "now", "wg_at_the_moment"),
+    ("in the near future", "soon", "wg_in_near_future"),
+    ("at an early date", "soon", "wg_at_early_date"),
+    ("until such time as", "until", "wg_until_such_time"),
+    ("at the same time that", "while", "wg_at_same_time_that"),
+    ("on a regular basis", "regularly", "wg_on_regular_basis"),
+    ("on a daily basis", "daily", "wg_on_daily_basis"),
+    ("on a weekly basis", "weekly", "wg_on_weekly_basis"),
+    ("on a monthly basis", "monthly", "wg_on_monthly_basis"),
+    ("period of time", "period", "pl_period_of_time"),
+    ("point in time", "time", "pl_point_in_time"),
+    ("a large number of", "many", "wg_large_num_of"),
+    ("a majority of", "most", "wg_majority_of"),
+    ("a small number of", "few", "wg_small_num_of"),
+    ("a number of", "several", "wg_num_of"),
+    ("the vast majority of", "most", "wg_vast_majority_of"),
+    ("in close proximity to", "near", "wg_in_close_proximity"),
+    ("close proximity", "proximity", "pl_close_proximity"),
+    ("take into consideration", "consider", "pl_take_into_consideration"),
+    ("give consideration to", "consider", "pl_give_consideration_to"),
+    ("make an assumption", "assume", "pl_make_assumption"),
+    ("make a decision", "decide", "pl_make_decision"),
+    ("make a determination", "determine", "pl_make_determination"),
+    ("conduct an investigation", "investigate", "pl_conduct_investigation"),
+    ("come to an agreement", "agree", "pl_come_to_agreement"),
+    ("reach a conclusion", "conclude", "pl_reach_conclusion"),
+    ("has the ability to", "can", "pl_has_ability_to"),
+    ("have the ability to", "can", "pl_have_ability_to"),
+    ("is able to", "can", "pl_is_able_to"),
+    ("are able to", "can", "pl_are_able_to"),
+    ("is capable of", "can", "pl_is_capable_of"),
+    ("are capable of", "can", "pl_are_capable_of"),
+    ("has the potential to", "can", "pl_has_potential_to"),
+    ("have the potential to", "can", "pl_have_potential_to"),
+    ("it is necessary that", "must", "pl_it_is_necessary"),
+    ("it is crucial that", "must", "pl_it_is_crucial"),
+    ("it is mandatory that", "must", "pl_it_is_mandatory"),
+    ("each and every", "every", "pl_each_and_every"),
+    ("first and foremost", "first", "pl_first_and_foremost"),
+    ("one and only", "only", "pl_one_and_only"),
+    ("basic fundamentals", "fundamentals", "pl_basic_fundamentals"),
+    ("past history", "history", "pl_past_history"),
+    ("future plans", "plans", "pl_future_plans"),
+    ("end result", "result", "pl_end_result"),
+    ("final outcome", "outcome", "pl_final_outcome"),
+    ("unexpected surprise", "surprise", "pl_unexpected_surprise"),
+    ("completely eliminate", "eliminate", "pl_completely_eliminate"),
+    ("currently existing", "existing", "pl_currently_existing"),
+    ("true facts", "facts", "pl_true_facts"),
+    ("exact same", "same", "pl_exact_same"),
+    ("gather together", "gather", "pl_gather_together"),
+    ("consensus of opinion", "consensus", "pl_consensus_of_opinion"),
+    ("advance notice", "notice", "pl_advance_notice"),
+    ("advance reservations", "reservations", "pl_advance_reservations"),
+    ("revert back", "revert", "pl_revert_back"),
+    ("reply back", "reply", "pl_reply_back"),
+    ("return back", "return", "pl_return_back"),
+    ("refer back", "refer", "pl_refer_back"),
+    ("collaborate together", "collaborate", "pl_collaborate_together"),
+    ("join together", "join", "pl_join_together"),
+    ("merge together", "merge", "pl_merge_together"),
+    ("mix together", "mix", "pl_mix_together"),
+    ("plan ahead", "plan", "pl_plan_ahead"),
+    ("postpone until later", "postpone", "pl_postpone_until_later"),
+    ("cancel out", "cancel", "pl_cancel_out"),
+    ("parts per billion", "ppb", "rule_ppb"),
+    ("less than or equal to", "≤", "rule_lte"),
+    ("greater than or equal to", "≥", "rule_gte"),
+    ("not equal to", "≠", "rule_neq"),
+    ("does not equal", "≠", "rule_dneq"),
+    ("zum beispiel", "z. B.", "de_zum_beispiel"),
+    ("das heißt", "d. h.", "de_das_heisst"),
+    ("unter umständen", "u. U.", "de_unter_umstaenden"),
+    ("im vergleich zu", "ggü.", "de_im_vergleich_zu"),
+    ("par exemple", "p. ex.", "fr_par_exemple"),
+    ("c'est-à-dire", "c.-à-d.", "fr_cest_a_dire"),
+    ("en ce qui concerne", "concernant", "fr_en_ce_qui_concerne"),
+    ("por ejemplo", "p. ej.", "es_por_ejemplo"),
+    ("con respecto a", "respecto a", "es_con_respecto_a"),
+    ("en relación con", "sobre", "es_en_relacion_con"),
+)
+ABBREVIATIONS = {
+    "database": "db",
+    "databases": "dbs",
+    "configuration": "cfg",
+    "configurations": "cfgs",
+    "infrastructure": "infra",
+    "environment": "env",
+    "environments": "envs",
+    "repository": "repo",
+    "repositories": "repos",
+    "parameter": "param",
+    "parameters": "params",
+    "argument": "arg",
+    "arguments": "args",
+    "function": "fn",
+    "functions": "fns",
+    "directory": "dir",
+    "directories": "dirs",
+    "maximum": "max",
+    "minimum": "min",
+    "initialize": "init",
+    "initialized": "init",
+    "initialization": "init",
+    "assertion": "assert",
+    "assertions": "asserts",
+    "request": "req",
+    "requests": "reqs",
+    "performance": "perf",
+    "authentication": "auth",
+    "authorization": "authz",
+    "transaction": "tx",
+    "transactions": "txs",
+    "kubernetes": "k8s",
+    "application": "app",
+    "applications": "apps",
+    "asynchronous": "async",
+    "synchronous": "sync",
+    "vulnerability": "vuln",
+    "vulnerabilities": "vulns",
+    "administrator": "admin",
+    "administrators": "admins",
+    "credential": "cred",
+    "credentials": "creds",
+    "specification": "spec",
+    "specifications": "specs",
+    "certificate": "cert",
+    "certificates": "certs",
+    "management": "mgmt",
+    "destination": "dest",
+    "destinations": "dests",
+    "identifier": "id",
+    "identifiers": "ids",
+    "dependency": "dep",
+    "dependencies": "deps",
+    "software": "sw",
+    "hardware": "hw",
+    "network": "net",
+    "packet": "pkt",
+    "packets": "pkts",
+    "message": "msg",
+    "messages": "msgs",
+    "library": "lib",
+    "libraries": "libs",
+    "binary": "bin",
+    "binaries": "bins",
+    "executable": "exe",
+    "executables": "exes",
+    "variable": "var",
+    "variables": "vars",
+    "document": "doc",
+    "documents": "docs",
+    "documentation": "docs",
+    "implementation": "impl",
+    "implementations": "impls",
+    "beziehungsweise": "bzw.",
+    "circa": "ca.",
+    "und so weiter": "usw.",
+    "aproximadamente": "aprox.",
+    "madame": "Mme",
+    "monsieur": "M.",
+}
+UNIT_ABBREVIATIONS = {
+    "millisecond": "ms",
+    "milliseconds": "ms",
+    "microsecond": "µs",
+    "microseconds": "µs",
+    "nanosecond": "ns",
+    "nanoseconds": "ns",
+    "second": "s",
+    "seconds": "s",
+    "minute": "min",
+    "minutes": "min",
+    "hour": "h",
+    "hours": "h",
+    "week": "wk",
+    "weeks": "wk",
+    "month": "mo",
+    "months": "mo",
+    "year": "yr",
+    "years": "yr",
+    "kilobyte": "kB",
+    "kilobytes": "kB",
+    "megabyte": "MB",
+    "megabytes": "MB",
+    "gigabyte": "GB",
+    "gigabytes": "GB",
+    "terabyte": "TB",
+    "terabytes": "TB",
+}
 HEADER_LIKE = r"^[ \t]*[A-Za-z][A-Za-z-]*:\s"
 TOKENIZER_NAMES = ("cl100k_base", "o200k_base", "p50k_base", "r50k_base", "gpt-4", "gpt-4o", "gpt-3.5-turbo")
-
-
-def phrase_rules() -> list[tuple[str, str, str]]:
-    """(phrase, short form, rule) in catalogue order."""
-    return [tuple(line.split("|")) for line in PHRASES.strip().split("\n")]
-
-
-def pairs(table: str) -> list[tuple[str, str]]:
-    """(word, short form) of a word=short table; an underscore stands for a space."""
-    return [(w.replace("_", " "), s) for w, s in (p.split("=") for p in table.split())]

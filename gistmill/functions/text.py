@@ -80,14 +80,14 @@ def discourse_prune(text: Column) -> Column:
 
 def phrase_rewrite(text: Column) -> Column:
     """Every wordy phrase by its short form, longest phrase first."""
-    for phrase, short, _ in sorted(fixed.phrase_rules(), key=lambda r: -len(r[0])):
+    for phrase, short, _ in sorted(fixed.PHRASES, key=lambda r: -len(r[0])):
         text = F.regexp_replace(text, rf"{U}(?i)(?<![\w\-/])\Q{phrase}\E(?![\w\-/])", short.replace("$", r"\$"))
     return text
 
 
 def unit_abbreviate(text: Column) -> Column:
     """Unit words directly behind a number by their short forms."""
-    for word, short in fixed.pairs(fixed.UNIT_ABBREVIATIONS):
+    for word, short in fixed.UNIT_ABBREVIATIONS.items():
         text = F.regexp_replace(text, rf"{U}(?i)(?<!\d)(\d+(?:\.\d+)?)\s+{word}\b", f"$1 {short}")
     return text
 

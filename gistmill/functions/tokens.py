@@ -1,4 +1,4 @@
-"""Token counts: an estimate as a Column and as a function, and exact counts from a rank file where there is one."""
+"""Token counts: an estimate as a Column and as a function, and exact counts from a rank or tokenizer file where there is one."""
 
 from __future__ import annotations
 
@@ -37,22 +37,41 @@ def exact(path: str, pattern: str) -> Callable[[str], int]:
     return lambda text: len(encoding.encode_ordinary(text))
 
 
+@lru_cache(maxsize=4)
+def from_file(path: str) -> Callable[[str], int]:
+    """Counter from a tokenizer's own file: ``.json`` or ``.model``; without added begin and end tokens."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = SentencePieceProcessor(model_file=path)
+    return lambda text: len(pieces.encode(text))
+
+
 class Profile:
-    """A named way of counting; ``is_exact`` tells estimates apart."""
+    """A named way of counting; ``is_exact`` tells estimates apart. Exact are rank files with a pattern, and tokenizer files."""
 
     def __init__(self, name: str, path: str | None = None, pattern: str | None = None):
         self.name, self.path, self.pattern = name, path, pattern
-        self.is_exact = bool(path and pattern)
+        self.whole = bool(path) and path.endswith((".json", ".model"))
+        self.is_exact = self.whole or bool(path and pattern)
 
     def count(self, text: str) -> int:
-        return exact(self.path, self.pattern)(text) if self.is_exact and text else estimate(text)
+        if not self.is_exact or not text:
+            return estimate(text)
+        return from_file(self.path)(text) if self.whole else exact(self.path, self.pattern)(text)
 
 
 def profile(name: str, path: str | None = None, pattern: str | None = None) -> Profile:
     """Profile by name; an unknown name is an error rather than a silent estimate.
 
-    ``openai:<encoding>`` and the bare names are exact only with a rank file at hand (``path`` and ``pattern``), as nothing is
-    fetched here; otherwise they estimate and say so.
+    ``openai:<encoding>`` and the bare names are exact only with a rank file (``path`` and ``pattern``) or a tokenizer file
+    (``path``) at hand, as nothing is fetched here; otherwise they estimate and say so.
     """
     clean = name.strip().lower()
     if clean.startswith("openai:") or clean in fixed.TOKENIZER_NAMES:

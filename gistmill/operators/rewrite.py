@@ -28,13 +28,13 @@ def prune(text: str) -> str:
 @lru_cache(maxsize=1)
 def rules() -> list[tuple[str, str, str, re.Pattern, bool]]:
     """(phrase, short form, rule, pattern, is abbreviation) by falling length."""
-    table = [(*r, False) for r in fixed.phrase_rules()] + [(w, s, f"abbrev_{w}", True) for w, s in fixed.pairs(fixed.ABBREVIATIONS)]
+    table = [(*r, False) for r in fixed.PHRASES] + [(w, s, f"abbrev_{w}", True) for w, s in fixed.ABBREVIATIONS.items()]
     return [(p, s, r, re.compile(rf"(?<![\w\-\/]){re.escape(p)}(?![\w\-\/])", re.I), short) for p, s, r, short in sorted(table, key=lambda x: -len(x[0]))]
 
 
 @lru_cache(maxsize=1)
 def unit_rules() -> list[tuple[re.Pattern, str, str]]:
-    return [(re.compile(rf"(?<!\d)(\d+(?:\.\d+)?)\s+{re.escape(w)}\b", re.I), s, f"unit_{w}") for w, s in fixed.pairs(fixed.UNIT_ABBREVIATIONS)]
+    return [(re.compile(rf"(?<!\d)(\d+(?:\.\d+)?)\s+{re.escape(w)}\b", re.I), s, f"unit_{w}") for w, s in fixed.UNIT_ABBREVIATIONS.items()]
 
 
 def candidate(text: str, surfaces: frozenset[str] = frozenset(), pruning: bool = True, abbreviations: bool = False) -> tuple[str, list[str]]:

@@ -469,7 +469,7 @@ def _nested(text: str, changes: list[tuple[str, str]]) -> str:
     return text
 
 
-_SHORTER = _nested(WORDY, [(p, r) for p, r, _ in sorted(fixed.phrase_rules(), key=lambda x: -len(x[0])) if p in ("due to the fact that", "each and every", "on a daily basis", "a number of", "in order to", "end result", "prior to")])
+_SHORTER = _nested(WORDY, [(p, r) for p, r, _ in sorted(fixed.PHRASES, key=lambda x: -len(x[0])) if p in ("due to the fact that", "each and every", "on a daily basis", "a number of", "in order to", "end result", "prior to")])
 
 
 @query(f"SELECT CAST(c_custkey AS BIGINT) AS document_id, {_SHORTER} AS text FROM customer")

@@ -6,7 +6,9 @@ import io
 import zipfile
 
 from gistmill import fixed
+from gistmill.sources import pdftext
 from gistmill.sources.blocks import Block
+from gistmill.sources.decode import Rejected
 from gistmill.sources.markup import safe_xml
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -27,14 +29,14 @@ def is_docx(raw: bytes) -> bool:
         return False
 
 
-def _member(raw: bytes) -> bytes | None:
-    """The document's XML, unless it is declared or turns out larger than the limit."""
+def _member(raw: bytes) -> bytes:
+    """The document's XML; it is an error if it is declared or turns out larger than the limit."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        if z.getinfo(MEMBER).file_size > fixed.MAX_BYTES:
-            return None
         with z.open(MEMBER) as f:
-            data = f.read(fixed.MAX_BYTES + 1)
-    return data if len(data) <= fixed.MAX_BYTES else None
+            data = f.read(fixed.MAX_BYTES + 1) if z.getinfo(MEMBER).file_size <= fixed.MAX_BYTES else b""
+    if not 0 < len(data) <= fixed.MAX_BYTES:
+        raise Rejected("INPUT_TOO_LARGE", f"the document's text is empty or more than {fixed.MAX_BYTES} bytes")
+    return data
 
 
 def _laid_out(parts: list[tuple[str, str, str]]) -> tuple[list[Block], str]:
@@ -52,8 +54,9 @@ def _runs(element) -> str:
 
 def docx(raw: bytes) -> tuple[list[Block], str]:
     try:
-        data = _member(raw)
-        body = safe_xml(data).find(f"{W}body") if data is not None else None
+        body = safe_xml(_member(raw)).find(f"{W}body")
+    except Rejected:
+        raise
     except Exception:  # a broken archive or document has no blocks
         return [], ""
     parts = []
@@ -70,19 +73,24 @@ def docx(raw: bytes) -> tuple[list[Block], str]:
     return _laid_out(parts)
 
 
-def pdf(raw: bytes) -> tuple[list[Block], str]:
-    """Paragraphs by page; needs the optional package ``pypdf``, without which nothing is extracted."""
+def _pages(raw: bytes):
+    """Text by page, with ``pypdf`` where it is installed, else by the reader of its own."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return [], ""
+        yield from pdftext.pages(raw)
+        return
+    for page in PdfReader(io.BytesIO(raw)).pages:
+        yield page.extract_text() or ""
+
+
+def pdf(raw: bytes) -> tuple[list[Block], str]:
+    """Paragraphs by page: lines between empty ones."""
     parts, total = [], 0
     try:
-        pages = PdfReader(io.BytesIO(raw)).pages
-        for page in pages[: fixed.MAX_PAGES]:
-            text = page.extract_text() or ""
+        for k, text in enumerate(_pages(raw)):
             total += len(text)
-            if total > fixed.MAX_BYTES:
+            if k >= fixed.MAX_PAGES or total > fixed.MAX_BYTES:
                 break
             for group in "\n".join(x.strip() for x in text.splitlines()).split("\n\n"):
                 if para := " ".join(group.split("\n")).strip():

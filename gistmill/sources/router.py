@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gistmill.sources import mail, markup, office, plain, testlogs
 from gistmill.sources.blocks import Block
-from gistmill.sources.decode import Source, read
+from gistmill.sources.decode import Rejected, Source, read
 
 #: Routes in order; a parser that finds nothing leaves the document to the next that fits.
 ROUTES = (
@@ -42,8 +42,9 @@ def parse(raw: bytes) -> tuple[str, Source, list[Block]]:
     for name, fits, parser in (("pdf", office.is_pdf, office.pdf), ("docx", office.is_docx, office.docx)):
         if fits(raw):
             blocks, text = parser(raw)
-            if text:
-                return name, Source(text.encode()), blocks
+            if not text:  # the bytes themselves are no text
+                raise Rejected("UNDECODABLE_INPUT", f"no text can be read from the {name} file")
+            return name, Source(text.encode()), blocks
     source = read(raw)
     route, blocks = parse_text(source.clean)
     return route, source, blocks

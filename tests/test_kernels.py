@@ -206,15 +206,15 @@ def test_prune(old, new):
     assert rewrite.prune(old) == new
 
 
-@pytest.mark.parametrize("rule", fixed.phrase_rules(), ids=lambda r: r[2])
+@pytest.mark.parametrize("rule", fixed.PHRASES, ids=lambda r: r[2])
 def test_every_phrase(rule):
     phrase, short, name = rule
     text, used = rewrite.candidate(f"we {phrase} now", pruning=False)
-    assert name in used or any(len(p) > len(phrase) and phrase in p for p, _, _ in fixed.phrase_rules())
+    assert name in used or any(len(p) > len(phrase) and phrase in p for p, _, _ in fixed.PHRASES)
     assert name not in rewrite.candidate(f"we x{phrase}y now", pruning=False)[1]
 
 
-@pytest.mark.parametrize("pair", fixed.pairs(fixed.ABBREVIATIONS), ids=lambda p: p[0])
+@pytest.mark.parametrize("pair", fixed.ABBREVIATIONS.items(), ids=lambda p: p[0])
 def test_every_abbreviation(pair):
     word, short = pair
     assert rewrite.candidate(f"the {word} here", pruning=False, abbreviations=True)[0] == f"the {short} here"
@@ -222,7 +222,7 @@ def test_every_abbreviation(pair):
     assert rewrite.candidate(f"the {word} here", pruning=False)[0] == f"the {word} here"
 
 
-@pytest.mark.parametrize("pair", fixed.pairs(fixed.UNIT_ABBREVIATIONS), ids=lambda p: p[0])
+@pytest.mark.parametrize("pair", fixed.UNIT_ABBREVIATIONS.items(), ids=lambda p: p[0])
 def test_every_unit(pair):
     word, short = pair
     assert rewrite.candidate(f"in 30 {word} or a {word}", pruning=False, abbreviations=True)[0] == f"in 30 {short} or a {word}"
@@ -289,3 +289,13 @@ def test_small_inputs_are_dealt_out(spark):
     df = spark.range(1000, numPartitions=1)
     assert spread(df).rdd.getNumPartitions() == 2 * cores
     assert spread(df.join(df.withColumnRenamed("id", "k"), F.col("id") == F.col("k"))).rdd.getNumPartitions() == 2 * cores
+
+
+def test_tokenizer_files_count_exactly():
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    counter = profile("openai:cl100k_base", path)
+    text = "Exact counts, été 123 " * 5
+    assert counter.is_exact and counter.count(text) == len(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    assert counter.count("") == 0 and not profile("openai:cl100k_base", "ranks.tiktoken").is_exact

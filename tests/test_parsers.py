@@ -1,8 +1,12 @@
 import io
 import zipfile
+import zlib
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from gistmill.plans.compile import compile_bytes
 from gistmill.sources import mail, markup, office, plain, testlogs
 from gistmill.sources.decode import Rejected, codec_of, read
 from gistmill.sources.router import parse, parse_text
@@ -145,12 +149,58 @@ def test_docx():
 
 
 def test_docx_bombs_and_broken_files():
-    assert office.docx(archive("<a>" + "x" * 10_000_001 + "</a>")) == ([], "")
+    with pytest.raises(Rejected):
+        office.docx(archive("<a>" + "x" * 10_000_001 + "</a>"))
     assert office.docx(archive('<!DOCTYPE a [<!ENTITY e "x">]><a/>')) == ([], "")
     assert not office.is_docx(b"PK\x03\x04broken") and not office.is_docx(archive("<a/>", "other.xml"))
     assert office.pdf(b"%PDF-1.4 broken")[1] == ""
 
 
+def pdf_file(contents, fonts="<< /F1 5 0 R >>", extra=(), deflate=True, trailer=b""):
+    """A file of one page for each content stream."""
+    out, kids = [], []
+    for k, text in enumerate(contents):
+        data = zlib.compress(text) if deflate else text
+        out.append(f"{10 + 2 * k} 0 obj\n<< /Length {len(data)} {'/Filter /FlateDecode ' if deflate else ''}>>\nstream\n".encode() + data + b"\nendstream\nendobj")
+        out.append(f"{11 + 2 * k} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {10 + 2 * k} 0 R >>\nendobj".encode())
+        kids.append(f"{11 + 2 * k} 0 R")
+    head = [b"1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj", f"2 0 obj\n<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] /Resources << /Font {fonts} >> >>\nendobj".encode(), b"5 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>\nendobj"]
+    return b"%PDF-1.4\n" + b"\n".join([*head, *extra, *out]) + b"\n" + trailer + b"%%EOF"
+
+
+PAGE = b"BT /F1 12 Tf 72 700 Td (REPORT TITLE) Tj 0 -40 Td (First \\(long\\) line) Tj 0 -14 Td [(of p) 20 (arag) -300 (raph \\351t\\351)] TJ ET"
+
+
+@pytest.mark.parametrize("deflate", [True, False])
+def test_pdf_text(deflate):
+    route, source, blocks = parse(pdf_file([PAGE, b"BT /F1 10 Tf (Second page.) Tj ET"], deflate=deflate))
+    assert route == "pdf" and [(b.kind, b.text) for b in blocks] == [("heading", "REPORT TITLE"), ("prose", "First (long) line of parag raph \xe9t\xe9"), ("prose", "Second page.")]
+    assert all(source.clean[slice(*b.spans[0])] == b.text for b in blocks)
+
+
+def test_pdf_fonts_with_a_character_map():
+    cmap = b"1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<00E9> <4E2D>] endbfrange"
+    extra = [b"5 0 obj\n<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>\nendobj", f"6 0 obj\n<< /Length {len(cmap)} >>\nstream\n".encode() + cmap + b"\nendstream\nendobj"]
+    _, source, _ = parse(pdf_file([b"BT /F1 12 Tf <0010 0011 0012 0003 0020 0021> Tj ET"], extra=extra))
+    assert source.clean == "ABC \xe9\u4e2d"
+
+
+def test_unreadable_pdf_is_refused():
+    """Encrypted, empty, of unknown glyphs, or broken: a status of its own, never the file's bytes as text."""
+    glyphs = [b"5 0 obj\n<< /Type /Font /Subtype /Type0 >>\nendobj"]
+    for raw in (pdf_file([PAGE], trailer=b"trailer << /Encrypt 9 0 R >>\n"), pdf_file([b""]), pdf_file([b"BT /F1 12 Tf <00100011> Tj ET"], extra=glyphs), b"%PDF-1.4 broken", pdf_file([PAGE])[:200]):
+        out = compile_bytes(raw)
+        assert out["status"] == "UNDECODABLE_INPUT" and out["text"] == ""
+    assert compile_bytes(pdf_file([PAGE]))["status"] == "OK"
+    assert compile_bytes(archive("<a>" + "x" * 10_000_001 + "</a>"))["status"] == "INPUT_TOO_LARGE"
+
+
+@given(st.binary(max_size=300))
+def test_any_pdf_bytes_end(data):
+    for raw in (b"%PDF-" + data, pdf_file([data]), pdf_file([PAGE]).replace(b"Tj", data[:5])):
+        compile_bytes(raw)
+
+
 @pytest.mark.parametrize("text", ["", "   ", "\n\n", "\x00\x01", "<", "{", "[", "#", "|", "From: x", "a" * 5000, "‮ right", "-" * 50, "```", "> ", "1. "])
 def test_odd_texts_do_not_break(text):
     route, blocks = parse_text(text)
