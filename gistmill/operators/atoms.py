@@ -209,12 +209,22 @@ def entities(text: str, kinds: tuple[str, ...] = ENTITY) -> frozenset[str]:
 SCHEMA = "atom_seq int, atom_id string, kind string, surface string, canonical string, start long, end long, required boolean"
 
 
-def atoms(df: DataFrame, id_col: str = "document_id", text_col: str = "clean_text", terms: tuple[str, ...] = ()) -> DataFrame:
-    """One row per atom of every text: the id, then SCHEMA; ``start`` and ``end`` count code points."""
+def atoms(df: DataFrame, id_col: str = "document_id", text_col: str = "clean_text", terms: tuple[str, ...] = (), by_kind: bool = False) -> DataFrame:
+    """One row per atom of every text: the id, then SCHEMA; ``start`` and ``end`` count code points.
+
+    ``by_kind``: the places of every class as they are matched, before classes exclude or join each other (``units.covered``
+    says the exclusion as a join).
+    """
     types = [("atom_seq", pa.int32()), ("atom_id", pa.string()), ("kind", pa.string()), ("surface", pa.string()), ("canonical", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("required", pa.bool_())]
 
+    def each(text):
+        signs = _Signs(text)
+        for kind, *_ in fixed.ATOMS:
+            for a, b in places(kind, text, signs):
+                yield Atom(kind, text[a:b], canonical(kind, text[a:b]), a, b, kind in REQUIRED)
+
     def rows(text):
-        for k, a in enumerate(find(text, terms)):
+        for k, a in enumerate(each(text) if by_kind else find(text, terms)):
             yield k, f"atom_{k:04d}_{a.kind}", a.kind, a.surface, a.canonical, a.start, a.end, a.required
 
     return map_texts(df, id_col, text_col, rows, SCHEMA, types)

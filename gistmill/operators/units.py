@@ -102,10 +102,11 @@ def merge_spans(spans: DataFrame, by: str = "document_id") -> DataFrame:
     return spans.select(by, "start", "end", island.alias("_island")).groupBy(by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def covered(items: DataFrame, spans: DataFrame, by: str = "document_id", keep: bool = True) -> DataFrame:
-    """Semi join (or anti join) of items that lie wholly in the union of spans."""
-    m = merge_spans(spans, by).select(F.col(by).alias("_doc"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-    on = (items[by] == m["_doc"]) & (items["start"] >= m["_from"]) & (items["end"] <= m["_to"])
+def covered(items: DataFrame, spans: DataFrame, by: str = "document_id", keep: bool = True, width: int = 4096) -> DataFrame:
+    """Semi join (or anti join) of items that lie wholly in the union of spans; cells of ``width`` as in ``bind``."""
+    cells = F.explode(F.sequence((F.col("start") / width).cast("long"), (F.col("end") / width).cast("long")))
+    m = merge_spans(spans, by).select(F.col(by).alias("_doc"), F.col("start").alias("_from"), F.col("end").alias("_to"), cells.alias("_cell"))
+    on = (items[by] == m["_doc"]) & ((items["start"] / width).cast("long") == m["_cell"]) & (items["start"] >= m["_from"]) & (items["end"] <= m["_to"])
     return items.join(m, on, "left_semi" if keep else "left_anti")
 
 

@@ -46,6 +46,17 @@ def s(value: str) -> str:
     return f"CAST({value} AS STRING)"
 
 
+def pick(values, key: str) -> str:
+    """One of the values by a whole number, as a CASE that both engines read."""
+    quoted = ["'" + v.replace("'", "''") + "'" for v in values]
+    return f"CASE CAST(({key}) % {len(quoted)} AS INT) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(quoted)) + " END"
+
+
+def spark_sql(text: str) -> str:
+    """The same for Spark, whose string literals double no quotes."""
+    return text.replace("''", "\\'")
+
+
 # ---- texts made from rows, in SQL that both engines read ---------------------------------------------------------------
 INCIDENT = (
     f"concat('Host 10.0.', {s('event_id % 256')}, '.', {s('user_id % 256')}, ' raised CVE-2024-', lpad({s('event_id % 100000')}, 5, '0'), ' after ', {s('event_id % 900 + 1')}, "
@@ -79,10 +90,33 @@ def made(spark, sf_dir, name, key, text, alias="text") -> DataFrame:
 
 
 # ---- ingest and routes -----------------------------------------------------------------------------------------------
-@query("SELECT doc_id, concat('sha256:', sha256(text)) AS document_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_chars, false AS too_large, 'utf-8' AS codec FROM documents")
+@query(f"SELECT doc_id, concat('sha256:', sha256(text)) AS document_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_chars, strlen(text) > {fixed.MAX_BYTES} AS too_large FROM documents")
 def doc_identity(spark, sf_dir):
     content = F.to_binary("text", F.lit("utf-8"))
-    return table(spark, sf_dir, "documents").select("doc_id", R.document_id(content).alias("document_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"), R.too_large(content).alias("too_large"), R.codec(content).alias("codec"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.document_id(content).alias("document_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"), R.too_large(content).alias("too_large"))
+
+
+_WIDE = "regexp_replace(hex(x), '(..)', '{wide}', 'g')"
+
+
+@query(f"""
+WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, concat('Event ', event_type, ' ', {s('user_id')}, '.') AS x FROM events),
+h AS (SELECT document_id, CASE document_id % 8 WHEN 0 THEN hex(x) WHEN 1 THEN concat('EFBBBF', hex(x)) WHEN 2 THEN concat('FFFE', {_WIDE.format(wide='\\100')}) WHEN 3 THEN concat('FEFF', {_WIDE.format(wide='00\\1')})
+ WHEN 4 THEN {_WIDE.format(wide='\\100')} WHEN 5 THEN {_WIDE.format(wide='00\\1')} WHEN 6 THEN concat(hex(x), 'E920', hex(x)) ELSE concat(hex(x), 'C3A920') END AS h FROM t)
+SELECT document_id, CASE WHEN starts_with(h, 'EFBBBF') THEN 'utf-8-sig' WHEN starts_with(h, 'FFFE') THEN 'utf-16-le' WHEN starts_with(h, 'FEFF') THEN 'utf-16-be' WHEN regexp_full_match(h, '(..00)+') THEN 'utf-16-le' WHEN regexp_full_match(h, '(00..)+') THEN 'utf-16-be'
+ WHEN regexp_matches(h, '^([0-7].)*([89AB].|C[01]|F[5-9A-F]|[CD].([0-7C-F].|$)|E.([0-7C-F].|..[0-7C-F].|$|..$))') THEN 'latin-1' ELSE 'utf-8' END AS codec, lower(md5(h)) AS digest FROM h""")
+def codecs(spark, sf_dir):
+    """Codec by mark, by where NUL bytes stand, and by whether the bytes are UTF-8."""
+    rows = texts(spark, sf_dir, "events", "event_id", "event_type", "user_id").selectExpr("CAST(event_id AS BIGINT) AS document_id", f"concat('Event ', event_type, ' ', {s('user_id')}, '.') AS x")
+    wide = lambda c: F.encode("x", c)
+    mark = lambda h: F.unhex(F.lit(h))
+    plain = F.to_binary("x", F.lit("utf-8"))
+    kinds = [plain, F.concat(mark("EFBBBF"), plain), F.concat(mark("FFFE"), wide("UTF-16LE")), F.concat(mark("FEFF"), wide("UTF-16BE")), wide("UTF-16LE"), wide("UTF-16BE"), F.concat(plain, mark("E920"), plain), F.concat(plain, mark("C3A920"))]
+    content = kinds[-1]
+    for k, kind in enumerate(kinds[:-1]):
+        content = F.when(F.col("document_id") % 8 == k, kind).otherwise(content)
+    rows = rows.select("document_id", content.alias("content"))
+    return rows.select("document_id", R.codec(F.col("content")).alias("codec"), F.md5(F.hex("content")).alias("digest"))
 
 
 _EQUAL_FIELDS = " OR ".join(f"(list_min(list_transform(ls, lambda x: len(string_split(regexp_replace(x, '\"[^\"]*\"', 'q', 'g'), '{d}')))) > 1 AND list_min(list_transform(ls, lambda x: len(string_split(regexp_replace(x, '\"[^\"]*\"', 'q', 'g'), '{d}')))) = list_max(list_transform(ls, lambda x: len(string_split(regexp_replace(x, '\"[^\"]*\"', 'q', 'g'), '{d}')))))" for d in (",", ";", "\t", "|"))
@@ -139,12 +173,28 @@ def html_headings(spark, sf_dir):
     return document_blocks(table(spark, sf_dir, "pages"), "page_id", "html").where("kind = 'heading' AND block_id LIKE '%\\_h1'").select("page_id", F.col("text").alias("heading"))
 
 
+_PYTEST = (
+    f"concat('==== test session starts ====', chr(10), 'collected 5 items', chr(10), chr(10), '____ test_', event_type, '_', {s('event_id')}, ' ____', chr(10), chr(10), '>       assert x', chr(10), 'E       assert ', {s('user_id')}, ' == ', {s('event_id % 7')}, chr(10), chr(10), "
+    f"'tests/test_', event_type, '.py:', {s('event_id % 90 + 1')}, ': AssertionError', chr(10), '==== 1 failed, ', {s('event_id % 9 + 1')}, ' passed in 0.1', {s('event_id % 9')}, 's ====')"
+)
+_VITEST = (
+    f"concat(' FAIL  src/', event_type, '.test.ts > case ', {s('event_id')}, chr(10), '- Expected: ', chr(10), '  ', {s('event_id % 7')}, chr(10), '+ Received: ', chr(10), '  ', {s('user_id')}, chr(10), ' ❯ src/', event_type, '.test.ts:', {s('event_id % 90 + 1')}, ':5', chr(10), "
+    f"' Tests  1 failed | ', {s('event_id % 9 + 1')}, ' passed (', {s('event_id % 9 + 2')}, ')', chr(10), ' Duration  1.', {s('event_id % 9')}, 's')"
+)
+_RUNS = f"CASE CAST(event_id % 3 AS INT) WHEN 0 THEN {CARGO} WHEN 1 THEN {_PYTEST} ELSE {_VITEST} END"
+
+
 @query(f"""
-WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, {CARGO} AS text FROM events)
-SELECT document_id, concat('✗ ', regexp_extract(text, '----\\s+([^\\s]+)\\s+stdout', 1), ' (', regexp_extract(text, 'panicked at ([^:]+:\\d+:\\d+):', 1), ') · exp: ', regexp_extract(text, 'right:\\s*(.+)', 1), ' got: ', regexp_extract(text, 'left:\\s*(.+)', 1)) AS failure FROM t""")
+WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, event_id % 3 AS runner, {_RUNS} AS text FROM events),
+f AS (SELECT document_id, text, runner, CASE runner WHEN 0 THEN concat(regexp_extract(text, '----\\s+([^\\s]+)\\s+stdout', 1), ' (', regexp_extract(text, 'panicked at ([^:]+:\\d+:\\d+):', 1), ')') WHEN 1 THEN concat(regexp_extract(text, '____ (\\S+) ____', 1), ' (', regexp_extract(text, '(\\S+:\\d+): AssertionError', 1), ')') ELSE regexp_extract(text, 'FAIL\\s+(.*)', 1) END AS name,
+ CASE runner WHEN 0 THEN regexp_extract(text, 'right:\\s*(.+)', 1) WHEN 1 THEN regexp_extract(text, 'E +assert .* == (.*)', 1) ELSE regexp_extract(text, 'Expected: \\s*(\\S+)', 1) END AS want, CASE runner WHEN 0 THEN regexp_extract(text, 'left:\\s*(.+)', 1) WHEN 1 THEN regexp_extract(text, 'E +assert (.*) ==', 1) ELSE regexp_extract(text, 'Received: \\s*(\\S+)', 1) END AS got,
+ regexp_extract(text, '(\\d+) passed', 1) AS passed, regexp_extract(text, '(?:in|Duration) +([0-9.]+s)', 1) AS took FROM t)
+SELECT document_id, concat('✗ ', name, ' · exp: ', want, ' got: ', got, CASE WHEN runner = 2 THEN concat(' · ', regexp_extract(text, '❯ (\\S+)', 1)) ELSE '' END) AS failure, concat('✓ ', passed, ' · ✗ 1 · ', took) AS summary FROM f""")
 def log_failures(spark, sf_dir):
-    blocks = document_blocks(made(spark, sf_dir, "events", "event_id", CARGO), "document_id", "text")
-    return blocks.where("block_id LIKE '%test\\_failure'").select("document_id", F.col("text").alias("failure"))
+    """Logs of three test runners."""
+    blocks = document_blocks(made(spark, sf_dir, "events", "event_id", _RUNS), "document_id", "text")
+    one = lambda tag, name: F.max(F.when(F.col("block_id").endswith(tag), F.col("text"))).alias(name)
+    return blocks.groupBy("document_id").agg(one("test_failure", "failure"), one("test_summary", "summary"))
 
 
 @query(f"""
@@ -179,9 +229,11 @@ def xml_nodes(spark, sf_dir):
     return document_blocks(made(spark, sf_dir, "orders", "o_orderkey", _XML), "document_id", "text").where("route = 'xml'").select("document_id", F.col("text").alias("node"))
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS document_id, unnest(['heading', 'prose', 'heading', 'prose', 'list', 'table']) AS kind, unnest(range(6)) AS block_seq FROM customer")
+@query(f"""
+WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS document_id, string_split(trim({MARKDOWN}, chr(10)), chr(10) || chr(10)) AS parts FROM customer), p AS (SELECT document_id, unnest(parts) AS text, unnest(range(len(parts))) AS block_seq FROM t)
+SELECT document_id, block_seq, CASE WHEN starts_with(text, '#') THEN 'heading' WHEN starts_with(text, '- ') THEN 'list' WHEN starts_with(text, '|') THEN 'table' ELSE 'prose' END AS kind, text FROM p""")
 def markdown_blocks(spark, sf_dir):
-    return document_blocks(made(spark, sf_dir, "customer", "c_custkey", MARKDOWN), "document_id", "text").select("document_id", "kind", F.col("block_seq").cast("long").alias("block_seq"))
+    return document_blocks(made(spark, sf_dir, "customer", "c_custkey", MARKDOWN), "document_id", "text").select("document_id", "kind", F.col("block_seq").cast("long").alias("block_seq"), "text")
 
 
 # ---- sentences, tokens, filters --------------------------------------------------------------------------------------
@@ -226,7 +278,16 @@ def vocabulary_size(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query()
+def _language_sql() -> str:
+    votes = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in own)}))) AS {code}_" for code, own in L.WORDS.items())
+    ranges = {"ja": "\\x{3040}-\\x{30ff}", "ko": "\\x{ac00}-\\x{d7af}", "zh": "\\x{4e00}-\\x{9fff}", "ru": "\\p{Cyrillic}", "ar": "\\p{Arabic}"}
+    scripts = " ".join(f"WHEN length(regexp_replace(text, '[^{ranges[code]}]', '', 'g')) * 4 > length(text) THEN '{code}'" for code in L.SCRIPTS)
+    best = "greatest(" + ", ".join(f"{code}_" for code in L.WORDS) + ")"
+    words = " ".join(f"WHEN {code}_ = {best} AND {best} > 0 THEN '{code}'" for code in L.WORDS)
+    return f"SELECT doc_id, CASE WHEN length(trim(text)) < 1 THEN 'en' {scripts} {words} ELSE 'en' END AS language FROM (SELECT doc_id, text, {votes} FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents))"
+
+
+@query(_language_sql())
 def document_languages(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", L.language(F.col("text")).alias("language"))
 
@@ -274,18 +335,44 @@ def negation_atoms(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", found.alias("n_negations"))
 
 
-@query(f"SELECT CAST(event_id AS BIGINT) AS document_id, unnest(['not every user pays', 'no refund']) AS surface FROM events")
+#: Negations, and words of the other relations, in ASCII, where \\b of all engines agrees.
+_NOS = ("no", "not", "never", "without", "neither", "nor", "cannot", "zero", "nunca", "jamais", "sem", "nenhum", "sin", "tampoco", "pas", "aucun", "sans", "rien", "nicht", "kein", "keinen", "nie", "niemals", "ohne", "knot", "note")
+_MODALS = ("must", "should", "may", "might", "could", "shall", "maybe")
+_WHYS = ("because", "therefore", "caused by", "results in", "leads to", "cause by")
+_IFS = ("if", "unless", "except", "provided that", "excluding", "gif")
+_NEGATED = f"concat('We ', {pick(_NOS, 'event_id')}, ' see the big ', event_type, '; it ', {pick(_MODALS, 'event_id')}, ' (', upper({pick(_NOS, 'user_id')}), ' more) end ', {pick(_WHYS, 'user_id')}, ' ', event_type, ', ', {pick(_IFS, 'event_id')}, ' ', {pick(_NOS, 'event_id + 7')}, '.', event_type, ' ', {pick(_NOS, 'event_id + 3')}, ' user-', {s('user_id')}, ' stays')"
+_BOUND_RE2 = f"(?i)\\b(?:{fixed.NEGATIONS})\\s+(?:{fixed._BOUND})(?:\\s+(?:{fixed._BOUND})){{0,2}}\\b".replace("'", "''")
+
+
+@query(f"SELECT CAST(event_id AS BIGINT) AS document_id, unnest(regexp_extract_all({_NEGATED}, '{_BOUND_RE2}')) AS surface FROM events")
 def atoms_bound_negation(spark, sf_dir):
-    lines = made(spark, sf_dir, "events", "event_id", INCIDENT)
+    lines = made(spark, sf_dir, "events", "event_id", _NEGATED)
     return lines.select("document_id", F.explode(T.surfaces(F.col("text"), "bound_negation")).alias("surface"))
 
 
-@query(f"SELECT CAST(n_nationkey AS BIGINT) AS document_id, '没有完成任' AS surface FROM nation")
+_CHINESE = f"concat({pick(('系统没有完成任务。', '他不去上海市中心', '未收到', '无法连接网络服务器；非法', '我没看见，不是', '没有', '正常', '非常好，没问题'), 'n_nationkey')}, {s('n_nationkey')}, '不行')"
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS document_id, unnest(regexp_extract_all({_CHINESE}, '{dict((k, p) for k, p, *_ in fixed.ATOMS)['cjk_negation']}')) AS surface FROM nation")
 def atoms_cjk_negation(spark, sf_dir):
-    lines = made(spark, sf_dir, "nation", "n_nationkey", f"concat('系统', {s('n_nationkey')}, '没有完成任务。')")
+    lines = made(spark, sf_dir, "nation", "n_nationkey", _CHINESE)
     return lines.select("document_id", F.explode(T.surfaces(F.col("text"), "cjk_negation")).alias("surface"))
 
 
+_MIXED = f"concat('Read src/my_mod/', event_type, '_file.py:', {s('event_id % 90 + 1')}, ' or www.a-b.org/x_y/', event_type, '_Z, then call my_', event_type, '_fn, LoadRows, std::', event_type, ' and x-', {s('user_id')}, ' (see /etc/conf_d/', event_type, '_a.b)')"
+_PATTERN = {k: p.replace("'", "''") for k, p, *_ in fixed.ATOMS}
+
+
+@query(f"""
+WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, regexp_replace(regexp_replace({_MIXED}, '{_PATTERN['path_or_url']}', ' ', 'g'), '{_PATTERN['file_location']}', ' ', 'g') AS rest FROM events)
+SELECT document_id, unnest(regexp_extract_all(rest, '{_PATTERN['code_identifier']}')) AS surface FROM t""")
+def identifiers_outside_paths(spark, sf_dir):
+    """Anti join of identifiers with the spans of paths and locations."""
+    found = atoms(made(spark, sf_dir, "events", "event_id", _MIXED, "clean_text"), by_kind=True)
+    paths = found.where("kind IN ('path_or_url', 'file_location')").select("document_id", "start", "end")
+    return units.covered(found.where("kind = 'code_identifier'"), paths, keep=False).select("document_id", "surface")
+
+
 @query(f"""
 WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS document_id, c_custkey, c_nationkey, c_mktsegment FROM customer)
 SELECT document_id, 'firms' AS surface, 'firms' AS canonical FROM t UNION ALL SELECT document_id, concat({s('c_custkey % 90')}, ' minutes'), '5 seconds' FROM t WHERE c_custkey % 90 = 5
@@ -320,12 +407,16 @@ def atom_summary(spark, sf_dir):
     return found.groupBy("kind", "required").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("n_documents"))
 
 
-@query(f"""
-WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, {INCIDENT} AS x FROM events),
-r AS (SELECT document_id, unnest(['modality_scope', 'causality', 'condition', 'negation_scope', 'negation_scope']) AS relation, unnest(['must', 'because', 'unless', 'not', 'no']) AS marker FROM t)
-SELECT relation, marker, count(*) AS n FROM r GROUP BY relation, marker""")
+def _relations_sql() -> str:
+    kinds = {"modality": "modality_scope", "causality": "causality", "condition": "condition"}
+    parts = [f"SELECT document_id, '{name}' AS relation, unnest(regexp_extract_all(x, '(?i){_PATTERN[kind]}')) AS marker FROM t" for kind, name in kinds.items()]
+    parts.append(f"SELECT document_id, 'negation_scope', regexp_extract(unnest(regexp_extract_all(x, '{_BOUND_RE2}')), '^\\s*(\\S+)', 1) FROM t")
+    return f"WITH t AS (SELECT CAST(event_id AS BIGINT) AS document_id, {_NEGATED} AS x FROM events) SELECT relation, marker, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY relation, marker"
+
+
+@query(_relations_sql())
 def relations(spark, sf_dir):
-    found = atoms(made(spark, sf_dir, "events", "event_id", INCIDENT, "clean_text"))
+    found = atoms(made(spark, sf_dir, "events", "event_id", _NEGATED, "clean_text"))
     rel = found.select(T.relation(F.col("kind")).alias("relation"), T.relation_marker(F.col("kind"), F.col("surface")).alias("marker"))
     return rel.where("relation IS NOT NULL").groupBy("relation", "marker").agg(F.count("*").alias("n"))
 
@@ -458,9 +549,44 @@ def budget_selection(spark, sf_dir):
 
 
 # ---- rewriting -------------------------------------------------------------------------------------------------------
-@query(f"SELECT CAST(c_custkey AS BIGINT) AS document_id, regexp_replace({WORDY}, '^It should be noted that ', '') AS text FROM customer")
+#: A sentence for each of the preambles, in their order, and some that have none or two.
+_OPENINGS = (
+    "It is worth to note that, ", "It should be noted that ", "As previously explained in Section B2, ", "In the course of carrying out the daily work, ", "For these reviews, ", "With the benefit of hindsight ", "The goal of the evaluation is to ",
+    "During these evaluations, however, ", "In particular, ", "Additionally, ", "Furthermore ", "Moreover, ", "Specifically, ", "In order to verify that ", "As a result of these findings, ", "Wie bereits erwähnt, ",
+    "Im Rahmen der Untersuchung von Proben, ", "Des Weiteren ", "Il convient de souligner que ", "Il est à noter que ", "Comme indiqué précédemment, ", "Dans le cadre de ce projet, ", "Il faut garder à l'esprit que ",
+    "Cabe destacar que ", "Es importante notar que ", "Como se indicó anteriormente, ", "En el marco de la obra, ", "Es preciso mencionar que ", "Moreover, additionally, ", "In particular, it is worth to note that ", "Nothing before ", "moreover ",
+)
+_OPENED = f"concat({pick(_OPENINGS, 'c_custkey')}, CASE WHEN c_custkey % 5 = 0 THEN 'état ' ELSE 'the ' END, lower(c_mktsegment), ' pays ', {s('c_nationkey')}, '.')"
+
+
+def _pruned(text: str) -> str:
+    for p in fixed.PREAMBLES:
+        quoted = p.replace("'", "''")
+        text = f"regexp_replace({text}, '(?i){quoted}', '')"
+    return text
+
+
+@query(f"""
+WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS document_id, {_OPENED} AS body FROM customer), r AS (SELECT *, {_pruned('body')} AS rest FROM t)
+SELECT document_id, CASE WHEN rest <> body AND regexp_matches(rest, '^\\p{{Ll}}') THEN concat(upper(substring(rest, 1, 1)), substring(rest, 2)) ELSE rest END AS text FROM r""")
 def discourse_prune(spark, sf_dir):
-    return made(spark, sf_dir, "customer", "c_custkey", WORDY).select("document_id", T.discourse_prune(F.col("text")).alias("text"))
+    return made(spark, sf_dir, "customer", "c_custkey", spark_sql(_OPENED)).select("document_id", T.discourse_prune(F.col("text")).alias("text"))
+
+
+_PHRASED = f"concat('Here ', {pick([p for p, _, _ in fixed.PHRASES], 'c_custkey')}, ' it (', {pick([p[0].upper() + p[1:] for p, _, _ in fixed.PHRASES], 'c_custkey + 31')}, ') and x-', {pick([p for p, _, _ in fixed.PHRASES], 'c_custkey + 57')}, ' stay.')"
+
+
+def _phrases_sql(text: str) -> str:
+    """All rules, longest first; a rule applies where no letter, digit, underscore, dash or slash stands beside the phrase."""
+    for phrase, short, _ in sorted(fixed.PHRASES, key=lambda x: -len(x[0])):
+        text = f"regexp_replace({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_/-])" + phrase.replace("'", "''").replace(".", "\\.") + "($|[^\\p{L}\\p{N}_/-])', '\\1" + short.replace("'", "''") + "\\2', 'g')"
+    return text
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS document_id, {_phrases_sql(_PHRASED)} AS text FROM customer")
+def phrase_rules(spark, sf_dir):
+    """Every rule, in lower case, capitalised, and behind a dash, where it does not apply."""
+    return made(spark, sf_dir, "customer", "c_custkey", spark_sql(_PHRASED)).select("document_id", T.phrase_rewrite(F.col("text")).alias("text"))
 
 
 def _nested(text: str, changes: list[tuple[str, str]]) -> str:
@@ -477,12 +603,19 @@ def phrase_rewrite(spark, sf_dir):
     return made(spark, sf_dir, "customer", "c_custkey", WORDY).select("document_id", T.phrase_rewrite(F.col("text")).alias("text"))
 
 
-_UNITS_SHORT = "regexp_replace(regexp_replace({t}, '(\\d+)\\s+minutes\\b', '\\1 min', 'g'), '(\\d+)\\s+hours\\b', '\\1 h', 'g')"
+_LONG_UNITS = [*fixed.UNIT_ABBREVIATIONS]
+_MEASURED = f"concat('It took ', {s('c_custkey % 90')}, ' ', {pick(_LONG_UNITS, 'c_custkey')}, ' or 3.5  ', {pick([u.title() for u in _LONG_UNITS], 'c_custkey + 5')}, ', not many ', {pick(_LONG_UNITS, 'c_custkey + 9')}, ' (1.', {s('c_nationkey')}, ' ', {pick(_LONG_UNITS, 'c_custkey + 17')}, 'ly).')"
+
+
+def _units_sql(text: str) -> str:
+    for word, short in fixed.UNIT_ABBREVIATIONS.items():
+        text = f"regexp_replace({text}, '(?i)(\\d+(?:\\.\\d+)?)\\s+{word}\\b', '\\1 {short}', 'g')"
+    return text
 
 
-@query(f"SELECT CAST(c_custkey AS BIGINT) AS document_id, {_UNITS_SHORT.format(t=WORDY)} AS text FROM customer")
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS document_id, {_units_sql(_MEASURED)} AS text FROM customer")
 def unit_abbrev(spark, sf_dir):
-    return made(spark, sf_dir, "customer", "c_custkey", WORDY).select("document_id", T.unit_abbreviate(F.col("text")).alias("text"))
+    return made(spark, sf_dir, "customer", "c_custkey", _MEASURED).select("document_id", T.unit_abbreviate(F.col("text")).alias("text"))
 
 
 @query(f"""
