@@ -511,10 +511,17 @@ def similarity_topk(spark, sf_dir):
     return out.withColumn("src", F.col("src").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TFIDF}, sims AS (SELECT a.document_id, a.unit_seq AS src, b.unit_seq AS dst, round(sum(a.weight * b.weight), 12) AS weight FROM v a JOIN v b ON a.document_id = b.document_id AND a.term = b.term AND a.unit_seq <> b.unit_seq GROUP BY ALL HAVING round(sum(a.weight * b.weight), 12) > {fixed.MIN_SIMILARITY}),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id, src ORDER BY weight DESC, dst) AS r FROM sims), g AS MATERIALIZED (SELECT document_id, src, dst, weight / sum(weight) OVER (PARTITION BY document_id, src) AS share FROM k WHERE r <= {fixed.NEIGHBOURS}),
+nodes AS (SELECT u.document_id, u.unit_seq, count(*) OVER (PARTITION BY u.document_id) AS n, o.src IS NULL AS sink FROM u LEFT JOIN (SELECT DISTINCT document_id, src FROM g) o ON u.document_id = o.document_id AND u.unit_seq = o.src),
+p AS (SELECT document_id, unit_seq, n, sink, 1 / CAST(n AS DOUBLE) AS p, 0 AS i, CAST(1 AS DOUBLE) AS moved FROM nodes
+ UNION ALL SELECT document_id, unit_seq, n, sink, nxt, i + 1, sum(abs(nxt - p)) OVER (PARTITION BY document_id) FROM (SELECT p.*, {fixed.DAMPING} * coalesce(f.flow, 0) + ({fixed.DAMPING} * sum(CASE WHEN sink THEN p.p ELSE 0 END) OVER (PARTITION BY p.document_id) + 1 - {fixed.DAMPING}) / n AS nxt
+  FROM p LEFT JOIN (SELECT g.document_id, g.dst, sum(g.share * q.p) AS flow FROM p q JOIN g ON q.document_id = g.document_id AND q.unit_seq = g.src GROUP BY ALL) f ON p.document_id = f.document_id AND p.unit_seq = f.dst WHERE moved >= {fixed.TOLERANCE} AND i < {fixed.MAX_ROUNDS})),
+z AS (SELECT document_id, unit_seq, round(p, 8) AS p FROM (SELECT *, max(i) OVER (PARTITION BY document_id) AS last FROM p) WHERE i = last), w2 AS (SELECT *, min(p) OVER (PARTITION BY document_id) AS lo, max(p) OVER (PARTITION BY document_id) AS hi FROM z)
+SELECT document_id, CAST(unit_seq AS BIGINT) AS unit_seq, CASE WHEN hi > lo THEN round((p - lo) / (hi - lo), 5) ELSE 1.0 END AS score FROM w2""")
 def pagerank_units(spark, sf_dir):
     parts = sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    return rank.pagerank(parts, rank.similar(rank.tfidf(parts)))
+    return rank.pagerank(parts, rank.similar(rank.tfidf(parts))).select("document_id", F.col("unit_seq").cast("long").alias("unit_seq"), F.round("score", 5).alias("score"))
 
 
 # ---- selection -------------------------------------------------------------------------------------------------------
@@ -526,14 +533,32 @@ def mandatory_units(spark, sf_dir):
     return units.mandatory(table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS unit_seq", block, "CAST(o_orderkey % 5 = 0 AS INT) AS n_required"))
 
 
-@query()
+_CITED = "concat(" + ", chr(10), chr(10), ".join(f"'Note {j} cites CVE-2024-', {s(f'1000 + (event_id * {j + 1}) % 7')}, ' and CVE-2024-', {s(f'1000 + (user_id + event_id * {j}) % 5')}, ' at last.'" for j in range(5)) + ")"
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT CAST(event_id AS BIGINT) AS document_id, string_split({_CITED}, chr(10) || chr(10)) AS parts FROM events), x AS (SELECT document_id, unnest(parts) AS text, unnest(range(len(parts))) AS unit_seq FROM t),
+c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY len(rest) DESC, unit_seq) AS r, 1 AS i FROM (SELECT document_id, unit_seq, list_distinct(regexp_extract_all(text, 'CVE-\\d+-\\d+')) AS rest FROM x)
+ UNION ALL SELECT document_id, unit_seq, rest, row_number() OVER (PARTITION BY document_id ORDER BY len(rest) DESC, unit_seq), i FROM (SELECT a.document_id, a.unit_seq, list_filter(a.rest, lambda w: NOT list_contains(b.rest, w)) AS rest, a.i + 1 AS i FROM c a JOIN c b ON a.document_id = b.document_id AND b.r = 1 AND a.r > 1 WHERE len(b.rest) > 0))
+SELECT document_id, unit_seq FROM c WHERE r = 1 AND len(rest) > 0""")
 def entity_cover(spark, sf_dir):
-    return native.entity_cover(document_units(made(spark, sf_dir, "events", "event_id", INCIDENT), "document_id", "text"))
+    found = native.entity_cover(document_units(made(spark, sf_dir, "events", "event_id", _CITED), "document_id", "text"))
+    return found.select("document_id", F.col("unit_seq").cast("long").alias("unit_seq"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE u AS (SELECT doc_id AS document_id, i - 1 AS unit_seq, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents))),
+w AS (SELECT document_id, unit_seq, greatest(1, {_TOKENS.format(t='text')}) AS cost, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS rest FROM u),
+c AS (SELECT document_id, unit_seq, cost, rest, row_number() OVER (PARTITION BY document_id ORDER BY len(rest) / cost DESC, unit_seq) AS r, 1 AS i FROM w WHERE len(rest) / cost > {fixed.LEAST_DENSITY}
+ UNION ALL SELECT document_id, unit_seq, cost, rest, row_number() OVER (PARTITION BY document_id ORDER BY len(rest) / cost DESC, unit_seq), i
+  FROM (SELECT a.document_id, a.unit_seq, a.cost, list_filter(a.rest, lambda w: NOT list_contains(b.rest, w)) AS rest, a.i + 1 AS i FROM c a JOIN c b ON a.document_id = b.document_id AND b.r = 1 AND a.r > 1) WHERE len(rest) / cost > {fixed.LEAST_DENSITY}),
+o AS (SELECT document_id, CAST(i AS BIGINT) AS step, CAST(unit_seq AS BIGINT) AS unit_seq, CAST(sum(cost) OVER (PARTITION BY document_id ORDER BY i) AS BIGINT) AS tokens, CAST(sum(len(rest)) OVER (PARTITION BY document_id ORDER BY i) AS BIGINT) AS words FROM c WHERE r = 1),
+l AS (SELECT *, words / max(words) OVER (PARTITION BY document_id) - tokens / max(tokens) OVER (PARTITION BY document_id) AS lift, count(*) OVER (PARTITION BY document_id) AS n FROM o),
+b AS (SELECT document_id, CASE WHEN max(n) <= 2 OR max(lift) <= 0 THEN max(n) ELSE min(step) FILTER (WHERE lift = top) END AS cut FROM (SELECT *, max(lift) OVER (PARTITION BY document_id) AS top FROM l) GROUP BY document_id)
+SELECT document_id, step, unit_seq, tokens, words, step <= cut AS kept FROM o JOIN b USING (document_id)""")
 def coverage_curve(spark, sf_dir):
-    return native.coverage_curve(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
+    found = native.coverage_curve(sentence_units(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
+    return found.select("document_id", F.col("step").cast("long").alias("step"), F.col("unit_seq").cast("long").alias("unit_seq"), "tokens", "words", "kept")
 
 
 @query()
