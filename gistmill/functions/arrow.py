@@ -16,6 +16,21 @@ BATCH_ROWS = 4096
 TASK_BYTES, MOST_TASKS = 2 << 20, 20_000
 
 
+#: Bytes of one batch that goes to a Python worker (a longer single row goes alone).
+BATCH_BYTES = "8m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Sees to it that the session bounds batches by bytes, as a count of rows says nothing about long texts.
+
+    A bound that the session has already is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt out evenly, so that a costly map keeps all cores busy.
 
@@ -53,7 +68,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[str], I
             if at:
                 yield _batch(batch, at, columns, types, names)
 
-    out = spread(df.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"id {id_type.simpleString()}, {schema}")
+    out = bounded(spread(df.select(F.col(id_col), F.col(text_col).cast("string")))).mapInArrow(run, f"id {id_type.simpleString()}, {schema}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed
 from gistmill.functions import route as R
-from gistmill.functions.arrow import spread
+from gistmill.functions.arrow import bounded, spread
 from gistmill.functions.tokens import Profile, profile
 from gistmill.operators import rank, render, rewrite, select, validate
 from gistmill.operators.atoms import Atom, entities, find, possible
@@ -165,7 +165,7 @@ def _prepared(df: DataFrame, id_col: str, content_col: str) -> tuple[DataFrame,
     """id, document_id, byte_length, and the content unless it is too large."""
     content = _content(df, content_col)
     out = df.select(F.col(id_col).alias("id"), R.document_id(content).alias("document_id"), F.octet_length(content).alias("byte_length"), F.when(~R.too_large(content), content).alias("content"))
-    return spread(out), df.schema[id_col].dataType.simpleString()
+    return bounded(spread(out)), df.schema[id_col].dataType.simpleString()
 
 
 #: Results are handed on once so many rows, or so many bytes of text and manifest, have come together.
@@ -289,4 +289,4 @@ def validate_results(results: DataFrame, sources: DataFrame, id_col: str, conten
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True) if found else [[]] * 3, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(n for n, _ in types)])
 
-    return rows.mapInArrow(run, f"id {id_type}, verdict string, verified long, message string").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {id_type}, verdict string, verified long, message string").withColumnRenamed("id", id_col)
