@@ -14,6 +14,7 @@ from gistmill.functions import language as L
 from gistmill.functions import route as R
 from gistmill.functions import text as T
 from gistmill.functions.arrow import spread
+from gistmill.functions.shared import shared_folder
 from gistmill.functions.tokens import token_estimate
 from gistmill.operators import native, rank, render, units, validate
 from gistmill.operators.atoms import atoms
@@ -738,14 +739,11 @@ def validated(spark, sf_dir):
 @query()
 def stream_compiled(spark, sf_dir):
     """The documents as a stream, compiled and written by its own checkpoint, then read again."""
-    import os
-    import tempfile
     import uuid
 
     from gistmill.streaming.stream import compile_stream, write_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gistmill-checkpoints")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     path = f"{sf_dir}/documents.parquet"
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{sf_dir}/documents*.parquet")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -12,9 +11,8 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
 
 
 def write_results(results: DataFrame, folder: str) -> None:
-    """Results as Parquet under ``results``, and texts and manifests as text files, partitioned by document, under ``texts`` and ``manifests``."""
+    """Results as Parquet under ``results``; as JSON lines, in a few large files, the texts by document under ``texts`` and the manifests under ``manifests``."""
     results.write.mode("overwrite").parquet(f"{folder}/results")
     stored = results.sparkSession.read.parquet(f"{folder}/results")
-    name = F.regexp_replace("document_id", "^sha256:", "").alias("document")
-    for column, sub in (("text", "texts"), ("manifest", "manifests")):
-        stored.select(name, F.col(column).alias("value")).write.mode("overwrite").partitionBy("document").option("lineSep", "\u0000").text(f"{folder}/{sub}")
+    stored.select("document_id", "status", "text").write.mode("overwrite").json(f"{folder}/texts")
+    stored.select("manifest").write.mode("overwrite").text(f"{folder}/manifests")
