@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import bits, flat
 from gistmill.llm.components import components
-from gistmill.llm.session import blocks, checkpoint, map_blocks, texts_of
+from gistmill.llm.session import bounded, blocks, checkpoint, map_blocks, texts_of
 
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
@@ -202,7 +202,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
         if held:
             yield leaders(held)
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = bounded(docs.select("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     counts = checkpoint(counts)
     least = COMMON
     while counts.where(F.col("n") >= least).count() > MOST_COMMON:

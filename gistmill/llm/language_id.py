@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.session import blocks, held_out, map_blocks, texts_of
+from gistmill.llm.session import bounded, blocks, held_out, map_blocks, texts_of
 
 ORDER, EDGE = 4, 0x20
 SURE_CHARS, SPREADS = 40, 3.0
@@ -111,7 +111,7 @@ def count_windows(documents: DataFrame, id_col: str, text_col: str, lang_col: st
         for lang, (keys, counts) in sums.items():
             yield rows(lang, keys, counts)
 
-    return docs.mapInArrow(run, "lang string, win long, n long").groupBy("lang", "win").agg(F.sum("n").alias("n"))
+    return bounded(docs).mapInArrow(run, "lang string, win long, n long").groupBy("lang", "win").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -270,4 +270,4 @@ def keep_identified(documents: DataFrame, model: Model, text_col: str = "text")
                 if kept.num_rows:
                     yield kept
 
-    return documents.mapInArrow(run, documents.schema)
+    return bounded(documents).mapInArrow(run, documents.schema)

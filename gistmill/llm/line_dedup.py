@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm import bits, flat
-from gistmill.llm.session import blocks, checkpoint, map_blocks, texts_of
+from gistmill.llm.session import bounded, blocks, checkpoint, map_blocks, texts_of
 
 MIN_WORDS = 5
 #: Rows without an id take their places from here on.
@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], schema=types)
 
     joined = pairs.join(late, "late").join(early, "early").select("late_doc", "late", "x", "y")
-    return joined.mapInArrow(run, "doc long, h1 long").distinct()
+    return bounded(joined).mapInArrow(run, "doc long, h1 long").distinct()
 
 
 def _near(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
@@ -303,4 +303,4 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
                 if kept.num_rows:
                     yield kept
 
-    return joined.mapInArrow(run, documents.schema)
+    return bounded(joined).mapInArrow(run, documents.schema)

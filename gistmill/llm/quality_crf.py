@@ -8,7 +8,8 @@ that also sees the worst line's share.
 Training takes at most ``max_documents`` labelled documents that are not held out, those of smallest hash of the id (a
 bounded sample, documented here). Their lines start with the document's label; in bad documents, lines that a logistic
 model finds good are relabelled good. The field's weights then follow the likelihood's gradient. Features are computed on the executors;
-the driver only gets feature rows, at most ``max_lines`` of each sampled document (evenly spaced ones of longer documents).
+the driver only gets feature rows, at most ``max_lines`` of each sampled document (60 MB in all): of a longer one evenly spaced
+runs of neighbouring lines, each a sequence of its own, so that only true neighbours count as such.
 
 Scoring reads every whole text. Labels, language, source and doc_id are no inputs of a score.
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from gistmill.llm import flat
 from gistmill.llm.session import held_out, map_blocks, texts_of
 
-MAX_DOCUMENTS, MAX_LINES = 3_000, 400
+#: Bounds of the training sample: labelled documents, lines of each, and runs of neighbours that these are taken in.
+MAX_DOCUMENTS, MAX_LINES, RUNS = 3_000, 100, 4
 CUT = 0.3
 
 
@@ -131,9 +133,9 @@ class Field:
     def __init__(self, w: np.ndarray, trans: np.ndarray, scale: np.ndarray):
         self.w, self.trans, self.scale = w, trans, scale
 
-    def documents(self, x: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Mean marginal by length, and share of length in lines that are rather bad."""
-        good, _, _ = Chain(doc).marginals(x @ self.w, self.trans)
+    def documents(self, x: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, chain: np.ndarray | None = None) -> np.ndarray:
+        """Mean marginal by length, and share of length in lines that are rather bad; ``chain`` where a document is several."""
+        good, _, _ = Chain(doc if chain is None else chain).marginals(x @ self.w, self.trans)
         total = np.maximum(np.bincount(doc, weights=weight, minlength=n), 1e-9)
         return np.stack([np.bincount(doc, weights=weight * good, minlength=n) / total, np.bincount(doc, weights=weight * (good < 0.5), minlength=n) / total], axis=1)
 
@@ -160,8 +162,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ri
     return w
 
 
-def fit(x: np.ndarray, doc: np.ndarray, weight: np.ndarray, labels: np.ndarray, rounds: int = 80) -> Field:
-    """A field for lines with weak labels from their documents (``labels`` by document number)."""
+def sampled(n: int, most: int, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of n lines as evenly spaced runs of neighbours, and whether each begins a run."""
+    if n <= most:
+        return np.arange(n), np.arange(n) == 0
+    size = max(1, most // runs)
+    starts = np.linspace(0, n - size, min(runs, most)).astype(int)
+    at = np.unique((starts[:, None] + np.arange(size)).ravel())
+    return at, np.concatenate([[True], np.diff(at) > 1])
+
+
+def fit(x: np.ndarray, doc: np.ndarray, weight: np.ndarray, labels: np.ndarray, rounds: int = 80, chain_of: np.ndarray | None = None) -> Field:
+    """A field for lines with weak labels from their documents (``labels`` by document number).
+
+    ``chain_of`` numbers the sequences of neighbouring lines; without it each document is one.
+    """
+    chain_of = doc if chain_of is None else chain_of
     y = labels[doc].astype(float)
     even = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     w = _logistic(x, y, even, ridge=1.0)
@@ -170,9 +186,9 @@ def fit(x: np.ndarray, doc: np.ndarray, weight: np.ndarray, labels: np.ndarray,
     worst = np.full(len(labels), np.inf)
     np.minimum.at(worst, doc, z)
     y = np.where((y == 0) & (z > 0) & (z > worst[doc]), 1.0, y)
-    chain, trans = Chain(doc), np.zeros((2, 2))
+    chain, trans = Chain(chain_of), np.zeros((2, 2))
     target = x.T @ y
-    pairs = doc[1:] == doc[:-1]
+    pairs = chain_of[1:] == chain_of[:-1]
     seen = np.array([[np.sum(pairs & (y[:-1] == i) & (y[1:] == j)) for j in (0, 1)] for i in (0, 1)], dtype=float)
     theta = np.concatenate([_logistic(x, y, ridge=1.0), trans.ravel()])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -182,7 +198,7 @@ def fit(x: np.ndarray, doc: np.ndarray, weight: np.ndarray, labels: np.ndarray,
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     field = Field(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), np.zeros(3))
-    means = field.documents(x, doc, weight, len(labels))
+    means = field.documents(x, doc, weight, len(labels), chain_of)
     field.scale = _logistic(np.concatenate([np.ones((len(means), 1)), means], axis=1), labels.astype(float), ridge=0.1)
     return field
 
@@ -204,9 +220,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             data = []
             for k in range(len(keep)):
                 at = np.flatnonzero(doc == k)
-                if len(at) > max_lines:
-                    at = at[np.linspace(0, len(at) - 1, max_lines).astype(int)]
-                data.append(np.concatenate([x[at], weight[at, None]], axis=1).astype(np.float32).tobytes())
+                some, begins = sampled(len(at), max_lines)
+                at = at[some]
+                data.append(np.concatenate([x[at], weight[at, None], begins[:, None]], axis=1).astype(np.float32).tobytes())
             yield {"doc_id": [ids[i] for i in keep], "rows": data}
 
     got = map_blocks(docs, "doc_id long, rows binary", step, types).toArrow().sort_by([("doc_id", "ascending"), ("rows", "ascending")])
@@ -217,10 +233,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return 0.5
     if y.min() == y.max():
         return float(y[0])
-    parts = [np.frombuffer(data[k], dtype=np.float32).reshape(-1, WIDTH + 1).astype(np.float64) for k in once]
+    parts = [np.frombuffer(data[k], dtype=np.float32).reshape(-1, WIDTH + 2).astype(np.float64) for k in once]
     rows = np.concatenate(parts)
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return fit(rows[:, :WIDTH], doc, rows[:, WIDTH], y)
+    return fit(rows[:, :WIDTH], doc, rows[:, WIDTH], y, chain_of=np.cumsum(rows[:, WIDTH + 1] > 0))
 
 
 def score_quality(documents: DataFrame, field: Field | float, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.functions.arrow import bounded
+from gistmill.functions.shared import shared_folder
+
 #: Bytes of text that one numpy or Python step looks at together; a longer single text goes alone.
 BLOCK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without it gets an own one."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), "gistmill-checkpoints")
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
@@ -71,4 +62,4 @@ def map_blocks(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Iter
                 for out in step(batch.slice(start, end - start)):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in types], schema=types)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)

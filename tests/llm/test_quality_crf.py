@@ -72,3 +72,11 @@ def test_neighbours_are_features():
     n = Q.FEATURES
     assert np.array_equal(x[0, 1 : 1 + n], x[1, 1 + n : 1 + 2 * n]) and np.array_equal(x[1, 1 : 1 + n], x[0, 1 + 2 * n :])
     assert not x[2, 1 + n :].any() and doc.tolist() == [0, 0, 1]
+
+
+def test_sampled_lines_are_runs_of_neighbours():
+    at, begins = Q.sampled(10, 100)
+    assert at.tolist() == [*range(10)] and begins.tolist() == [True] + [False] * 9
+    at, begins = Q.sampled(1000, 100)
+    assert len(at) <= 100 and at[0] == 0 and at[-1] == 999 and begins.sum() == Q.RUNS
+    assert np.all((np.diff(at) == 1) == ~begins[1:])
