@@ -34,7 +34,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 
 NONE = np.iinfo(np.int32).max
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 
 
 def byte_letters() -> list[str]:
