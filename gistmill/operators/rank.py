@@ -1,6 +1,6 @@
 """Ranking of units: TF-IDF, a top-k cosine graph, and PageRank.
 
-``tfidf``, ``similar`` and ``pagerank`` are the relational forms (aggregates, an equi-join on shared terms, and a grouped kernel);
+``tfidf``, ``similar`` and ``pagerank`` are the relational forms (aggregates, and kernels over one packed row a document);
 ``scores`` is the same for the units of one document in memory, which the row-wise plan uses.
 """
 
@@ -10,10 +10,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill import fixed
+from gistmill.functions.arrow import bounded
 
 TOKEN = re.compile(fixed.TOKEN)
 
@@ -46,8 +48,11 @@ def _weights(texts: list[str]):
 
 def graph(texts: list[str], k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY):
     """Directed edges (src, dst, weight) to each unit's k most similar units above the threshold; ties go to lower dst."""
-    row, col, w = _weights(texts)
-    n = len(texts)
+    return nearest(*_weights(texts), len(texts), k, least)
+
+
+def nearest(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, least: float):
+    """The same from the vectors' entries: unit, term number and weight, sorted by term."""
     # rows of one term form a group; a unit at a time sums products over its terms' groups
     starts = np.searchsorted(col, np.arange(col[-1] + 2)) if len(col) else np.zeros(1, dtype=np.int64)
     by_unit = np.argsort(row, kind="stable")
@@ -118,13 +123,30 @@ def tfidf(units: DataFrame, by: str = "document_id", text: str = "text") -> Data
 
 
 def similar(vectors: DataFrame, by: str = "document_id", k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
-    """(by, src, dst, weight): the k most similar units of the same document above the threshold; ties go to lower dst."""
-    a = vectors.select(by, "term", F.col("unit_seq").alias("src"), F.col("weight").alias("_a"))
-    b = vectors.select(F.col(by).alias("_doc"), F.col("term").alias("_term"), F.col("unit_seq").alias("dst"), F.col("weight").alias("_b"))
-    both = a.join(b, (a[by] == b["_doc"]) & (a["term"] == b["_term"]) & (a["src"] != b["dst"]))
-    sims = both.groupBy(by, "src", "dst").agg(F.round(F.sum(F.col("_a") * F.col("_b")), 12).alias("weight")).where(F.col("weight") > least)
-    rank = F.row_number().over(Window.partitionBy(by, "src").orderBy(F.desc("weight"), "dst"))
-    return sims.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    """(by, src, dst, weight): the k most similar units of the same document above the threshold; ties go to lower dst.
+
+    One row a document with its vectors packed (terms as 64-bit hashes), so a term that very many units share meets in no join:
+    the kernel holds the sums of one unit at a time. Documents are at most ten megabytes, which bounds the row.
+    """
+    entry = F.struct(F.xxhash64("term").alias("term"), F.col("unit_seq").cast("long").alias("unit"), F.col("weight").alias("weight"))
+    rows = vectors.groupBy(by).agg(F.collect_list(entry).alias("e"))
+    names, id_type = [by, "src", "dst", "weight"], vectors.schema[by].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for d in range(batch.num_rows):
+                e = batch.column(1)[d].values
+                term, unit, weight = (e.field(c).to_numpy() for c in range(3))
+                ids, row = np.unique(unit, return_inverse=True)
+                terms_, col = np.unique(term, return_inverse=True)
+                order = np.lexsort((row, col))
+                src, dst, sim = nearest(row[order], col[order], weight[order], len(ids), k, least + 5e-13)
+                columns = [ids[src.astype(np.int64)], ids[dst.astype(np.int64)], np.round(sim, 12)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d] * len(src), pa.int32())), *map(pa.array, columns)], names=names)
+
+    unit_type = vectors.schema["unit_seq"].dataType
+    out = bounded(rows).mapInArrow(run, f"`{by}` {id_type}, src long, dst long, weight double")
+    return out.withColumns({c: F.col(c).cast(unit_type) for c in ("src", "dst")})
 
 
 def pagerank(units: DataFrame, edges: DataFrame, by: str = "document_id", damping: float = fixed.DAMPING) -> DataFrame:
