@@ -31,8 +31,8 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt out evenly, so that a costly map keeps all cores busy.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out evenly (by columns if named, so that groups of these need no other shuffle), for a costly map to keep all cores busy.
 
     A scan makes one task of a row group, however many tasks it plans, and a small table may be one row group. So inputs of up
     to MOST_TASKS times TASK_BYTES (by the optimizer's estimate, nothing runs for it) are dealt out in turn, to two tasks a core
@@ -44,7 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    return df.repartition(tasks) if tasks <= MOST_TASKS else df
+    return df.repartition(tasks, *by) if tasks <= MOST_TASKS else df
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[str], Iterator[tuple]], schema: str, types: list[tuple[str, pa.DataType]]) -> DataFrame:

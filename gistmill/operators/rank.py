@@ -1,16 +1,18 @@
 """Ranking of units: TF-IDF, a top-k cosine graph, and PageRank.
 
 ``tfidf``, ``similar`` and ``pagerank`` are the relational forms (aggregates, and kernels over one packed row a document);
-``scores`` is the same for the units of one document in memory, which the row-wise plan uses.
+``neighbours`` and ``unit_ranks`` do them in one go, so that a document's terms meet in no shuffle; ``scores`` is the same for
+the units of one document in memory, which the row-wise plan uses.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +22,59 @@ from gistmill.functions.arrow import bounded
 TOKEN = re.compile(fixed.TOKEN)
 
 
-def terms(text: str) -> Counter:
-    """Words and pairs of neighbouring words."""
-    words = TOKEN.findall(text.lower())
-    words += [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return Counter(words)
-
-
-def _weights(texts: list[str]):
-    """Row, term and weight of the length-one TF-IDF vectors, sorted by term."""
-    names: dict[str, int] = {}
-    row, col, tf = [], [], []
-    for i, text in enumerate(texts):
-        for term, n in terms(text).items():
-            row.append(i)
-            col.append(names.setdefault(term, len(names)))
-            tf.append(n)
-    row, col = np.array(row, dtype=np.int64), np.array(col, dtype=np.int64)
-    if not len(row):
-        return row, col, np.zeros(0)
+#: Pairs of units, and products of weights, that are held at once.
+MOST_PAIRS = 1 << 21
+#: Bytes of text of documents that are ranked together (a longer one goes alone).
+MOST_CHARS = 1 << 20
+
+
+class _Numbers(dict):
+    """Numbers of keys in order of first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _vectors(texts: list[str], row: np.ndarray, doc: np.ndarray, size: np.ndarray):
+    """Row, term and weight of the length-one TF-IDF vectors, sorted by term, of units of many documents.
+
+    Terms are words and pairs of neighbouring words, of one document each. ``row`` has the unit of each text, whose words are
+    counted together; ``doc`` the document of each unit; ``size`` the number of texts of each document.
+    """
+    numbers, words = _Numbers(), [TOKEN.findall(t) for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+    if not len(word):
+        return word, word, np.zeros(0)
+    n, unit = len(numbers), np.repeat(row, count)
+    last = np.zeros(len(word), dtype=bool)
+    last[np.cumsum(count)[count > 0] - 1] = True
+    first = np.flatnonzero(~last)
+    term = np.concatenate([word, n + word[first] * n + word[first + 1]])
+    unit = np.concatenate([unit, unit[first]])
+    # a document's terms get a range of numbers of their own; what is distinct stays far below 2^63, as texts are bounded
+    col = np.unique(doc[unit] * (n + n * n) + term, return_inverse=True)[1]
+    key, tf = np.unique(col * len(doc) + unit, return_counts=True)
+    col, unit = np.divmod(key, len(doc))
     df = np.bincount(col)
-    w = (1 + np.log(tf)) * (np.log((1 + len(texts)) / (1 + df[col])) + 1)
-    w /= np.sqrt(np.bincount(row, weights=w * w, minlength=len(texts)))[row]
-    order = np.argsort(col, kind="stable")
-    return row[order], col[order], w[order]
+    w = (1 + np.log(tf)) * (np.log((1 + size[doc[unit]]) / (1 + df[col])) + 1)
+    w /= np.sqrt(np.bincount(unit, weights=w * w, minlength=len(doc)))[unit]
+    return unit, col, w
 
 
 def graph(texts: list[str], k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY):
     """Directed edges (src, dst, weight) to each unit's k most similar units above the threshold; ties go to lower dst."""
-    return nearest(*_weights(texts), len(texts), k, least)
+    n = len(texts)
+    vectors = _vectors([t.lower() for t in texts], np.arange(n), np.zeros(n, dtype=np.int64), np.array([n]))
+    return nearest(*vectors, n, k, least)
 
 
 def nearest(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, least: float):
     """The same from the vectors' entries: unit, term number and weight, sorted by term."""
+    size = np.bincount(col)
+    if max(n * n, int((size * (size - 1)).sum()) // 2) <= MOST_PAIRS:
+        return _together(row, col, w, np.zeros(n, dtype=np.int64), np.array([n]), k, least)
     # rows of one term form a group; a unit at a time sums products over its terms' groups
     starts = np.searchsorted(col, np.arange(col[-1] + 2)) if len(col) else np.zeros(1, dtype=np.int64)
     by_unit = np.argsort(row, kind="stable")
@@ -70,7 +92,31 @@ def nearest(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, lea
         src.append(np.full(len(best), i))
         dst.append(best)
         weight.append(sim[best])
-    return (np.concatenate(x) if x else np.zeros(0) for x in (src, dst, weight))
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (src, dst, weight))
+
+
+def _together(row: np.ndarray, col: np.ndarray, w: np.ndarray, doc: np.ndarray, units: np.ndarray, k: int, least: float):
+    """``nearest`` for many documents at once, whose units stand side by side: all products, summed by pair of units."""
+    first = np.cumsum(units) - units
+    base = np.cumsum(units * units) - units * units
+    # entry by entry, the later ones of the same term
+    ends = np.cumsum(np.bincount(col))[col] if len(col) else col
+    later = ends - np.arange(len(col)) - 1
+    one = np.repeat(np.arange(len(col)), later)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later) + one + 1
+    a, b = row[one], row[two]
+    d = doc[a]
+    sim = np.bincount(base[d] + (a - first[d]) * units[d] + b - first[d], weights=w[one] * w[two], minlength=int((units * units).sum()))
+    at = np.flatnonzero(sim > least)
+    sim = sim[at].astype(float)  # sums of nothing are whole numbers
+    d = np.searchsorted(base + units * units, at, "right")
+    a, b = np.divmod(at - base[d], units[d])
+    a, b = a + first[d], b + first[d]
+    src, dst, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
+    order = np.lexsort((dst, -np.round(sim, 12), src))
+    src, dst, sim = src[order], dst[order], sim[order]
+    best = np.arange(len(src)) - np.searchsorted(src, src) < k
+    return src[best], dst[best], sim[best]
 
 
 def ranks(n: int, src, dst, weight, damping: float = fixed.DAMPING) -> np.ndarray:
@@ -93,6 +139,33 @@ def ranks(n: int, src, dst, weight, damping: float = fixed.DAMPING) -> np.ndarra
     return (p - low) / (high - low) if high > low else np.ones(n)
 
 
+def _ranks_together(doc: np.ndarray, times: np.ndarray, size: np.ndarray, src, dst, weight, damping: float) -> np.ndarray:
+    """``ranks`` for many documents at once, each until it stands still; a unit counts as often as ``times`` says."""
+    total = lambda x: np.bincount(doc, weights=x, minlength=len(size))
+    out = np.bincount(src, weights=weight, minlength=len(doc))
+    share = weight / out[src] * times[src]
+    sinks = np.where(out > 0, 0, times)
+    p, moving = 1 / size[doc], size > 1
+    for _ in range(fixed.MAX_ROUNDS):
+        if not moving.any():
+            break
+        flow = np.bincount(dst, weights=share * p[src], minlength=len(doc))
+        nxt = damping * flow + ((damping * total(p * sinks) + 1 - damping) / size)[doc]
+        change = np.where(moving[doc], nxt - p, 0)
+        p = np.where(moving[doc], nxt, p)
+        still = moving & (total(np.abs(change) * times) < fixed.TOLERANCE)
+        if still.any():
+            moving &= ~still
+            on = moving[doc[src]]
+            src, dst, share = src[on], dst[on], share[on]
+    p = np.round(p, 8)
+    low, high = np.full(len(size), np.inf), np.full(len(size), -np.inf)
+    np.minimum.at(low, doc, p)
+    np.maximum.at(high, doc, p)
+    wide = (high > low)[doc]
+    return np.where(wide, (p - low[doc]) / np.where(wide, (high - low)[doc], 1), 1.0)
+
+
 def scores(texts: list[str], k: int = fixed.NEIGHBOURS, damping: float = fixed.DAMPING) -> np.ndarray:
     if len(texts) < 2:
         return np.ones(len(texts))
@@ -169,3 +242,99 @@ def pagerank(units: DataFrame, edges: DataFrame, by: str = "document_id", dampin
 
     out = rows.select(by, F.explode(F.arrays_zip("nodes", kernel("nodes", "links").alias("s"))).alias("z"))
     return out.select(by, F.col("z.nodes").alias("unit_seq"), F.col("z.s").alias("score"))
+
+
+def _packed(units: DataFrame, by: str, text: str) -> DataFrame:
+    """One row a document with its units; no shuffle if they are dealt out by document already."""
+    return units.groupBy(by).agg(F.collect_list(F.struct(F.col("unit_seq").cast("long").alias("unit"), F.coalesce(F.col(text), F.lit("")).alias("text"))).alias("units"))
+
+
+def _graphs(batch: pa.RecordBatch, k: int, least: float):
+    """Of runs of a batch's rows: (row of each unit, unit numbers, how often each stands there, texts by row, edges).
+
+    Edges (src, dst, weight) are by place among the run's units, in order of src, with weights of twelve digits.
+    """
+    packed = batch.column(1)
+    size, ends = np.diff(packed.offsets.to_numpy()), np.cumsum(np.diff(packed.offsets.to_numpy()))
+    values = packed.flatten()
+    length = np.concatenate([[0], np.cumsum(pc.binary_length(values.field(1)).to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < batch.num_rows:
+        # as many rows as stay within the bounds, one at least
+        low = ends[start] - size[start]
+        chars, pairs = length[ends[start:]] - length[low], np.cumsum(size[start:].astype(float) ** 2)
+        stop = start + max(1, int(np.count_nonzero((chars <= MOST_CHARS) & (pairs <= MOST_PAIRS))))
+        part = values.slice(low, ends[stop - 1] - low)
+        own, n = size[start:stop], stop - start
+        # DuckDB and Spark lower-case these two by themselves, Python by what stands beside them
+        texts = [x.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower() for x in part.field(1).to_pylist()]
+        number, of = part.field(0).to_numpy(), np.repeat(np.arange(n), own)
+        order = np.lexsort((number, of))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (np.diff(of[order]) != 0) | (np.diff(number[order]) != 0)
+        row = np.empty(len(order), dtype=np.int64)
+        row[order] = np.cumsum(fresh) - 1
+        doc, number, times = of[order][fresh], number[order][fresh], np.bincount(row, minlength=int(fresh.sum()))
+        edges = _edges(*_vectors(texts, row, doc, own), doc, n, k, least + 5e-13)
+        yield start + doc, number, times, own, (edges[0], edges[1], np.round(edges[2], 12))
+        start = stop
+
+
+def _edges(row, col, w, doc, n, k, least):
+    """The edges of n documents, those together whose products are few enough."""
+    units = np.bincount(doc, minlength=n)
+    group = np.bincount(col)
+    of_group = np.zeros(len(group), dtype=np.int64)
+    of_group[col] = doc[row]
+    products = np.bincount(of_group, weights=group * (group - 1.0) / 2, minlength=n)
+    at, rows, found = np.searchsorted(of_group, np.arange(n + 1)), np.cumsum(units) - units, []
+    first_entry = np.concatenate([np.cumsum(group) - group, [len(col)]])
+    i = 0
+    while i < n:
+        j = i + max(1, int(np.count_nonzero(np.cumsum(products[i:]) <= MOST_PAIRS)))
+        own, base, total = slice(first_entry[at[i]], first_entry[at[j]]), rows[i], int(units[i:j].sum())
+        entries = row[own] - base, col[own] - at[i], w[own]
+        if j == i + 1:
+            edges = nearest(*entries, total, k, least)
+        else:
+            edges = _together(*entries, doc[base : base + total] - i, units[i:j], k, least)
+        found.append((edges[0].astype(np.int64) + base, edges[1].astype(np.int64) + base, edges[2]))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def neighbours(units: DataFrame, by: str = "document_id", text: str = "text", k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
+    """(by, src, near): what ``similar`` of ``tfidf`` says, one row a unit that has neighbours, ``near`` an array of (dst, weight).
+
+    Vectors and sums never leave the worker: only the units' texts are dealt out, once.
+    """
+    rows, id_type, unit_type = _packed(units.where(F.col(by).isNotNull()), by, text), units.schema[by].dataType.simpleString(), units.schema["unit_seq"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for doc, number, _, _, (src, dst, weight) in _graphs(batch, k, least):
+                has, first = np.unique(src, return_index=True)
+                near = pa.StructArray.from_arrays([pa.array(number[dst]), pa.array(weight)], names=["dst", "weight"])
+                near = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(src)]]), pa.int32()), near)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[has])), pa.array(number[has]), near], names=[by, "src", "near"])
+
+    out = bounded(rows).mapInArrow(run, f"`{by}` {id_type}, src long, near array<struct<dst: bigint, weight: double>>")
+    return out.withColumns({"src": F.col("src").cast(unit_type), "near": F.col("near").cast(f"array<struct<dst: {unit_type}, weight: double>>")})
+
+
+def unit_ranks(units: DataFrame, by: str = "document_id", text: str = "text", damping: float = fixed.DAMPING, k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
+    """(by, unit_seq, score): ``pagerank`` over the graph of ``neighbours``, in the same worker; one row for each row of units."""
+    rows, id_type, unit_type = _packed(units, by, text), units.schema[by].dataType.simpleString(), units.schema["unit_seq"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for doc, number, times, size, edges in _graphs(batch, k, least):
+                if batch.column(0).null_count:  # rows without an id have nothing in common
+                    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[doc[edges[0]]]
+                    edges = tuple(x[known] for x in edges)
+                score = _ranks_together(doc - doc[0], times, size, *edges, damping)
+                again = np.repeat(np.arange(len(doc)), times)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[again])), pa.array(number[again]), pa.array(score[again])], names=[by, "unit_seq", "score"])
+
+    out = bounded(rows).mapInArrow(run, f"`{by}` {id_type}, unit_seq long, score double")
+    return out.withColumn("unit_seq", F.col("unit_seq").cast(unit_type))
