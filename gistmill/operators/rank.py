@@ -22,8 +22,8 @@ from gistmill.functions.arrow import bounded
 TOKEN = re.compile(fixed.TOKEN)
 
 
-#: Pairs of units, and products of weights, that are held at once.
-MOST_PAIRS = 1 << 21
+#: Pairs of units, and products of weights, that are held at once: of documents together, and of one alone.
+MOST_PAIRS, MOST_ALONE = 1 << 19, 1 << 21
 #: Bytes of text of documents that are ranked together (a longer one goes alone).
 MOST_CHARS = 1 << 20
 
@@ -73,26 +73,30 @@ def graph(texts: list[str], k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_
 def nearest(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int, least: float):
     """The same from the vectors' entries: unit, term number and weight, sorted by term."""
     size = np.bincount(col)
-    if max(n * n, int((size * (size - 1)).sum()) // 2) <= MOST_PAIRS:
+    if max(n * n, int((size * (size - 1)).sum()) // 2) <= MOST_ALONE:
         return _together(row, col, w, np.zeros(n, dtype=np.int64), np.array([n]), k, least)
-    # rows of one term form a group; a unit at a time sums products over its terms' groups
+    # rows of one term form a group; a unit sums products over its terms' groups
     starts = np.searchsorted(col, np.arange(col[-1] + 2)) if len(col) else np.zeros(1, dtype=np.int64)
     by_unit = np.argsort(row, kind="stable")
     unit_starts = np.searchsorted(row[by_unit], np.arange(n + 1))
-    src, dst, weight = [], [], []
-    for i in range(n):
-        own = by_unit[unit_starts[i] : unit_starts[i + 1]]
-        lo, size = starts[col[own]], starts[col[own] + 1] - starts[col[own]]
-        total = int(size.sum())
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(total)
-        sim = np.bincount(row[at], weights=w[at] * np.repeat(w[own], size), minlength=n) if total else np.zeros(n)
-        sim[i] = 0
+    sizes = starts[col[by_unit] + 1] - starts[col[by_unit]] if len(col) else col
+    products = np.concatenate([[0], np.cumsum(sizes)])[unit_starts]
+    found, i = [], 0
+    while i < n:
+        # a run of units whose sums, n each, and products stay within the bound
+        j = i + max(1, int(np.searchsorted(products[i + 1 :] - products[i] + n * np.arange(1, n - i + 1), MOST_ALONE, "right")))
+        own, size = by_unit[unit_starts[i] : unit_starts[j]], sizes[unit_starts[i] : unit_starts[j]]
+        at = np.repeat(starts[col[own]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        sim = np.bincount(np.repeat((row[own] - i) * n, size) + row[at], weights=w[at] * np.repeat(w[own], size), minlength=(j - i) * n)
+        sim[np.arange(j - i) * n + np.arange(i, j)] = 0
         best = np.flatnonzero(sim > least)
-        best = best[np.lexsort((best, -np.round(sim[best], 12)))][:k]
-        src.append(np.full(len(best), i))
-        dst.append(best)
-        weight.append(sim[best])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (src, dst, weight))
+        sim, (src, dst) = sim[best].astype(float), np.divmod(best, n)
+        order = np.lexsort((dst, -np.round(sim, 12), src))
+        src, dst, sim = src[order], dst[order], sim[order]
+        best = np.arange(len(src)) - np.searchsorted(src, src) < k
+        found.append((src[best] + i, dst[best], sim[best]))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
 
 
 def _together(row: np.ndarray, col: np.ndarray, w: np.ndarray, doc: np.ndarray, units: np.ndarray, k: int, least: float):
@@ -244,13 +248,14 @@ def pagerank(units: DataFrame, edges: DataFrame, by: str = "document_id", dampin
     return out.select(by, F.col("z.nodes").alias("unit_seq"), F.col("z.s").alias("score"))
 
 
-def _packed(units: DataFrame, by: str, text: str) -> DataFrame:
-    """One row a document with its units; no shuffle if they are dealt out by document already."""
-    return units.groupBy(by).agg(F.collect_list(F.struct(F.col("unit_seq").cast("long").alias("unit"), F.coalesce(F.col(text), F.lit("")).alias("text"))).alias("units"))
+def packed(units: DataFrame, by: str = "document_id", text: str = "text") -> DataFrame:
+    """(by, units): one row a document with an array of (unit, text); no shuffle if rows are dealt out by document already."""
+    entry = F.struct(F.col("unit_seq").cast("long").alias("unit"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return units.groupBy(by).agg(F.collect_list(entry).alias("units"))
 
 
 def _graphs(batch: pa.RecordBatch, k: int, least: float):
-    """Of runs of a batch's rows: (row of each unit, unit numbers, how often each stands there, texts by row, edges).
+    """Of runs of a batch's rows: (first row, each unit's row from there, unit numbers, how often each stands there, texts by row, edges).
 
     Edges (src, dst, weight) are by place among the run's units, in order of src, with weights of twelve digits.
     """
@@ -267,7 +272,7 @@ def _graphs(batch: pa.RecordBatch, k: int, least: float):
         part = values.slice(low, ends[stop - 1] - low)
         own, n = size[start:stop], stop - start
         # DuckDB and Spark lower-case these two by themselves, Python by what stands beside them
-        texts = [x.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower() for x in part.field(1).to_pylist()]
+        texts = [(x if x.isascii() else x.replace("\u0130", "i").replace("\u03a3", "\u03c3")).lower() for x in part.field(1).to_pylist()]
         number, of = part.field(0).to_numpy(), np.repeat(np.arange(n), own)
         order = np.lexsort((number, of))
         fresh = np.ones(len(order), dtype=bool)
@@ -276,7 +281,8 @@ def _graphs(batch: pa.RecordBatch, k: int, least: float):
         row[order] = np.cumsum(fresh) - 1
         doc, number, times = of[order][fresh], number[order][fresh], np.bincount(row, minlength=int(fresh.sum()))
         edges = _edges(*_vectors(texts, row, doc, own), doc, n, k, least + 5e-13)
-        yield start + doc, number, times, own, (edges[0], edges[1], np.round(edges[2], 12))
+        if len(doc):
+            yield start, doc, number, times, own, (edges[0], edges[1], np.round(edges[2], 12))
         start = stop
 
 
@@ -303,38 +309,36 @@ def _edges(row, col, w, doc, n, k, least):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def neighbours(units: DataFrame, by: str = "document_id", text: str = "text", k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
+def neighbours(rows: DataFrame, by: str = "document_id", k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
     """(by, src, near): what ``similar`` of ``tfidf`` says, one row a unit that has neighbours, ``near`` an array of (dst, weight).
 
-    Vectors and sums never leave the worker: only the units' texts are dealt out, once.
+    ``rows`` is ``packed``. Vectors and sums never leave the worker: only the units' texts are dealt out, once.
     """
-    rows, id_type, unit_type = _packed(units.where(F.col(by).isNotNull()), by, text), units.schema[by].dataType.simpleString(), units.schema["unit_seq"].dataType.simpleString()
+    rows, id_type = rows.where(F.col(by).isNotNull()), rows.schema[by].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for doc, number, _, _, (src, dst, weight) in _graphs(batch, k, least):
+            for start, doc, number, _, _, (src, dst, weight) in _graphs(batch, k, least):
                 has, first = np.unique(src, return_index=True)
                 near = pa.StructArray.from_arrays([pa.array(number[dst]), pa.array(weight)], names=["dst", "weight"])
                 near = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(src)]]), pa.int32()), near)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[has])), pa.array(number[has]), near], names=[by, "src", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + doc[has])), pa.array(number[has]), near], names=[by, "src", "near"])
 
-    out = bounded(rows).mapInArrow(run, f"`{by}` {id_type}, src long, near array<struct<dst: bigint, weight: double>>")
-    return out.withColumns({"src": F.col("src").cast(unit_type), "near": F.col("near").cast(f"array<struct<dst: {unit_type}, weight: double>>")})
+    return bounded(rows).mapInArrow(run, f"`{by}` {id_type}, src long, near array<struct<dst: bigint, weight: double>>")
 
 
-def unit_ranks(units: DataFrame, by: str = "document_id", text: str = "text", damping: float = fixed.DAMPING, k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
-    """(by, unit_seq, score): ``pagerank`` over the graph of ``neighbours``, in the same worker; one row for each row of units."""
-    rows, id_type, unit_type = _packed(units, by, text), units.schema[by].dataType.simpleString(), units.schema["unit_seq"].dataType.simpleString()
+def unit_ranks(rows: DataFrame, by: str = "document_id", damping: float = fixed.DAMPING, k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
+    """(by, unit_seq, score): ``pagerank`` over the graph of ``neighbours``, in the same worker; one row for each unit of ``packed`` rows."""
+    id_type = rows.schema[by].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for doc, number, times, size, edges in _graphs(batch, k, least):
+            for start, doc, number, times, size, edges in _graphs(batch, k, least):
                 if batch.column(0).null_count:  # rows without an id have nothing in common
-                    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[doc[edges[0]]]
+                    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[start + doc[edges[0]]]
                     edges = tuple(x[known] for x in edges)
-                score = _ranks_together(doc - doc[0], times, size, *edges, damping)
+                score = _ranks_together(doc, times, np.maximum(size, 1), *edges, damping)
                 again = np.repeat(np.arange(len(doc)), times)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[again])), pa.array(number[again]), pa.array(score[again])], names=[by, "unit_seq", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + doc[again])), pa.array(number[again]), pa.array(score[again])], names=[by, "unit_seq", "score"])
 
-    out = bounded(rows).mapInArrow(run, f"`{by}` {id_type}, unit_seq long, score double")
-    return out.withColumn("unit_seq", F.col("unit_seq").cast(unit_type))
+    return bounded(rows).mapInArrow(run, f"`{by}` {id_type}, unit_seq long, score double")
