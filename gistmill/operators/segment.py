@@ -7,6 +7,7 @@ from functools import lru_cache
 import regex
 
 from gistmill import fixed
+from gistmill.functions.shared import kept
 
 #: What ends a sentence: a run of western stops that is no abbreviation, no pause and is followed by a space, a closing
 #: mark or the end; a single stop of another script; or an empty line. The look ahead at its front spares the look behind
@@ -21,6 +22,7 @@ def _stop():
     return regex.compile(STOP.replace("{end}", r"\Z"))
 
 
+@kept
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence without surrounding white space."""
     cuts = [m.end() for m in _stop().finditer(text)] + [len(text)]
