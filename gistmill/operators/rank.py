@@ -334,7 +334,7 @@ def _edges(row, col, w, doc, n, k, least):
 
 
 def neighbours(rows: DataFrame, by: str = "document_id", k: int = fixed.NEIGHBOURS, least: float = fixed.MIN_SIMILARITY) -> DataFrame:
-    """(by, src, near): what ``similar`` of ``tfidf`` says, one row a unit that has neighbours, ``near`` an array of (dst, weight).
+    """(by, src, near): what ``similar`` of ``tfidf`` says, one row a unit that has neighbours, ``near`` an array of (dst, weight), nearest first.
 
     ``rows`` is ``packed``. Vectors and sums never leave the worker: only the units' texts are dealt out, once.
     """
