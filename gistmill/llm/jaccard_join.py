@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import bits, flat
 from gistmill.llm.components import components
-from gistmill.llm.session import bounded, blocks, checkpoint, map_blocks, texts_of
+from gistmill.llm.session import bounded, blocks, checkpoint, map_blocks, released, texts_of
 
 SHINGLE, PERCENT = 4, 85
 LIGHT = 3
@@ -469,19 +469,20 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     and one carried number all or none are. Rows with an empty set are.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(carry) if carry else F.lit(0)).cast("long").alias("carried"), F.col(text_col).cast("string").alias("text"))
-    members = checkpoint(_members(docs, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "carried")
-    nodes = checkpoint(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(order).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")))
-    label = _linked(docs, nodes, shingle, percent)
-    # a row a node; the rows of a node only meet it in a plain join, which Spark splits where copies are many
-    named = label.withColumnRenamed("node", "ln")
-    placed = checkpoint(nodes.join(named, nodes["node"] == F.col("ln"), "left").select("node", "rep", "first", "copies", F.coalesce("label", "node").alias("label")))
-    least = checkpoint(placed.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("leads")).withColumnRenamed("label", "l2"))
-    placed = placed.join(least, placed["label"] == F.col("l2")).select("node", "copies", "component_id", "leads")
-    if count_links:
-        degree = checkpoint(_degrees(docs, nodes, label, shingle, percent))
-        placed = placed.join(degree, placed["node"] == F.col("fn"), "left").select("node", "component_id", "leads", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    placed = checkpoint(placed.withColumnRenamed("node", "pn"))
+    with released(documents.sparkSession):
+        members = checkpoint(_members(docs, shingle))
+        nodes = checkpoint(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(order).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")))
+        label = _linked(docs, nodes, shingle, percent)
+        # a row a node; the rows of a node only meet it in a plain join, which Spark splits where copies are many
+        named = label.withColumnRenamed("node", "ln")
+        placed = checkpoint(nodes.join(named, nodes["node"] == F.col("ln"), "left").select("node", "rep", "first", "copies", F.coalesce("label", "node").alias("label")))
+        least = checkpoint(placed.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("leads")).withColumnRenamed("label", "l2"))
+        placed = placed.join(least, placed["label"] == F.col("l2")).select("node", "copies", "component_id", "leads")
+        if count_links:
+            degree = checkpoint(_degrees(docs, nodes, label, shingle, percent))
+            placed = placed.join(degree, placed["node"] == F.col("fn"), "left").select("node", "component_id", "leads", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        placed = checkpoint(placed.withColumnRenamed("node", "pn"))
     extra = (["n_links"] if count_links else []) + (["carried", "leader"] if carry else [])
     full, none = members.where("n_shingles > 0"), members.where("n_shingles = 0").withColumns({"n_links": F.lit(0).cast("long"), "leader": F.lit(True)})
     out = full.join(placed, full["node"] == F.col("pn")).withColumn("leader", (order == F.col("leads"))).select("doc_id", "n_shingles", "component_id", *extra)

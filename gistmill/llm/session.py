@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.functions.arrow import bounded
@@ -15,6 +16,28 @@ from gistmill.functions.shared import shared_folder
 BLOCK_BYTES = 1 << 20
 
 
+#: Spark's switch that removes the shuffle files of a query as soon as it has ended, instead of when the driver collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside leave no shuffle files behind once an action on them has ended.
+
+    For operators of many small steps, whose files would otherwise pile up (three for each task of each exchange). It only
+    frees space: a frame that is computed once more shuffles once more. Frames that are handed out belong outside.
+    """
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext

@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from gistmill.llm import jaccard_join as J
+from gistmill.llm.session import RELEASE, released
 
 
 def sets_of(text):
@@ -127,3 +129,34 @@ def test_links_are_counted(spark, monkeypatch, values):
     got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_links) for r in got.collect()) == want and max(n for _, n in want) > 4
     assert J.jaccard_components(spark.createDataFrame(docs[:5], "doc_id long, text string"), count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """On a table of many partitions the files of finished steps took more disk than the rows in them."""
+    docs = corpus(5, n_base=4)
+    before = shuffle_files(spark)
+    out = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    for _ in range(2):  # what is handed out may be computed again
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == brute(docs)
+
+
+def test_release_is_put_back(spark):
+    for value in (None, "false"):
+        spark.conf.unset(RELEASE) if value is None else spark.conf.set(RELEASE, value)
+        before = spark.conf.get(RELEASE, None)
+        with pytest.raises(ValueError), released(spark):
+            assert spark.conf.get(RELEASE) == "true"
+            raise ValueError
+        assert spark.conf.get(RELEASE, None) == before
+    spark.conf.unset(RELEASE)
