@@ -115,8 +115,11 @@ def _result(status: str, route: str | None = None, text: str = "", numbers: dict
     return {"status": status, "route": route, "text": text, "metrics": numbers, "manifest": shown, "diagnostics": list(diagnostics)}
 
 
-def compile_bytes(raw: bytes, policy: Policy = Policy()) -> dict:
-    """Status, route, text, metrics, manifest (JSON) and diagnostics of one document. Never raises for a document's sake."""
+def compile_bytes(raw: bytes, policy: Policy = Policy(), trace: dict | None = None) -> dict:
+    """Status, route, text, metrics, manifest (JSON) and diagnostics of one document. Never raises for a document's sake.
+
+    ``trace`` gets the stages, table and segments of a document that is rendered.
+    """
     if not raw.strip():
         return _result("OK", "empty", numbers={"input_tokens": 0, "output_tokens": 0}, manifest={"status": "EMPTY"})
     document_id = "sha256:" + hashlib.sha256(raw).hexdigest()
@@ -140,6 +143,8 @@ def compile_bytes(raw: bytes, policy: Policy = Policy()) -> dict:
         return _result("TARGET_BUDGET_UNSAFE", s.route, numbers=numbers, manifest=about, diagnostics=(str(e),))
     segments = _segments(s, close(chosen, t.headings), policy, count)
     text = render.place(segments)
+    if trace is not None:
+        trace.update(stages=s, table=t, segments=segments)
     broken = validate.violations(text, segments, s.source, [a for _, a in s.atoms if a.required], count(text), policy.tokens if policy.hard_budget else None)
     if broken:
         return _result("INVARIANT_FAILED", s.route, manifest={"status": "INVARIANT_FAILED", "violations": broken}, diagnostics=tuple(broken))
@@ -161,47 +166,64 @@ def _content(df: DataFrame, column: str) -> Column:
     return F.to_binary(F.col(column), F.lit("utf-8")) if df.schema[column].dataType.simpleString() == "string" else F.col(column)
 
 
-def _prepared(df: DataFrame, id_col: str, content_col: str) -> tuple[DataFrame, str]:
-    """id, document_id, byte_length, and the content unless it is too large."""
+def _prepared(df: DataFrame, id_col: str, content_col: str, dealt: bool = False) -> tuple[DataFrame, str]:
+    """id, document_id, byte_length, and the content unless it is too large; dealt out, unless the rows are already."""
     content = _content(df, content_col)
     out = df.select(F.col(id_col).alias("id"), R.document_id(content).alias("document_id"), F.octet_length(content).alias("byte_length"), F.when(~R.too_large(content), content).alias("content"))
-    return bounded(spread(out)), df.schema[id_col].dataType.simpleString()
+    return bounded(out if dealt else spread(out)), df.schema[id_col].dataType.simpleString()
 
 
 #: Results are handed on once so many rows, or so many bytes of text and manifest, have come together.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
-def compile_documents(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy()) -> DataFrame:
-    """One row per document: the id, document_id, then RESULT. ``content_col`` is binary or a string.
+def _too_large(size: int) -> dict:
+    note = f"{size} bytes are more than {fixed.MAX_BYTES}"
+    return _result("INPUT_TOO_LARGE", manifest={"schema_version": render.VERSION, "status": "INPUT_TOO_LARGE", "error": note}, diagnostics=(note,))
+
+
+def _once(values: list, of: pa.DataType) -> pa.Array:
+    """An array of values many of which are the same object, made once each."""
+    number = {}
+    at = [number.setdefault(id(v), len(number)) for v in values]
+    firsts = {i: v for i, v in zip(at, values, strict=True)}
+    return pa.array([firsts[i] for i in range(len(firsts))], of).take(pa.array(at, pa.int32()))
+
+
+def compile_documents(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy(), columns: tuple[str, ...] = tuple(n for n, _ in _TYPES), dealt: bool = False) -> DataFrame:
+    """One row per document: the id, document_id, then RESULT (or those of its columns that are named). ``content_col`` is binary or a string.
 
     A null content is compiled as empty. The plan is a scan, a projection, for small inputs a deal-out (``spread``), and a map.
     """
-    prepared, id_type = _prepared(df, id_col, content_col)
+    prepared, id_type = _prepared(df, id_col, content_col, dealt)
+    types = [(n, t) for n, t in _TYPES if n in columns]
+    text, manifest = "text" in columns, "manifest" in columns
 
     def handed(batch, start, rows):
-        arrays = [pa.array([r[n] for r in rows], t) for n, t in _TYPES]
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), batch.column(1).slice(start, len(rows)), *arrays], names=["id", "document_id", *(n for n, _ in _TYPES)])
+        arrays = [_once([r[n] for r in rows], t) if n == "metrics" else pa.array([r[n] for r in rows], t) for n, t in types]
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), batch.column(1).slice(start, len(rows)), *arrays], names=["id", "document_id", *(n for n, _ in types)])
 
     def run(batches):
+        from gistmill.plans.shapes import shapes
+
+        known = shapes(policy)
         for batch in batches:
             start, rows, size_ = 0, [], 0
-            for k in range(batch.num_rows):
-                raw, size = batch.column(3)[k].as_py(), batch.column(2)[k].as_py()
+            for k, (document_id, size, raw) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
                 if raw is None and size is not None:
-                    note = f"{size} bytes are more than {fixed.MAX_BYTES}"
-                    r = _result("INPUT_TOO_LARGE", manifest={"schema_version": render.VERSION, "status": "INPUT_TOO_LARGE", "error": note}, diagnostics=(note,))
+                    r = _too_large(size)
                 else:
-                    r = compile_bytes(raw or b"", policy)
+                    r = known.compile(raw or b"", document_id, text, manifest)
                 rows.append(r)
                 size_ += len(r["text"]) + len(r["manifest"])
-                if len(rows) >= BATCH_ROWS or size_ >= BATCH_BYTES:
+                if len(rows) >= (BATCH_ROWS if text or manifest else 16 * BATCH_ROWS) or size_ >= BATCH_BYTES:
                     yield handed(batch, start, rows)
                     start, rows, size_ = k + 1, [], 0
             if rows:
                 yield handed(batch, start, rows)
 
-    return prepared.mapInArrow(run, f"id {id_type}, document_id string, {RESULT}").withColumnRenamed("id", id_col)
+    schema = {"status": "status string", "route": "route string", "text": "text string", "metrics": f"metrics struct<{_METRICS_DDL}>", "manifest": "manifest string", "diagnostics": "diagnostics array<string>"}
+    return prepared.mapInArrow(run, ", ".join([f"id {id_type}, document_id string", *(schema[n] for n, _ in types)])).withColumnRenamed("id", id_col)
 
 
 BLOCKS = "block_seq int, block_id string, route string, kind string, seg_kind string, start long, end long, text string, meta map<string,string>"
@@ -290,3 +312,29 @@ def validate_results(results: DataFrame, sources: DataFrame, id_col: str, conten
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(n for n, _ in types)])
 
     return bounded(rows).mapInArrow(run, f"id {id_type}, verdict string, verified long, message string").withColumnRenamed("id", id_col)
+
+
+def validate_compiled(df: DataFrame, id_col: str, content_col: str, policy: Policy = Policy(), dealt: bool = False) -> DataFrame:
+    """``validate_results`` of ``compile_documents``, each document against its own source in the worker that compiled it: no join.
+
+    A row without content has no source.
+    """
+    prepared, id_type = _prepared(df, id_col, content_col, dealt)
+    types = [("verdict", pa.string()), ("verified", pa.int64()), ("message", pa.string())]
+
+    def run(batches):
+        from gistmill.plans.shapes import shapes
+
+        known = shapes(policy)
+
+        def one(document_id, size, raw):
+            if raw is not None:
+                return known.check(raw, document_id)
+            return ("FAILED", 0, "no source") if size is None else validate.check_manifest(b"", "", _too_large(size)["manifest"])
+
+        for batch in batches:
+            found = [one(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True) if found else [[]] * 3, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(n for n, _ in types)])
+
+    return prepared.mapInArrow(run, f"id {id_type}, verdict string, verified long, message string").withColumnRenamed("id", id_col)
