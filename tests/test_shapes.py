@@ -128,3 +128,18 @@ def test_metrics_are_made_without_texts(spark, monkeypatch):
     assert asked == [("status", "route", "metrics")]
     docs = queries.corpus(spark, "/root/testdata/sf0.001")
     assert sum(r.n for r in out.collect()) == docs.count()
+
+
+def test_patterns_in_small_letters_match_alike(monkeypatch):
+    from gistmill import fixed
+    from gistmill.operators import atoms
+
+    rng = random.Random(9)
+    bits = ["NO ", "Not", " não", " NÃO ", "Niemals ", "ohne", " 5 MB", "7 µS ", "7 ΜS", "3 Ms,", "CVE-2024-12345", " commit ab12CD9 ", "MUST ", "Unless", "caused BY ", "mtls", "Pii", "É", "ß", "İ", "K", "ſ", "Σ", "НЕ ", "ᲀ", "’", "kein’s ", "jamás\n", ". ", "word ", "a" * 40, "x "]
+    texts = ["".join(rng.choices(bits, k=12)) for _ in range(800)]
+    for kind, pattern, fold, _, _ in fixed.ATOMS:
+        got = [atoms.places(kind, t) for t in texts]
+        monkeypatch.setattr(atoms, "BEYOND", atoms.re.compile(""))
+        monkeypatch.setattr(atoms._Signs, "__init__", lambda self, text, make=atoms._Signs.__init__: (make(self, text), setattr(self, "small", False))[0])
+        assert got == [atoms.places(kind, t) for t in texts], kind
+        monkeypatch.undo()
